@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from thalweg.llm import token_counts, token_files
+from thalweg.llm import decontamination, html_text, mixing, nearest, sharding, token_counts, token_files
 from thalweg.llm.tables import table
 
 
@@ -20,14 +21,37 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _vocabulary(token_counts.VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sizes(table(spark, sf_dir, "documents"))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.digests(decontamination.find_hits(docs, table(spark, sf_dir, "benchmark")).drop("text"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.new_folder(spark)
     token_files.write_tokens(table(spark, sf_dir, "documents"), _vocabulary(token_files.VOCABULARY), folder)
     return token_files.token_digests(token_files.read_tokens(spark, folder))
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op8_token_files)}
+    found = (op1_token_counts, op2_sharding, op3_mixing, op4_html_text, op7_decontamination, op8_token_files, op10_nearest)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
