@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thalweg.llm import decontamination, html_text, mixing, near_duplicates, nearest, sharding, token_counts, token_files
+from thalweg.llm import decontamination, html_text, mixing, near_duplicates, nearest, quality, sharding, token_counts, token_files
 from thalweg.llm.tables import table
 
 
@@ -34,6 +34,10 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates.groups(docs, width=3, similarity=(85, 100))
@@ -55,7 +59,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_token_counts, op2_sharding, op3_mixing, op4_html_text, op6_near_duplicates, op7_decontamination, op8_token_files, op10_nearest)
+    found = (op1_token_counts, op2_sharding, op3_mixing, op4_html_text, op5_quality, op6_near_duplicates, op7_decontamination, op8_token_files, op10_nearest)
     return {f.__name__: f for f in found}
 
 

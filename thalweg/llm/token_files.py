@@ -13,6 +13,7 @@ keep their own lists, ordered by text; extra columns are left out of the files.
 from __future__ import annotations
 
 import functools
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,12 @@ from thalweg.llm.token_counts import slices, tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-#: Distinct words whose ids a worker keeps; the table starts anew beyond this.
-KEPT_WORDS = 500_000
+#: Distinct words and runs of letters whose ids a worker keeps; tables start anew beyond this.
+KEPT_WORDS = 400_000
+KEPT_LETTERS = 600_000
+#: What the vocabulary's last token of a word ends with (fixed value).
+WORD_END = "</w>"
+SLICE_BYTES = 4_000_000
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, tokens array<int>"
 #: Bytes of a row group and of a page, and the encodings, as Parquet's writer takes them.
 LAYOUT = {
@@ -33,36 +38,74 @@ LAYOUT = {
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.enable.dictionary": "false",
     "parquet.page.write-checksum.enabled": "true",
-    "compression": "zstd",
+    "compression": "snappy",
 }
 
+_LETTERS = re.compile(rb"([a-zA-Z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
+
 
 class WordIds:
     """The ids of white-space separated words, as little-endian 32-bit integers.
 
     The vocabulary drops white space and lower-cases, so a text's ids are those of its
-    words one after the other.
+    words one after the other, and those of a run of letters and the marks after it are
+    those of the letters, then those of the marks.
     """
 
     def __init__(self, path: str):
-        self.library, self.known = tokenizer(path), {}
+        import numpy as np
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+        self.library = tokenizer(path)
+        self.known: dict[bytes, bytes] = {}
+        self.letters: dict[bytes, bytes] = {}
+        self.rest: dict[bytes, bytes] = {b"": b""}
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+
+    def one_by_one(self, words: list[bytes]) -> list[bytes]:
         import numpy as np
 
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def runs(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters alone: each is one pre-token, whose last id ends a word."""
+        import numpy as np
+
+        ids = np.array(self.library.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(ends) != len(words):  # a character that the library holds for no letter
+            return self.one_by_one(words)
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def learn(self, words: set[bytes]) -> None:
+        cut, whole = [], []
+        for w in words:
+            m = _LETTERS.fullmatch(w)
+            if m and (w.isascii() or m[1].decode().isalpha()):
+                cut.append((w, m[1].lower(), m[2]))
+            else:
+                whole.append(w)
+        whole += {tail for _, _, tail in cut}
+        for table, new, encode in ((self.letters, {core for _, core, _ in cut}, self.runs), (self.rest, set(whole), self.one_by_one)):
+            if len(table) > KEPT_LETTERS:
+                table.clear()
+                self.rest[b""] = b""
+            new = list(new.difference(table))
+            for k in range(0, len(new), 20_000):
+                table.update(zip(new[k : k + 20_000], encode(new[k : k + 20_000]), strict=True))
+        letters, rest = self.letters, self.rest
+        self.known.update((w, letters[core] + rest[tail]) for w, core, tail in cut)
+        self.known.update((w, rest[w]) for w in whole)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
         words = [t.split() for t in texts]
         missing = set().union(*words)
-        new = missing.difference(self.known)
-        if len(self.known) + len(new) > KEPT_WORDS:
-            self.known, new = {}, missing
-        new = list(new)
-        for k in range(0, len(new), 50_000):
-            some = new[k : k + 50_000]
-            found = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]
-            flat = np.fromiter((i for ids in found for i in ids), "<u4").tobytes()
-            at = 0
-            for w, ids in zip(some, found, strict=True):
-                self.known[w] = flat[at : (at := at + 4 * len(ids))]
+        if len(self.known) + len(missing) > KEPT_WORDS:
+            common = self.known
+            self.known = {w: common[w] for w in missing if w in common}
+        self.learn(missing.difference(self.known))
         known = self.known.__getitem__
         return [b"".join(map(known, w)) for w in words]
 
@@ -84,7 +127,7 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, folder: str, end_id: int
         words, part, start = _word_ids(vocabulary_path), TaskContext.get().partitionId(), 0
         for b in batches:
             ids, texts, at = b.column(0), b.column(1).to_pylist(), 0
-            for run in slices([t or b"" for t in texts]):
+            for run in slices([t or b"" for t in texts], SLICE_BYTES):
                 lists = [x + end for x in words.encode(run)]
                 ends = np.cumsum([0, *(len(x) // 4 for x in lists)])
                 sizes = np.diff(ends)
@@ -95,7 +138,7 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, folder: str, end_id: int
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = rows.repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(encode, SCHEMA).write.options(**LAYOUT).parquet(folder)
 
 
