@@ -6,12 +6,8 @@ borrows from the bin that a universal hash of (bin, attempt) names, until that i
 one (optimal densification). Bands of bins make bucket keys. Documents with equal sets
 are one class from here on, so copies never meet in pairs.
 
-In a bucket the classes stand in an order drawn for the bucket; the first is compared
-with all others: a star, no pair of others. Links found so are confirmed on the full
-sets. Then buckets whose classes are all of one component are done, and in the others
-the next class is the centre for those of other components, until every class of every
-bucket has been a centre or belongs to the component of the rest. So no pair of a bucket
-is given up, though most are never made.
+In a bucket, candidates are stars (see stars.py): no link of a bucket is given up, though
+most pairs are never made. Links are confirmed on the full sets.
 
 Defined results: lower-casing is that of A-Z; a document with fewer words than `width`
 has all of them as its one shingle; a null or wordless text has an empty set and is
@@ -23,9 +19,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from thalweg.llm.components import components
+from thalweg.llm.stars import star_links
 from thalweg.llm.tables import written
 from thalweg.llm.token_counts import slices
 
@@ -162,49 +157,21 @@ def near(shared: Column, left: Column, right: Column, similarity: tuple[int, int
 
 
 def links(docs: DataFrame, classes: DataFrame, width: int, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links (a, b) between classes (rep, n_shingles, bands), and the sets used."""
-    spark = docs.sparkSession
-    drawn = F.xxhash64("band", "key", "rep")
-    at = Window.partitionBy("band", "key")
-    buckets = classes.select("rep", "n_shingles", F.posexplode("bands").alias("band", "key"))
-    shared = buckets.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    buckets = written(buckets.join(shared, ["band", "key"]).withColumn("turn", F.row_number().over(at.orderBy(drawn, "rep"))), "buckets")
-    wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    # rows that repeat an id: any of their texts stands for its own set only, told apart by set_id
-    sets = written(texts.join(wanted, "doc_id").mapInArrow(_set_maker(width), "id long, members array<long>"), "sets")
-    found, compared, part_of = [], [], buckets.select("rep").distinct().withColumn("part", F.col("rep"))
-    turn = 1
-    live = buckets
-    while live.take(1):
-        centres = live.where(F.col("turn") == turn).select("band", "key", F.col("rep").alias("centre"), F.col("n_shingles").alias("n_centre"), F.col("part").alias("part_centre") if turn > 1 else F.col("rep").alias("part_centre"))
-        others = live.where(F.col("turn") > turn)
-        part = F.col("part") if turn > 1 else F.col("rep")
-        pairs = others.join(centres, ["band", "key"]).where((part != F.col("part_centre")) & near(F.least("n_shingles", "n_centre"), F.col("n_shingles"), F.col("n_centre"), similarity))
-        pairs = pairs.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-        if compared:
-            seen = compared[0]
-            for more in compared[1:]:
-                seen = seen.unionByName(more)
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = written(pairs, f"pairs-{turn}")
-        compared.append(pairs)
+    """Confirmed links (a, b) between classes (rep, n_shingles, bands), and their components."""
+    buckets = classes.select(F.posexplode("bands").alias("band", "key"), F.col("rep").alias("id"), F.col("n_shingles").alias("size")).select(F.struct("band", "key").alias("bucket"), "id", "size")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
+
+    def close(x: str, y: str) -> Column:
+        return near(F.least(f"{x}_size", f"{y}_size"), F.col(f"{x}_size"), F.col(f"{y}_size"), similarity)
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        sets = written(texts.join(wanted, "id").mapInArrow(_set_maker(width), "id long, members array<long>"), "sets")
         one, two = (sets.select(F.col("id").alias(c), F.col("members").alias(f"of_{c}")) for c in ("a", "b"))
         shared = F.size(F.array_intersect("of_a", "of_b"))
-        confirmed = pairs.join(one, "a").join(two, "b").where(near(shared, F.size("of_a"), F.size("of_b"), similarity)).select("a", "b").distinct()
-        found.append(written(confirmed, f"links-{turn}"))
-        every = found[0]
-        for more in found[1:]:
-            every = every.unionByName(more)
-        named = components(every).withColumnRenamed("node", "rep").withColumnRenamed("component", "part")
-        live = buckets.where(F.col("turn") > turn).join(named, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
-        several = live.groupBy("band", "key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("band", "key")
-        live = written(live.join(several, ["band", "key"]), f"live-{turn}")
-        turn += 1
-    every = found[0] if found else spark.createDataFrame([], "a long, b long")
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return every, sets
+        return pairs.join(one, "a").join(two, "b").where(near(shared, F.size("of_a"), F.size("of_b"), similarity)).select("a", "b").distinct()
+
+    return star_links(buckets, close, confirm)
 
 
 def groups(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -213,8 +180,8 @@ def groups(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SI
     live = own.where(F.col("n_shingles") > 0).where(F.col("doc_id").isNotNull())
     classes = live.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     classes = written(classes, "classes")
-    found, _ = links(docs, classes.drop("set_id"), width, similarity)
-    named = components(found).withColumnRenamed("node", "rep").withColumnRenamed("component", "part")
+    _, named = links(docs, classes, width, similarity)
+    named = named.withColumnRenamed("node", "rep").withColumnRenamed("component", "part")
     placed = classes.select("set_id", "rep").join(named, "rep", "left").select("set_id", F.coalesce("part", "rep").alias("part"))
     return (
         own.drop("bands")

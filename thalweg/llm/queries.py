@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thalweg.llm import decontamination, html_text, mixing, near_duplicates, nearest, quality, sharding, token_counts, token_files
+from thalweg.llm import decontamination, html_text, line_dedup, mixing, near_duplicates, nearest, quality, sharding, token_counts, token_files
 from thalweg.llm.tables import table
 
 
@@ -54,12 +54,16 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(token_files.read_tokens(spark, folder))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.decisions(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def queries() -> dict:
-    found = (op1_token_counts, op2_sharding, op3_mixing, op4_html_text, op5_quality, op6_near_duplicates, op7_decontamination, op8_token_files, op10_nearest)
+    found = (op1_token_counts, op2_sharding, op3_mixing, op4_html_text, op5_quality, op6_near_duplicates, op7_decontamination, op8_token_files, op9_line_dedup, op10_nearest)
     return {f.__name__: f for f in found}
 
 
