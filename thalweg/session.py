@@ -1,14 +1,15 @@
-"""Sessions, and getting this package to the executors."""
+"""Sessions, the shared folder, and getting this package to the executors."""
 
 from __future__ import annotations
 
 import functools
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 @functools.cache
@@ -38,3 +39,25 @@ def session(app: str = "thalweg", **conf: str) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key, value)
     return ship(builder.getOrCreate())
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only where that is unset (a local session, as in tests) a temporary folder of this
+    machine is used.
+    """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="thalweg-")
+        context.setCheckpointDir(base)
+    return base
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/thalweg/{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
