@@ -33,7 +33,7 @@ def flat_edges(dem: DataFrame, fdr: DataFrame) -> DataFrame:
 
 def flat_labels(dem: DataFrame, edges: DataFrame) -> DataFrame:
     """row, col, label: cells of equal elevation that a low edge belongs to; labels from 1 by first low edge, row by row."""
-    near = neighbours(dem.select("row", "col", "z").where("z is not null"), "z")
+    near = neighbours(dem.select("row", "col", "z"), "z")
     pairs = near.select(F.struct("row", "col").alias("a"), F.explode(F.filter("near", lambda n: n.isNotNull() & (n["z"] == F.col("z")))).alias("n")).select("a", F.struct("n.row", "n.col").alias("b"))
     named = written(components(pairs), "level-parts")
     low = edges.where("kind = 'low'").select(F.struct("row", "col").alias("node"))
@@ -47,9 +47,8 @@ def flat_labels(dem: DataFrame, edges: DataFrame) -> DataFrame:
 def _distances(seeds: DataFrame, adjacent: DataFrame, name: str) -> DataFrame:
     """node, distance: 1 for seeds, else 1 more than the nearest step before; adjacent (node, to)."""
     found = [written(seeds.select("node", F.lit(1).alias("distance")).distinct(), f"{name}-1")]
-    reached, level = found[0], 1
-    while True:
-        level += 1
+    reached, most = found[0], adjacent.select("to").distinct().count() + 2  # no shortest path is longer
+    for level in range(2, most + 1):
         new = reached.join(adjacent, "node").select(F.col("to").alias("node")).distinct()
         for before in found[-2:]:  # in an undirected graph a step reaches this level, the last or the one before
             new = new.join(before.select("node"), "node", "left_anti")
@@ -77,7 +76,7 @@ def flat_mask(dem: DataFrame, fdr: DataFrame) -> DataFrame:
     if not kinds.where("kind = 'low'").take(1):
         return base.select("row", "col", *(zero.alias(c) for c in ("label", "away", "low", "flat_mask")))
     labels = written(flat_labels(dem, kinds), "labels")
-    flat = cells.join(labels, ["row", "col"]).select("row", "col", "z", "fdr", "label")
+    flat = cells.join(labels, ["row", "col"], "left").select("row", "col", "fdr", "label")
     near = neighbours(flat, "fdr", "label")
     inside = lambda n: n.isNotNull() & (n["label"] == F.col("label")) & (n["fdr"] == UNDEFINED)
     steps = near.select(F.struct("row", "col").alias("node"), F.explode(F.filter("near", inside)).alias("n")).select("node", F.struct("n.row", "n.col").alias("to"))

@@ -51,6 +51,11 @@ def window(cells: DataFrame, row: int, col: int, height: int, width: int, value:
     return grid(cells.sparkSession, row, col, height, width).join(inside, ["row", "col"], "left")
 
 
+def dense(cells: DataFrame, height: int, width: int, value: str = "z") -> DataFrame:
+    """cells with a row, of null value, for each coordinate of the raster that has none."""
+    return window(cells, 0, 0, height, width, value)
+
+
 def tile_of(size: int, axis: str) -> Column:
     return F.floor(F.col(axis) / size)
 
@@ -87,7 +92,8 @@ def core(tiled: DataFrame, size: int) -> DataFrame:
 def neighbours(cells: DataFrame, *values: str, size: int = STENCIL_TILE) -> DataFrame:
     """cells with `near`: an array of the 8 neighbours' (row, col, values), in code order.
 
-    A neighbour outside the raster is null. Tiles with a halo of one cell are dealt out
+    cells must be dense (see dense), with null values for nodata. A neighbour outside
+    the raster is null. Tiles with a halo of one cell are dealt out
     once; within them, two window passes over sorted cells, along rows and then along
     columns, reach all 8, with no join and no row for each pair.
     """
