@@ -77,7 +77,8 @@ def targets(sizes: dict, weights=(1, 2, 3), most=3) -> dict:
 
 
 def simhash(norm: str, hashed: dict[str, int]) -> int:
-    words = norm.split(" ")
+    """Of the distinct words, as the operator defines it."""
+    words = set(norm.split(" "))
     return sum(1 << k for k in range(64) if 2 * sum(hashed[w] >> k & 1 for w in words) > len(words))
 
 

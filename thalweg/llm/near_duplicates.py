@@ -21,8 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thalweg.llm.stars import star_links
-from thalweg.llm.tables import written
-from thalweg.llm.token_counts import slices
+from thalweg.llm.tables import text_runs, written
 
 WIDTH = 5
 SIMILARITY = (80, 100)
@@ -30,7 +29,9 @@ SIMILARITY = (80, 100)
 BANDS = 24
 ROWS = 5
 #: Words whose hashes a worker keeps; the table starts anew beyond this.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
+#: Bytes of texts whose sets a worker holds at once.
+SLICE_BYTES = 2_000_000
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -109,8 +110,8 @@ def _sketcher(width: int, bands: int, rows: int):
         with np.errstate(over="ignore"):
             for b in batches:
                 sizes, sets, keys = [], [], []
-                for run in slices([t or b"" for t in b.column(1).to_pylist()]):
-                    for text in run:
+                for _, texts in text_runs(b.column(1), SLICE_BYTES):
+                    for text in texts:
                         found = shingles(text, width)
                         sizes.append(len(found))
                         sets.append(xxhash.xxh3_128_digest(found.tobytes()))
@@ -142,10 +143,11 @@ def _set_maker(width: int):
 
         with np.errstate(over="ignore"):
             for b in batches:
-                found = [shingles(t or b"", width).view("i8") for t in b.column(1).to_pylist()]
-                ends = np.cumsum([0, *map(len, found)])
-                flat = np.concatenate([*found, np.zeros(0, "i8")])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "members"])
+                for at, texts in text_runs(b.column(1), SLICE_BYTES):
+                    found = [shingles(t, width).view("i8") for t in texts]
+                    ends = np.cumsum([0, *map(len, found)])
+                    flat = np.concatenate(found)
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "members"])
 
     return run
 
@@ -158,7 +160,7 @@ def near(shared: Column, left: Column, right: Column, similarity: tuple[int, int
 
 def links(docs: DataFrame, classes: DataFrame, width: int, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """Confirmed links (a, b) between classes (rep, n_shingles, bands), and their components."""
-    buckets = classes.select(F.posexplode("bands").alias("band", "key"), F.col("rep").alias("id"), F.col("n_shingles").alias("size")).select(F.struct("band", "key").alias("bucket"), "id", "size")
+    buckets = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"), F.col("n_shingles").alias("size"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
 
     def close(x: str, y: str) -> Column:

@@ -34,9 +34,9 @@ def star_links(rows: DataFrame, close: Callable[[str, str], Column], confirm: Ca
     y_..., that all links meet. confirm: keeps of pairs (a, b) those that are links.
     """
     attributes = [c for c in rows.columns if c != "bucket"]
-    at = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "id"), "id")
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    live = written(rows.join(shared, "bucket").withColumn("turn", F.row_number().over(at)), "buckets")
+    members = Window.partitionBy("bucket")
+    turn = F.row_number().over(members.orderBy(F.xxhash64("bucket", "id"), "id"))
+    live = written(rows.withColumns({"turn": turn, "_n": F.count("*").over(members)}).where("_n > 1").drop("_n"), "buckets")
     live = live.withColumn("part", F.col("id"))
     compared, found, named, first, last = [], [], None, 1, 1
     while live.take(1):

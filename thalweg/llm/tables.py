@@ -38,6 +38,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_runs(column, most: int):
+    """(place of the first, texts as bytes) for runs of an Arrow column of texts with so many bytes together, or a single longer one.
+
+    Only one run is held outside of Arrow's memory; null texts are empty.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype("i8"))
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield a, [t or b"" for t in column.slice(a, b - a).to_pylist()]
+        a = b
+
+
 def in_order(df: DataFrame, *columns: str, sums: dict[str, str] | None = None) -> DataFrame:
     """Number the rows of df from 0 in the order of columns, in column `position`.
 
