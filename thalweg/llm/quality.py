@@ -9,7 +9,10 @@ broadcast, and sum the logarithms: a document's perplexity is that of its charac
 Short texts say little, so SMOOTHING characters of the language's mean are added.
 
 A document is rejected if its perplexity is above `margin` times the language's
-quantile of trusted documents. Languages without a trusted document take the quantile of all.
+quantile of trusted documents. One in HELD_OUT of these, by a hash of the id, is kept
+out of the model's counts and sets the quantiles and means, since the model knows the
+texts it was counted on too well. Languages with less than ENOUGH of them take the
+quantile of all where it is larger; without any, the model's own documents stand in.
 
 Characters rather than words, since n-grams of words of a corpus are nearly as many as
 its words, and every one of them would have to cross the network.
@@ -30,6 +33,8 @@ ORDER = 5
 QUANTILE = 0.99
 MARGIN = 1.1
 SMOOTHING = 60
+HELD_OUT = 5
+ENOUGH = 20
 BLOCK_GRAMS = 2_000_000
 #: Distinct n-grams that a task holds before it hands them on.
 HELD_GRAMS = 1_000_000
@@ -217,15 +222,20 @@ def scores(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: flo
     """doc_id, lang, n_chars, perplexity, threshold, keep of docs (doc_id, lang, text)."""
     docs = docs.select("doc_id", "lang", "text")
     good = written(trusted_ids(labels), "trusted")
-    trusted = written(grams(docs.join(good, "doc_id", "left_semi"), order), "trusted-grams")
+    held = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0)
+    fitted = good.join(held, "doc_id", "left_anti")
+    trusted = written(grams(docs.join(fitted, "doc_id", "left_semi"), order), "trusted-grams")
     wanted = written(grams(docs, order), "corpus-grams")
     scored = log_likelihoods(docs, probabilities(wanted, trusted, order), order)
     scored = written(scored.select("doc_id", "lang", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), "log_p"), "likelihoods")
-    known = scored.join(good, "doc_id", "left_semi")
-    total = known.agg(F.sum("log_p") / F.sum("n_chars")).first()[0]
+    for ids in (held, fitted):
+        known = scored.join(ids, "doc_id", "left_semi")
+        total = known.agg(F.try_divide(F.sum("log_p"), F.sum("n_chars"))).first()[0]
+        if total is not None:
+            break
     if total is None:
         return scored.select("doc_id", "lang", "n_chars", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("keep"))
-    means = written(known.groupBy(F.col("lang").alias("_lang")).agg((F.sum("log_p") / F.sum("n_chars")).alias("mean")), "means")
+    means = written(known.groupBy(F.col("lang").alias("_lang")).agg(F.try_divide(F.sum("log_p"), F.sum("n_chars")).alias("mean")), "means")
 
     def smoothed(rows: DataFrame) -> DataFrame:
         mean = F.coalesce("mean", F.lit(total))
@@ -235,9 +245,10 @@ def scores(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: flo
     known = smoothed(known)
     limit = F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000))
     every = known.agg(limit).first()[0]
-    limits = known.groupBy(F.col("lang").alias("_lang")).agg(limit.alias("limit"))
+    limits = known.groupBy(F.col("lang").alias("_lang")).agg(limit.alias("limit"), F.count("*").alias("n"))
     found = smoothed(scored).join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    return found.withColumn("threshold", margin * F.coalesce("limit", F.lit(every))).select("doc_id", "lang", "n_chars", "perplexity", "threshold", (F.col("perplexity") <= F.col("threshold")).alias("keep"))
+    threshold = F.when(F.col("n") >= ENOUGH, F.col("limit")).otherwise(F.greatest("limit", F.lit(every)))
+    return found.withColumn("threshold", margin * threshold).select("doc_id", "lang", "n_chars", "perplexity", "threshold", (F.col("perplexity") <= F.col("threshold")).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
