@@ -73,3 +73,11 @@ def test_null_ids_and_repeated_ids(spark):
 
 def test_empty(no_docs):
     assert near_duplicates.groups(no_docs).count() == 0
+
+
+def test_unequal_bins_are_counted(spark):
+    import numpy as np
+
+    a, b = (np.random.default_rng(k).integers(0, 4, 120).astype("u8") for k in (1, 2))
+    row = {f"{c}_print_{k}": int(v) for c, x in (("x", a), ("y", b)) for k, v in enumerate(near_duplicates.two_bits(x))}
+    assert spark.createDataFrame([row]).select(near_duplicates.unequal_bins("x", "y", 4)).first()[0] == (a != b).sum()

@@ -7,7 +7,9 @@ one (optimal densification). Bands of bins make bucket keys. Documents with equa
 are one class from here on, so copies never meet in pairs.
 
 In a bucket, candidates are stars (see stars.py): no link of a bucket is given up, though
-most pairs are never made. Links are confirmed on the full sets.
+most pairs are never made. Two bits of each bin go along with a member: a pair whose bits
+differ in more bins than SIGMAS deviations above what the similarity asks for is no
+candidate. Links are confirmed on the full sets.
 
 Defined results: lower-casing is that of A-Z; a document with fewer words than `width`
 has all of them as its one shingle; a null or wordless text has an empty set and is
@@ -17,6 +19,8 @@ rows without an id are left out of links and are their own groups.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +32,8 @@ SIMILARITY = (80, 100)
 #: Bands and bins of a band. At a similarity of 0.8 a pair shares no bucket once in 10^4.
 BANDS = 24
 ROWS = 5
+#: Standard deviations of the number of unequal bins that a candidate may have beyond the expected (lost links: 3 in 10^6).
+SIGMAS = 4.5
 #: Words whose hashes a worker keeps; the table starts anew beyond this.
 KEPT_WORDS = 200_000
 #: Bytes of texts whose sets a worker holds at once.
@@ -99,6 +105,32 @@ def sketch(found, bins: int, asked):
     return least
 
 
+def two_bits(values):
+    """The lowest two bits of each value, 32 of them to a 64-bit integer."""
+    import numpy as np
+
+    two = np.zeros(-(-len(values) // 32) * 32, "u8")
+    two[: len(values)] = values & np.uint64(3)
+    return np.bitwise_or.reduce(two.reshape(-1, 32) << (2 * np.arange(32, dtype="u8")), axis=1).view("i8")
+
+
+def unequal_bins(x: str, y: str, longs: int) -> Column:
+    """In how many bins the two bits of two members differ."""
+    each = [F.col(f"{x}_print_{k}").bitwiseXOR(F.col(f"{y}_print_{k}")) for k in range(longs)]
+    low = F.lit(0x5555555555555555)
+    return reduce(Column.__add__, (F.bit_count(v.bitwiseOR(F.shiftrightunsigned(v, 1)).bitwiseAND(low)) for v in each))
+
+
+def most_unequal(size: Column, bins: int, similarity: float, sigmas: float = SIGMAS) -> Column:
+    """How many bins may differ between sets as similar as that; the smaller one has `size` shingles.
+
+    Bins of a small set that were borrowed tell nothing new, so only those that it fills count as draws.
+    """
+    p = 0.75 * (1 - similarity)
+    drawn = bins * (1 - F.exp(-size / F.lit(float(bins))))
+    return bins * (p + sigmas * F.sqrt(p * (1 - p) / drawn))
+
+
 def _sketcher(width: int, bands: int, rows: int):
     def run(batches):
         import numpy as np
@@ -106,10 +138,11 @@ def _sketcher(width: int, bands: int, rows: int):
         import xxhash
 
         asked = donors(bands * rows)
+        longs = -(-bands * rows // 32)
         salt = mixed(np.arange(bands * rows, dtype="u8") // np.uint64(rows) + np.uint64(1))
         with np.errstate(over="ignore"):
             for b in batches:
-                sizes, sets, keys = [], [], []
+                sizes, sets, keys, prints = [], [], [], []
                 for _, texts in text_runs(b.column(1), SLICE_BYTES):
                     for text in texts:
                         found = shingles(text, width)
@@ -121,19 +154,21 @@ def _sketcher(width: int, bands: int, rows: int):
                             for k in range(1, rows):
                                 total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + least[:, k])
                             keys.append(total.view("i8"))
+                            prints.append(two_bits(least.ravel()))
                         else:
                             keys.append(np.zeros(0, "i8"))
+                            prints.append(np.zeros(longs, "i8"))
                 ends = np.cumsum([0, *map(len, keys)])
                 flat = np.concatenate([*keys, np.zeros(0, "i8")])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["doc_id", "n_shingles", "set_id", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array([x.tolist() for x in prints], pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_id", "bands", "print"])
 
     return run
 
 
 def sketches(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, set_id (a 128-bit digest of the set), bands (bucket keys) of docs (doc_id, text)."""
+    """doc_id, n_shingles, set_id (a 128-bit digest of the set), bands (bucket keys), print (two bits of each bin) of docs (doc_id, text)."""
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows_in.mapInArrow(_sketcher(width, bands, rows), "doc_id long, n_shingles long, set_id binary, bands array<long>")
+    return rows_in.mapInArrow(_sketcher(width, bands, rows), "doc_id long, n_shingles long, set_id binary, bands array<long>, print array<long>")
 
 
 def _set_maker(width: int):
@@ -158,13 +193,15 @@ def near(shared: Column, left: Column, right: Column, similarity: tuple[int, int
     return of * shared >= part * (left + right - shared)
 
 
-def links(docs: DataFrame, classes: DataFrame, width: int, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links (a, b) between classes (rep, n_shingles, bands), and their components."""
-    buckets = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"), F.col("n_shingles").alias("size"))
+def links(docs: DataFrame, classes: DataFrame, width: int, similarity: tuple[int, int], bins: int = BANDS * ROWS) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links (a, b) between classes (rep, n_shingles, bands, print), and their components."""
+    longs = -(-bins // 32)
+    buckets = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"), F.col("n_shingles").alias("size"), *(F.col("print")[k].alias(f"print_{k}") for k in range(longs)))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
 
     def close(x: str, y: str) -> Column:
-        return near(F.least(f"{x}_size", f"{y}_size"), F.col(f"{x}_size"), F.col(f"{y}_size"), similarity)
+        sizes = near(F.least(f"{x}_size", f"{y}_size"), F.col(f"{x}_size"), F.col(f"{y}_size"), similarity)
+        return sizes & (unequal_bins(x, y, longs) <= most_unequal(F.least(f"{x}_size", f"{y}_size"), bins, similarity[0] / similarity[1]))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -180,13 +217,13 @@ def groups(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SI
     """doc_id, n_shingles, component_id, kept: one row for each document (doc_id, text)."""
     own = written(sketches(docs, width, bands, rows), "sketches")
     live = own.where(F.col("n_shingles") > 0).where(F.col("doc_id").isNotNull())
-    classes = live.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    classes = live.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("print").alias("print"))
     classes = written(classes, "classes")
-    _, named = links(docs, classes, width, similarity)
+    _, named = links(docs, classes, width, similarity, bands * rows)
     named = named.withColumnRenamed("node", "rep").withColumnRenamed("component", "part")
     placed = classes.select("set_id", "rep").join(named, "rep", "left").select("set_id", F.coalesce("part", "rep").alias("part"))
     return (
-        own.drop("bands")
+        own.drop("bands", "print")
         .join(placed, "set_id", "left")
         .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("part", "doc_id")).otherwise(F.col("doc_id")))
         .select("doc_id", "n_shingles", "component_id", (F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("kept"))
