@@ -14,7 +14,7 @@ def test_stages_on_the_drivers_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, kept, stages = docs.columns, {}, dict(corpus_pipeline.STAGES)
     for k, (name, stage) in enumerate(stages.items()):
-        before, docs = docs, stage(spark, docs, sf_dir).localCheckpoint() if False else stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         docs = docs.persist()
         kept[name] = (before, docs)
         assert k == len(stages) - 1 or docs.columns == columns
