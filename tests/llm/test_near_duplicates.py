@@ -34,8 +34,8 @@ def test_unlike_members_of_a_bucket_all_meet(spark):
 
     from thalweg.llm.stars import star_links
 
-    rows = spark.range(40).select(F.lit(1).alias("bucket"), "id", (F.col("id") % 20).alias("kind"))
-    links, named = star_links(rows, lambda x, y: F.col(f"{x}_kind") == F.col(f"{y}_kind"), lambda pairs: pairs)
+    buckets, members = spark.range(40).select(F.lit(1).alias("bucket"), "id"), spark.range(40).select("id", (F.col("id") % 20).alias("kind"))
+    links, named = star_links(buckets, members, lambda x, y: F.col(f"{x}_kind") == F.col(f"{y}_kind"), lambda pairs: pairs)
     assert sorted(map(tuple, links.collect())) == [(k, k + 20) for k in range(20)]
     assert dict(named.collect()) == {i: i % 20 for i in range(40)}
 
@@ -52,8 +52,8 @@ def test_a_large_group_costs_a_star(spark):
         made.append(pairs.count())
         return pairs
 
-    rows = spark.range(200).select(F.lit(1).alias("bucket"), "id")
-    _, named = star_links(rows, lambda x, y: F.lit(True), confirm)
+    buckets = spark.range(200).select(F.lit(1).alias("bucket"), "id")
+    _, named = star_links(buckets, spark.range(200), lambda x, y: F.lit(True), confirm)
     assert sum(made) == 199 and {r["component"] for r in named.collect()} == {0}
 
 
@@ -81,3 +81,13 @@ def test_unequal_bins_are_counted(spark):
     a, b = (np.random.default_rng(k).integers(0, 4, 120).astype("u8") for k in (1, 2))
     row = {f"{c}_print_{k}": int(v) for c, x in (("x", a), ("y", b)) for k, v in enumerate(near_duplicates.two_bits(x))}
     assert spark.createDataFrame([row]).select(near_duplicates.unequal_bins("x", "y", 4)).first()[0] == (a != b).sum()
+
+
+def test_parities_bound_the_difference(spark):
+    import numpy as np
+
+    a, b = (np.unique(np.random.default_rng(k).integers(0, 2000, 300).astype("u8")) for k in (1, 2))
+    row = {f"{c}_parity_{k}": int(v) for c, x in (("x", a), ("y", b)) for k, v in enumerate(near_duplicates.parities(x))}
+    counted = spark.createDataFrame([row]).select(near_duplicates.unequal_parities("x", "y")).first()[0]
+    flipped = np.bincount(np.setxor1d(a, b).astype("i8") % near_duplicates.PARITIES, minlength=near_duplicates.PARITIES) % 2
+    assert counted == flipped.sum() <= len(np.setxor1d(a, b))

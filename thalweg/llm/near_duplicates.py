@@ -7,9 +7,11 @@ one (optimal densification). Bands of bins make bucket keys. Documents with equa
 are one class from here on, so copies never meet in pairs.
 
 In a bucket, candidates are stars (see stars.py): no link of a bucket is given up, though
-most pairs are never made. Two bits of each bin go along with a member: a pair whose bits
-differ in more bins than SIGMAS deviations above what the similarity asks for is no
-candidate. Links are confirmed on the full sets.
+most pairs are never made. Two filters go along with a member. Parities: each shingle
+flips one of PARITIES bits, so sets differ in at least as many shingles as bits; this
+loses nothing, and tells small sets apart. Two bits of each bin, for large sets: a pair
+whose bits differ in more bins than SIGMAS deviations above what the similarity asks for
+is no candidate. Links are confirmed on the full sets.
 
 Defined results: lower-casing is that of A-Z; a document with fewer words than `width`
 has all of them as its one shingle; a null or wordless text has an empty set and is
@@ -34,6 +36,8 @@ BANDS = 24
 ROWS = 5
 #: Standard deviations of the number of unequal bins that a candidate may have beyond the expected (lost links: 3 in 10^6).
 SIGMAS = 4.5
+#: Bits that shingles flip: a multiple of 64.
+PARITIES = 512
 #: Words whose hashes a worker keeps; the table starts anew beyond this.
 KEPT_WORDS = 200_000
 #: Bytes of texts whose sets a worker holds at once.
@@ -114,6 +118,19 @@ def two_bits(values):
     return np.bitwise_or.reduce(two.reshape(-1, 32) << (2 * np.arange(32, dtype="u8")), axis=1).view("i8")
 
 
+def parities(found):
+    """For each of PARITIES bits, whether an odd number of shingles have it, as 64-bit integers."""
+    import numpy as np
+
+    odd = np.bincount((found % np.uint64(PARITIES)).astype("i8"), minlength=PARITIES) & 1
+    return np.packbits(odd.astype("u1")).view("i8")
+
+
+def unequal_parities(x: str, y: str) -> Column:
+    """A lower bound of the number of shingles that only one of two members has."""
+    return reduce(Column.__add__, (F.bit_count(F.col(f"{x}_parity_{k}").bitwiseXOR(F.col(f"{y}_parity_{k}"))) for k in range(PARITIES // 64)))
+
+
 def unequal_bins(x: str, y: str, longs: int) -> Column:
     """In how many bins the two bits of two members differ."""
     each = [F.col(f"{x}_print_{k}").bitwiseXOR(F.col(f"{y}_print_{k}")) for k in range(longs)]
@@ -142,12 +159,13 @@ def _sketcher(width: int, bands: int, rows: int):
         salt = mixed(np.arange(bands * rows, dtype="u8") // np.uint64(rows) + np.uint64(1))
         with np.errstate(over="ignore"):
             for b in batches:
-                sizes, sets, keys, prints = [], [], [], []
+                sizes, sets, keys, prints, odds = [], [], [], [], []
                 for _, texts in text_runs(b.column(1), SLICE_BYTES):
                     for text in texts:
                         found = shingles(text, width)
                         sizes.append(len(found))
                         sets.append(xxhash.xxh3_128_digest(found.tobytes()))
+                        odds.append(parities(found).tolist())
                         if len(found):
                             least = mixed(sketch(found, bands * rows, asked) ^ salt).reshape(bands, rows)
                             total = least[:, 0]
@@ -160,29 +178,38 @@ def _sketcher(width: int, bands: int, rows: int):
                             prints.append(np.zeros(longs, "i8"))
                 ends = np.cumsum([0, *map(len, keys)])
                 flat = np.concatenate([*keys, np.zeros(0, "i8")])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array([x.tolist() for x in prints], pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_id", "bands", "print"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array([x.tolist() for x in prints], pa.list_(pa.int64())), pa.array(odds, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_id", "bands", "print", "parity"])
 
     return run
 
 
 def sketches(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, set_id (a 128-bit digest of the set), bands (bucket keys), print (two bits of each bin) of docs (doc_id, text)."""
+    """doc_id, n_shingles, set_id (a 128-bit digest of the set), bands (bucket keys), print (two bits of each bin), parity of docs (doc_id, text)."""
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows_in.mapInArrow(_sketcher(width, bands, rows), "doc_id long, n_shingles long, set_id binary, bands array<long>, print array<long>")
+    return rows_in.mapInArrow(_sketcher(width, bands, rows), "doc_id long, n_shingles long, set_id binary, bands array<long>, print array<long>, parity array<long>")
 
 
-def _set_maker(width: int):
+def _confirmer(width: int, similarity: tuple[int, int]):
+    """Of rows (a, b, text of the other, text of the hub), a and b where the full sets reach the similarity."""
+    part, of = similarity
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        hub, hubs_set = None, None
         with np.errstate(over="ignore"):
             for b in batches:
-                for at, texts in text_runs(b.column(1), SLICE_BYTES):
-                    found = [shingles(t, width).view("i8") for t in texts]
-                    ends = np.cumsum([0, *map(len, found)])
-                    flat = np.concatenate(found)
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "members"])
+                linked = []
+                for at, texts in text_runs(b.column(2), SLICE_BYTES):
+                    for k, text in enumerate(texts, at):
+                        if (new := b.column(3)[k].as_py() or b"") != hub:
+                            hub, hubs_set = new, shingles(new, width)
+                        own = shingles(text, width)
+                        shared = len(own) + len(hubs_set) - len(np.union1d(own, hubs_set))
+                        linked.append(of * shared >= part * (len(own) + len(hubs_set) - shared))
+                rows = pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"])
+                yield rows.filter(pa.array(linked, pa.bool_()))
 
     return run
 
@@ -194,36 +221,40 @@ def near(shared: Column, left: Column, right: Column, similarity: tuple[int, int
 
 
 def links(docs: DataFrame, classes: DataFrame, width: int, similarity: tuple[int, int], bins: int = BANDS * ROWS) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links (a, b) between classes (rep, n_shingles, bands, print), and their components."""
-    longs = -(-bins // 32)
-    buckets = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"), F.col("n_shingles").alias("size"), *(F.col("print")[k].alias(f"print_{k}") for k in range(longs)))
+    """Confirmed links (a, b) between classes (rep, n_shingles, bands, print, parity), and their components."""
+    longs, (part, of) = -(-bins // 32), similarity
+    buckets = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"))
+    prints = [F.col(name)[k].alias(f"{name}_{k}") for name, n in (("print", longs), ("parity", PARITIES // 64)) for k in range(n)]
+    members = classes.select(F.col("rep").alias("id"), F.col("n_shingles").alias("size"), *prints)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
 
     def close(x: str, y: str) -> Column:
-        sizes = near(F.least(f"{x}_size", f"{y}_size"), F.col(f"{x}_size"), F.col(f"{y}_size"), similarity)
-        return sizes & (unequal_bins(x, y, longs) <= most_unequal(F.least(f"{x}_size", f"{y}_size"), bins, similarity[0] / similarity[1]))
+        a, b = F.col(f"{x}_size"), F.col(f"{y}_size")
+        sizes = near(F.least(a, b), a, b, similarity)
+        odd = (of + part) * unequal_parities(x, y) <= (of - part) * (a + b)
+        return sizes & odd & (unequal_bins(x, y, longs) <= most_unequal(F.least(a, b), bins, part / of))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = written(texts.join(wanted, "id").mapInArrow(_set_maker(width), "id long, members array<long>"), "sets")
-        one, two = (sets.select(F.col("id").alias(c), F.col("members").alias(f"of_{c}")) for c in ("a", "b"))
-        shared = F.size(F.array_intersect("of_a", "of_b"))
-        return pairs.join(one, "a").join(two, "b").where(near(shared, F.size("of_a"), F.size("of_b"), similarity)).select("a", "b").distinct()
+        other = F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+        wanted = pairs.select("a", "b", "hub", other.alias("id"))
+        wanted = wanted.join(texts.withColumnRenamed("text", "other_text"), "id").drop("id")
+        wanted = wanted.join(texts.withColumnsRenamed({"id": "hub", "text": "hub_text"}), "hub")
+        return wanted.select("a", "b", "other_text", "hub_text").mapInArrow(_confirmer(width, similarity), "a long, b long").distinct()
 
-    return star_links(buckets, close, confirm)
+    return star_links(buckets, members, close, confirm)
 
 
 def groups(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each document (doc_id, text)."""
     own = written(sketches(docs, width, bands, rows), "sketches")
     live = own.where(F.col("n_shingles") > 0).where(F.col("doc_id").isNotNull())
-    classes = live.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("print").alias("print"))
+    classes = live.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("print").alias("print"), F.first("parity").alias("parity"))
     classes = written(classes, "classes")
     _, named = links(docs, classes, width, similarity, bands * rows)
     named = named.withColumnRenamed("node", "rep").withColumnRenamed("component", "part")
     placed = classes.select("set_id", "rep").join(named, "rep", "left").select("set_id", F.coalesce("part", "rep").alias("part"))
     return (
-        own.drop("bands", "print")
+        own.drop("bands", "print", "parity")
         .join(placed, "set_id", "left")
         .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("part", "doc_id")).otherwise(F.col("doc_id")))
         .select("doc_id", "n_shingles", "component_id", (F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("kept"))

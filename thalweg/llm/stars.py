@@ -1,11 +1,17 @@
 """Links between the members of buckets by star-shaped candidates, whole but without all pairs.
 
-In each bucket the members stand in an order drawn for the bucket. The first is the
-centre of a star: it is compared with all others. Links found are confirmed and joined
-to components; buckets whose members are all of one component are done. In the others
-the next members are centres, 4 times as many each round, for those of other components
-only, until every member has been a centre. A group of thousands of near copies so costs
-a star or two; only members that resemble nothing in their bucket meet one by one.
+In each bucket the members stand in order, those first that meet the most others over
+all of their buckets: an original meets each of its altered copies, these meet fewer of
+one another. The first is the centre of a star: it is compared with all others. Links
+found are confirmed and joined to components; buckets whose members are all of one
+component are done. In the others the next members are centres, 4 times as many each
+round, for those of other components only, until every member has been a centre. A group
+of thousands of near copies so costs a star or two; only members that resemble nothing
+in their bucket meet one by one.
+
+No task holds a bucket: sizes are counts with partial sums, centres are found by a
+limited rank that each task applies before the shuffle, and the rest are joins, whose
+large keys adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -27,35 +33,45 @@ def all_of(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def star_links(rows: DataFrame, close: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(links (a, b), components (node, component)) of rows (bucket, id, and what close needs).
+def star_links(buckets: DataFrame, members: DataFrame, close: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(links (a, b), components (node, component)) of buckets (bucket, id) of members (id, and what close needs).
 
     bucket: any key. close(x, y): a condition on the columns of two members, x_... and
-    y_..., that all links meet. confirm: keeps of pairs (a, b) those that are links.
+    y_..., that all links meet. confirm: keeps of pairs (a, b, hub: the centre's id)
+    those that are links.
     """
-    attributes = [c for c in rows.columns if c != "bucket"]
-    members = Window.partitionBy("bucket")
-    turn = F.row_number().over(members.orderBy(F.xxhash64("bucket", "id"), "id"))
-    live = written(rows.withColumns({"turn": turn, "_n": F.count("*").over(members)}).where("_n > 1").drop("_n"), "buckets")
-    live = live.withColumn("part", F.col("id"))
-    compared, found, named, first, last = [], [], None, 1, 1
+    attributes = members.columns
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    met = written(buckets.join(sizes, "bucket"), "buckets")
+    most_met = met.groupBy("id").agg(F.sum("n").alias("n"))
+    turn = F.struct((-F.col("n")).alias("n"), F.xxhash64("bucket", "id").alias("h"), F.col("id").alias("i"))
+    live = written(met.drop("n").join(members.join(most_met, "id"), "id").select("bucket", turn.alias("turn"), F.col("id").alias("part"), *attributes), "members")
+    compared, found, named, centres = [], [], None, 1
     while live.take(1):
-        x = live.where(F.col("turn").between(first, last)).select("bucket", "turn", "part", *(F.col(c).alias(f"x_{c}") for c in attributes)).withColumnsRenamed({"turn": "x_turn", "part": "x_part"})
-        y = live.where(F.col("turn") > first).select("bucket", "turn", "part", *(F.col(c).alias(f"y_{c}") for c in attributes))
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("turn"))
+        first = written(live.withColumn("_rank", rank).where(F.col("_rank") <= centres).drop("_rank"), f"centres-{centres}")
+        x = first.select("bucket", F.col("turn").alias("x_turn"), F.col("part").alias("x_part"), *(F.col(c).alias(f"x_{c}") for c in attributes))
+        y = live.select("bucket", "turn", "part", *(F.col(c).alias(f"y_{c}") for c in attributes))
         pairs = y.join(x, "bucket").where((F.col("turn") > F.col("x_turn")) & (F.col("part") != F.col("x_part")) & close("x", "y"))
-        pairs = pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+        pairs = pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"), F.col("x_id").alias("hub")).groupBy("a", "b").agg(F.min("hub").alias("hub"))
         if compared:
             pairs = pairs.join(all_of(compared), ["a", "b"], "left_anti")
-        pairs = written(pairs, f"pairs-{first}")
-        compared.append(pairs)
-        found.append(written(confirm(pairs), f"links-{first}"))
-        named = components(all_of(found))
-        first, last = last + 1, last + GROWTH * (last - first + 1)
-        live = live.where(F.col("turn") >= first).drop("part").join(named.withColumnRenamed("node", "id").withColumnRenamed("component", "part"), "id", "left").withColumn("part", F.coalesce("part", "id"))
+        pairs = written(pairs, f"pairs-{centres}")
+        if pairs.take(1):
+            compared.append(pairs.select("a", "b"))
+            found.append(written(confirm(pairs).select("a", "b"), f"links-{centres}"))
+            stars = [named.select(F.col("component").alias("a"), F.col("node").alias("b"))] if named else []
+            named = components(all_of([found[-1], *stars]))
+        last = first.groupBy("bucket").agg(F.max("turn").alias("last"))
+        live = live.join(last, "bucket").where("turn > last").drop("last")
+        if named:
+            live = live.drop("part").join(named.withColumnsRenamed({"node": "id", "component": "part"}), "id", "left").withColumn("part", F.coalesce("part", "id"))
+        live = live.select("bucket", "turn", "part", *attributes)
         several = live.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("bucket")
-        live = written(live.join(several, "bucket"), f"live-{first}")
+        centres *= GROWTH
+        live = written(live.join(several, "bucket"), f"live-{centres}")
     if not found:
-        kind = rows.schema["id"].dataType.simpleString()
-        none = rows.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
+        kind = buckets.schema["id"].dataType.simpleString()
+        none = buckets.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
         return none, none.withColumnsRenamed({"a": "node", "b": "component"})
     return all_of(found), named
