@@ -9,9 +9,10 @@ round, for those of other components only, until every member has been a centre.
 of thousands of near copies so costs a star or two; only members that resemble nothing
 in their bucket meet one by one.
 
-No task holds a bucket: sizes are counts with partial sums, centres are found by a
-limited rank that each task applies before the shuffle, and the rest are joins, whose
-large keys adaptive execution splits.
+Sizes are counts with partial sums, and the rest are joins, whose large keys adaptive
+execution can split. Centres are found by a limited rank that each task applies before
+the shuffle, up to Spark's limit of 1000 rows; from the sixth round on (1024 centres) the
+rank takes what is left of a bucket, more than 341 members, to one task.
 """
 
 from __future__ import annotations
