@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import random
+import re
 from pathlib import Path
 
 import pytest
@@ -79,3 +81,28 @@ def test_empty(no_docs, spark):
 def test_toxic_labels_are_not_trusted(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 0, 0), (4, 1, None), (5, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int")
     assert {r[0] for r in quality.trusted_ids(labels).collect()} == {1, 4}
+
+
+@pytest.mark.parametrize("block", [2_000_000, 7])
+def test_worst_words_equal_a_plain_model(spark, block):
+    order = 3
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, gram string").repartition(3)
+    table = quality.probabilities(quality.grams(docs, order), quality.grams(docs.where("doc_id < 3"), order), order)
+    found = {r["doc_id"]: r["worst"] for r in quality.log_likelihoods(docs, table, order, block).collect()}
+    p = model([t for t in TEXTS[:3] if t], order)
+    for i, t in enumerate(TEXTS):
+        padded = "\x02" * (order - 1) + (t or "")
+        logs = [math.log(p(padded[k : k + order])) for k in range(len(t or ""))]
+        means = [sum(logs[m.start() : m.end()]) / len(m[0]) for m in re.finditer(r"\S{4,}", t or "")]
+        assert found[i] == (pytest.approx(min(means), rel=1e-5) if means else None)
+
+
+def test_a_few_words_in_good_prose_reject(spark):
+    """Documents of which only one word is not as in trusted text."""
+    r = random.Random(3)
+    prose = lambda: " ".join(r.choices(["river", "stone", "water", "runs", "down", "hill", "the", "over"], k=300))
+    texts = {k: prose() for k in range(200)} | {k: prose() + " zqxwvkj " + prose() for k in range(200, 220)}
+    docs = spark.createDataFrame([(k, "en", t) for k, t in texts.items()], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(150)], "doc_id long, quality int, toxic int")
+    found = {row["doc_id"]: row["keep"] for row in quality.scores(docs, labels).collect()}
+    assert not any(found[k] for k in range(200, 220)) and sum(found[k] for k in range(150, 200)) >= 45

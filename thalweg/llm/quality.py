@@ -6,10 +6,13 @@ dealt out by n-gram; the n-grams that occur anywhere in the corpus are joined wi
 from the shortest order up, which gives each its interpolated probability. Documents
 look theirs up in blocks of that table of at most BLOCK_GRAMS entries, each of them one
 broadcast, and sum the logarithms: a document's perplexity is that of its characters.
-Short texts say little, so SMOOTHING characters of the language's mean are added.
+Short texts say little, so SMOOTHING characters of the language's mean are added. A few
+words that trusted text doesn't have are lost in the mean over a document, so its worst
+word counts too: the least mean logarithm over the characters of one of its words (what
+stands between white space) of at least LEAST_LETTERS characters.
 
 A document is rejected if its perplexity is above `margin` times the language's
-quantile of trusted documents. One in HELD_OUT of these, by a hash of the id, is kept
+quantile of trusted documents, or its worst word's above the quantile of these. One in HELD_OUT of these, by a hash of the id, is kept
 out of the model's counts and sets the quantiles and means, since the model knows the
 texts it was counted on too well. Languages with less than ENOUGH of them take the
 quantile of all where it is larger; without any, the model's own documents stand in.
@@ -18,7 +21,7 @@ Characters rather than words, since n-grams of words of a corpus are nearly as m
 its words, and every one of them would have to cross the network.
 
 Defined results: null and empty texts have no n-grams, the language's mean perplexity,
-and stay; a null language is a language of its own; several labels of an id must all
+and stay; without a word of LEAST_LETTERS characters there is no worst one (null); a null language is a language of its own; several labels of an id must all
 trust it; without any trusted text nothing is rejected (perplexity null).
 """
 
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from thalweg.llm.tables import written
 
@@ -33,12 +37,15 @@ ORDER = 5
 QUANTILE = 0.99
 MARGIN = 1.1
 SMOOTHING = 60
+LEAST_LETTERS = 4
 HELD_OUT = 5
 ENOUGH = 20
 BLOCK_GRAMS = 2_000_000
 #: Distinct n-grams that a task holds before it hands them on.
 HELD_GRAMS = 1_000_000
 SLICE_CHARS = 4_000_000
+#: Characters whose probabilities a task holds at once, beside the block of n-grams.
+SCORED_CHARS = 1_000_000
 START = "\x02"
 
 
@@ -166,7 +173,20 @@ def probabilities(wanted: DataFrame, trusted: DataFrame, order: int = ORDER) ->
     return found
 
 
-def _scorer(block, order: int, text_at: int):
+def words(flat, begins):
+    """(begins, ends) of the runs of at least LEAST_LETTERS characters between white space, and the text of each."""
+    import numpy as np
+
+    letter = ~np.isin(flat, [*map(ord, START + "\t\n\x0b\x0c\r\x85\xa0\u3000 ")])
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], letter, [False]]).astype("i1")))
+    a, b = edges[::2], edges[1::2]
+    a, b = a[b - a >= LEAST_LETTERS], b[b - a >= LEAST_LETTERS]
+    return a, b, np.searchsorted(begins, a, "right") - 1
+
+
+def _scorer(block, order: int, text_at: int, first: bool, last: bool):
+    """Adds a block's share to log_p, and to the mean logarithm of each word; the last block leaves the least of these."""
+
     def run(batches):
         import numpy as np
         import pandas as pd
@@ -176,8 +196,9 @@ def _scorer(block, order: int, text_at: int):
         table = pd.Index(keys)
         for b in batches:
             texts = [t or "" for t in b.column(text_at).to_pylist()]
-            sums = []
-            for some in runs_of(texts):
+            sums, means, of = [], [np.zeros(0, "f4")], [np.zeros(0, "i8")]
+            done = 0
+            for some in runs_of(texts, SCORED_CHARS):
                 flat, begins = characters(some, order)
                 h = hashes(flat, order)
                 values = np.zeros(len(h) + 1)
@@ -188,25 +209,44 @@ def _scorer(block, order: int, text_at: int):
                 total = np.concatenate([[0.0], np.cumsum(values)])
                 ends = np.minimum(begins, len(values))
                 sums.append(total[ends[1:]] - total[ends[:-1]])
-            new = np.concatenate([*sums, np.zeros(0)]) + b.column(b.num_columns - 1).to_numpy()
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(new)], b.schema.names)
+                start, end, text = words(flat, begins)
+                # the n-gram of a character begins order - 1 places before it
+                means.append(((total[end - order + 1] - total[start - order + 1]) / (end - start)).astype("f4"))
+                of.append(text + done)
+                done += len(some)
+            log_p, rest = b.schema.get_field_index("log_p"), [] if first else [b.column(b.num_columns - 1).flatten().to_numpy(zero_copy_only=False)]
+            mean, of = np.concatenate(means), np.concatenate(of)
+            mean = mean + rest[0] if rest else mean
+            ends = np.searchsorted(of, np.arange(len(texts) + 1))
+            new = pa.array(np.concatenate([*sums, np.zeros(0)]) + b.column(log_p).to_numpy())
+            if last:
+                has = ends[1:] > ends[:-1]
+                least = np.full(len(texts), np.nan)
+                least[has] = np.minimum.reduceat(mean, ends[:-1][has]) if has.any() else 0
+                extra = pa.array(least, pa.float64(), mask=~has)
+            else:
+                extra = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(mean, pa.float32()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:log_p], new, extra], [*b.schema.names[:log_p], "log_p", "worst" if last else "means"])
 
     return run
 
 
 def log_likelihoods(docs: DataFrame, table: DataFrame, order: int = ORDER, block: int = BLOCK_GRAMS) -> DataFrame:
-    """docs with log_p: the sum of the logarithms of the probabilities of their characters."""
+    """docs with log_p, the sum of the logarithms of the probabilities of their characters, and worst, the least mean of a word."""
     import numpy as np
 
     context, n = docs.sparkSession.sparkContext, table.count()
-    parts = -(-n // block)
+    parts = max(1, -(-n // block))
     scored = docs.withColumn("log_p", F.lit(0.0))
+    columns = scored.schema
     for k in range(parts):
         part = table.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == k).select("gram", F.ln("p").alias("log_p")).toArrow()
         texts = [g.ljust(order, "\0") for g in part.column("gram").to_pylist()]
         flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(texts), order)
         keys = hashes_of_rows(flat)
-        scored = scored.mapInArrow(_scorer(context.broadcast((keys, part.column("log_p").to_numpy())), order, docs.columns.index("text")), scored.schema)
+        last = k == parts - 1
+        schema = T.StructType([*columns.fields, T.StructField("worst", T.DoubleType()) if last else T.StructField("means", T.ArrayType(T.FloatType()))])
+        scored = scored.mapInArrow(_scorer(context.broadcast((keys, part.column("log_p").to_numpy())), order, docs.columns.index("text"), k == 0, last), schema)
     return scored
 
 
@@ -219,7 +259,7 @@ def hashes_of_rows(rows):
 
 
 def scores(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """doc_id, lang, n_chars, perplexity, threshold, keep of docs (doc_id, lang, text)."""
+    """doc_id, lang, n_chars, perplexity, threshold, worst_word (its perplexity), worst_threshold, keep of docs (doc_id, lang, text)."""
     docs = docs.select("doc_id", "lang", "text")
     good = written(trusted_ids(labels), "trusted")
     held = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0)
@@ -227,14 +267,14 @@ def scores(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: flo
     trusted = written(grams(docs.join(fitted, "doc_id", "left_semi"), order), "trusted-grams")
     wanted = written(grams(docs, order), "corpus-grams")
     scored = log_likelihoods(docs, probabilities(wanted, trusted, order), order)
-    scored = written(scored.select("doc_id", "lang", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), "log_p"), "likelihoods")
+    scored = written(scored.select("doc_id", "lang", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), "log_p", F.exp(-F.col("worst")).alias("worst_word")), "likelihoods")
     for ids in (held, fitted):
         known = scored.join(ids, "doc_id", "left_semi")
         total = known.agg(F.try_divide(F.sum("log_p"), F.sum("n_chars"))).first()[0]
         if total is not None:
             break
     if total is None:
-        return scored.select("doc_id", "lang", "n_chars", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("keep"))
+        return scored.select("doc_id", "lang", "n_chars", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(None).cast("double").alias("worst_word"), F.lit(None).cast("double").alias("worst_threshold"), F.lit(True).alias("keep"))
     means = written(known.groupBy(F.col("lang").alias("_lang")).agg(F.try_divide(F.sum("log_p"), F.sum("n_chars")).alias("mean")), "means")
 
     def smoothed(rows: DataFrame) -> DataFrame:
@@ -243,12 +283,15 @@ def scores(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: flo
         return rows.join(means, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("perplexity", F.exp(-log_p)).drop("_lang", "mean")
 
     known = smoothed(known)
-    limit = F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000))
-    every = known.agg(limit).first()[0]
-    limits = known.groupBy(F.col("lang").alias("_lang")).agg(limit.alias("limit"), F.count("*").alias("n"))
+    measures = ("perplexity", "worst_word")
+    limit = [F.percentile_approx(m, F.lit(quantile), F.lit(100_000)).alias(f"{m}_limit") for m in measures]
+    every = known.agg(*limit).first()
+    limits = known.groupBy(F.col("lang").alias("_lang")).agg(*limit, F.count("*").alias("n"))
     found = smoothed(scored).join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    threshold = F.when(F.col("n") >= ENOUGH, F.col("limit")).otherwise(F.greatest("limit", F.lit(every)))
-    return found.withColumn("threshold", margin * threshold).select("doc_id", "lang", "n_chars", "perplexity", "threshold", (F.col("perplexity") <= F.col("threshold")).alias("keep"))
+    threshold, worst = (F.when(F.col("n") >= ENOUGH, F.col(c)).otherwise(F.greatest(F.col(c), F.lit(every[c]).cast("double"))) for c in (f"{m}_limit" for m in measures))
+    found = found.withColumn("threshold", margin * threshold).withColumn("worst_threshold", worst)
+    keep = (F.col("perplexity") <= F.col("threshold")) & F.coalesce(F.col("worst_word") <= F.col("worst_threshold"), F.lit(True))
+    return found.select("doc_id", "lang", "n_chars", "perplexity", "threshold", "worst_word", "worst_threshold", keep.alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
