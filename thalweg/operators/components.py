@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.session import shared_dir
+from thalweg.session import discard, written
 
 MOST_ROUNDS = 60
 
@@ -16,10 +16,10 @@ def components(edges: DataFrame) -> DataFrame:
     Rounds of two star steps: each node hands its larger neighbours to its least
     neighbour, then its smaller ones. Edges keep to the size of the input, and a chain
     halves in each round; the result is a star around each component's least node. Each
-    round is checkpointed to the shared folder.
+    round is a table in the shared folder, which the next one's replaces.
     """
-    shared_dir(edges.sparkSession)
-    both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
+    both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    both = written(both, "pairs")
     state = _state(both)
     for _ in range(MOST_ROUNDS):
         if not state[0]:
@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
         # neighbours below a node, and the node, go to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        both = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct().checkpoint()
+        previous, both = both, written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "star")
+        discard(previous)
         before, state = state, _state(both)
         if state == before:
             break
