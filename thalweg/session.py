@@ -63,7 +63,8 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextlib.contextmanager
-def _cleaned(spark: SparkSession):
+def shuffles_removed(spark: SparkSession):
+    """What is executed inside leaves no shuffle files: for plans that run once."""
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -79,7 +80,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/thalweg/{uuid.uuid4().hex}/{name}"
-    with _cleaned(spark):
+    with shuffles_removed(spark):
         df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_to = path.rsplit("/", 1)[0]
