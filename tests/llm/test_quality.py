@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -26,18 +27,58 @@ def model(texts, order):
     return brute.kneser_ney(texts, order, cuts)
 
 
-@pytest.mark.parametrize("block", [2_000_000, 7])
+def scored(spark, order, block_bytes):
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(TEXTS)], "doc_id long, text string, lang string, gram string").repartition(3)
+    flags = spark.createDataFrame([(i, quality.TRUSTED) for i in range(3)], "doc_id long, flag int")
+    return {r["doc_id"]: r for r in quality.likelihoods(docs, flags, order, block_bytes).collect()}
+
+
+@pytest.mark.parametrize("block", [1 << 26, 7])
 def test_likelihoods_equal_a_plain_model(spark, block):
     order = 3
-    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, gram string").repartition(3)
     trusted = [t for t in TEXTS[:3] if t]
-    table = quality.probabilities(quality.grams(docs, order), quality.grams(docs.where("doc_id < 3"), order), order)
-    found = {r["doc_id"]: r["log_p"] for r in quality.log_likelihoods(docs, table, order, block).collect()}
+    found = scored(spark, order, block)
     p = model(trusted, order)
     for i, t in enumerate(TEXTS):
         padded = "\x02" * (order - 1) + (t or "")
         want = sum(math.log(p(padded[k : k + order])) for k in range(len(t or "")))
-        assert found[i] == pytest.approx(want, rel=1e-9, abs=1e-9)
+        assert found[i]["log_p"] == pytest.approx(want, rel=1e-6, abs=1e-6) and found[i]["n_chars"] == len(t or "")
+
+
+def test_toxicity_equals_a_plain_model(spark):
+    order, texts = 3, ["the river runs", "the rain rains", "a stone", "the foul river fouls", "foul stone", None, ""]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    flags = spark.createDataFrame([(0, 1), (1, 1), (2, 1), (3, 2)], "doc_id long, flag int")
+    found = {r["doc_id"]: r["toxicity"] for r in quality.likelihoods(docs, flags, order).collect()}
+    p, pad = model(texts[:3], order), "\x02" * (order - 1)
+    toxic = Counter((pad + texts[3])[k : k + order] for k in range(len(texts[3])))
+    for i, t in enumerate(texts):
+        padded, want = pad + (t or ""), 0.0
+        grams = [padded[k : k + order] for k in range(len(t or ""))]
+        ratios = [math.log((toxic[g] / p(g) + quality.TOXIC_PRIOR) / (sum(n for x, n in toxic.items() if x[:-1] == g[:-1]) + quality.TOXIC_PRIOR)) for g in grams]
+        for m in re.finditer(r"\S+", t or ""):
+            want += math.log(1 + quality.TOXIC_WORDS * (math.exp(sum(ratios[m.start() : m.end()])) - 1))
+        assert found[i] == pytest.approx(want, rel=1e-5, abs=1e-6)
+
+
+def test_long_texts_are_scored_in_slices(spark, monkeypatch):
+    """Slices, packs and blocks change nothing: these settings hold in the driver's own run of the functions."""
+    import pyarrow as pa
+
+    r = random.Random(2)
+    text = " ".join(r.choices(TEXTS[0].split() + ["x" * 400], k=3000))
+    monkeypatch.setattr(quality, "SCORED_CHARS", 5000)
+    monkeypatch.setattr(quality, "LOOK_BACK", 300)
+    flat, _ = quality.characters([text], 3)
+    seen, grams = [], 0
+    for part, begins in quality._slices([text], 3):
+        grams += len(part) - 2
+        seen.append(part[2:])
+    assert len(seen) > 3 and grams == len(text)
+    assert "".join(chr(c) for part in seen for c in part) == text
+    b = pa.RecordBatch.from_pydict({"block": pa.array([0, 1, 0], pa.int32()), "doc_id": [1, None, 3], "lang": ["a", None, "b"], "text": pa.array([text.encode(), None, b"x"], pa.binary())})
+    packed = [p for batch in quality._packer([b]) for p in batch.to_pylist()]
+    assert sorted((p["block"], p["ids"], p["langs"], p["sizes"]) for p in packed) == [(0, [1, 3], ["a", "b"], [len(text), 1]), (1, [None], [None], [0])]
 
 
 def test_probabilities_of_a_context_sum_to_one_at_most():
@@ -83,18 +124,16 @@ def test_toxic_labels_are_not_trusted(spark):
     assert {r[0] for r in quality.trusted_ids(labels).collect()} == {1, 4}
 
 
-@pytest.mark.parametrize("block", [2_000_000, 7])
+@pytest.mark.parametrize("block", [1 << 26, 7])
 def test_worst_words_equal_a_plain_model(spark, block):
     order = 3
-    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, gram string").repartition(3)
-    table = quality.probabilities(quality.grams(docs, order), quality.grams(docs.where("doc_id < 3"), order), order)
-    found = {r["doc_id"]: r["worst"] for r in quality.log_likelihoods(docs, table, order, block).collect()}
+    found = scored(spark, order, block)
     p = model([t for t in TEXTS[:3] if t], order)
     for i, t in enumerate(TEXTS):
         padded = "\x02" * (order - 1) + (t or "")
         logs = [math.log(p(padded[k : k + order])) for k in range(len(t or ""))]
         means = [sum(logs[m.start() : m.end()]) / len(m[0]) for m in re.finditer(r"\S{4,}", t or "")]
-        assert found[i] == (pytest.approx(min(means), rel=1e-5) if means else None)
+        assert found[i]["worst"] == (pytest.approx(min(means), rel=1e-5) if means else None)
 
 
 def test_a_few_words_in_good_prose_reject(spark):

@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from thalweg.llm.components import components
-from thalweg.llm.tables import written
+from thalweg.operators.components import components
+from thalweg.session import discard, written
 
 GROWTH = 4
 
@@ -47,8 +47,10 @@ def star_links(buckets: DataFrame, members: DataFrame, close: Callable[[str, str
     most_met = met.groupBy("id").agg(F.sum("n").alias("n"))
     turn = F.struct((-F.col("n")).alias("n"), F.xxhash64("bucket", "id").alias("h"), F.col("id").alias("i"))
     live = written(met.drop("n").join(members.join(most_met, "id"), "id").select("bucket", turn.alias("turn"), F.col("id").alias("part"), *attributes), "members")
+    discard(met)
     compared, found, named, centres = [], [], None, 1
     while live.take(1):
+        before = live
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("turn"))
         first = written(live.withColumn("_rank", rank).where(F.col("_rank") <= centres).drop("_rank"), f"centres-{centres}")
         x = first.select("bucket", F.col("turn").alias("x_turn"), F.col("part").alias("x_part"), *(F.col(c).alias(f"x_{c}") for c in attributes))
@@ -70,7 +72,9 @@ def star_links(buckets: DataFrame, members: DataFrame, close: Callable[[str, str
         live = live.select("bucket", "turn", "part", *attributes)
         several = live.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("bucket")
         centres *= GROWTH
-        live = written(live.join(several, "bucket"), f"live-{centres}")
+        rest = written(live.join(several, "bucket"), f"live-{centres}")
+        discard(before, first)
+        live = rest
     if not found:
         kind = buckets.schema["id"].dataType.simpleString()
         none = buckets.sparkSession.createDataFrame([], f"a {kind}, b {kind}")

@@ -2,40 +2,38 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of a text are what stands between these characters (fixed values).
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+from thalweg.session import written
+
+
+#: Rows that a part of in_order() holds, on average at most.
+PART_ROWS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+def apart(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """(docs whose columns but the used ones have names that no operator uses; docs' own columns of it, as they were)."""
+    names = [c if c in used else f"own_column_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
 
-    Only where that is unset (a local session, as in tests) a temporary folder of
-    this machine is used.
-    """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="thalweg-")
-        sc.setCheckpointDir(base)
+
+def free_name(base: str, *frames: DataFrame) -> str:
+    """base, or base with underscores, such that no frame has a column of that name."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while base.lower() in taken:
+        base += "_"
     return base
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/thalweg/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is among ids (doc_id); null ids match one another."""
+    key = free_name("kept_id", docs)
+    return docs.join(ids.select(F.col("doc_id").alias(key)).distinct(), F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
 
 
 def text_runs(column, most: int):
@@ -64,7 +62,7 @@ def in_order(df: DataFrame, *columns: str, sums: dict[str, str] | None = None) -
     """
     sums = sums or {}
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // PART_ROWS))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     names = df.columns
 
