@@ -22,13 +22,15 @@ from itertools import repeat
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words are runs of these once A-Z are lower case (fixed values).
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+from thalweg.llm.tables import apart
+from thalweg.session import discard, written
+
 WINDOW = 13
 #: A document is contaminated if it has hits and SHARE * hits >= words.
 SHARE = 20
 BLOCK_WORDS = 1_000_000
 
+# Words are runs of what is none of these, once A-Z are lower case.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _BASE = 0x9E3779B97F4A7C15
@@ -161,10 +163,15 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     new = ["n_words", "hit_spans", "hit_items"]
     found = docs.drop(*new).withColumns(dict(zip(new, (F.lit(0).cast("long"), F.array().cast("array<int>"), F.array().cast("array<string>")), strict=True)))
     start, text_at = found, found.columns.index("text")
-    context = docs.sparkSession.sparkContext
+    context, schema, sent = docs.sparkSession.sparkContext, found.schema, None
     for block in blocks(benchmark, window, block_words):
-        found = found.mapInArrow(_scanner(context.broadcast(block), text_at), found.schema)
-    return found if found is not start else found.mapInArrow(_scanner(context.broadcast(Windows([], window)), text_at), found.schema)
+        if sent:  # only one block is held at a time
+            before, found = found, written(found, "hits")
+            discard(before)
+            sent.destroy()
+        sent = context.broadcast(block)
+        found = found.mapInArrow(_scanner(sent, text_at), schema)
+    return found if found is not start else found.mapInArrow(_scanner(context.broadcast(Windows([], window)), text_at), schema)
 
 
 def n_hit() -> Column:
@@ -198,8 +205,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     Contaminated documents go; with spans, only hit words go, from every document.
     """
+    docs, own = apart(docs, "doc_id", "text")
     found = find_hits(docs, benchmark, window)
     if not spans:
-        return found.where(~contaminated(n_hit(), F.col("n_words"), share)).select(*docs.columns)
-    clean = F.udf(lambda text, runs: None if text is None else without_spans(text.encode(), runs).decode(), "string")
-    return found.withColumn("text", F.when(F.size("hit_spans") > 0, clean("text", "hit_spans")).otherwise(F.col("text"))).select(*docs.columns)
+        return found.where(~contaminated(n_hit(), F.col("n_words"), share)).select(*own)
+    return found.mapInArrow(_cleaner(docs.columns.index("text"), found.columns.index("hit_spans")), found.schema).select(*own)
+
+
+def _cleaner(text_at: int, spans_at: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            pairs = zip(b.column(text_at).to_pylist(), b.column(spans_at).to_pylist(), strict=True)
+            texts = [without_spans(t.encode(), spans).decode() if spans else t for t, spans in pairs]
+            yield b.set_column(text_at, b.schema.field(text_at), pa.array(texts, b.schema.field(text_at).type))
+
+    return run

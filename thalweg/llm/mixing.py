@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.llm.tables import in_order, written
+from thalweg.llm.tables import apart, in_order
+from thalweg.session import discard, written
 
 WEIGHTS = (1, 2, 3)
 #: No target above so many times its source's size, no document taken more often.
@@ -134,14 +135,17 @@ def _decided(docs: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def mix_sizes(docs: DataFrame, seed: int = 7) -> DataFrame:
     """doc_id, size, source_size, target, taken: one row for each document (doc_id, source, text)."""
-    sized = docs.select("doc_id", "source", word_count().alias("size"))
+    sized = written(docs.select("doc_id", "source", word_count().alias("size")), "sizes")
     found = _decided(sized.withColumnRenamed("size", "_size"), mix_decisions(sized, seed))
     return found.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("copies") * F.col("_size")).alias("taken"))
 
 
 def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mix itself: docs' rows, each as often as it is taken."""
+    docs, own = apart(docs, "doc_id", "source", "text")
     sized = docs.withColumn("_size", word_count())
-    decisions = mix_decisions(docs.select("doc_id", "source", word_count().alias("size")), seed)
-    taken = _decided(sized, decisions.where("copies > 0").select("doc_id", "source", "size", "copies"))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    sizes = written(docs.select("doc_id", "source", word_count().alias("size")), "sizes")
+    decisions = written(mix_decisions(sizes, seed).where("copies > 0").select("doc_id", "source", "size", "copies"), "decisions")
+    discard(sizes)
+    taken = _decided(sized, decisions)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*own)

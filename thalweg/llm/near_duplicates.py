@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thalweg.llm.stars import star_links
-from thalweg.llm.tables import text_runs, written
+from thalweg.llm.tables import text_runs, with_ids
+from thalweg.session import written
 
 WIDTH = 5
 SIMILARITY = (80, 100)
@@ -256,12 +257,11 @@ def groups(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SI
     return (
         own.drop("bands", "print", "parity")
         .join(placed, "set_id", "left")
-        .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("part", "doc_id")).otherwise(F.col("doc_id")))
+        .withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("part", "doc_id")).otherwise(F.col("doc_id")))
         .select("doc_id", "n_shingles", "component_id", (F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("kept"))
     )
 
 
 def deduplicate(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """docs' rows less those near a document with a smaller id; of rows that repeat an id and text, one stays."""
-    kept = groups(docs, width, similarity).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    """docs' rows less those near a document with a smaller id; rows that repeat an id are one document, and stay or go together."""
+    return with_ids(docs, groups(docs.select("doc_id", "text"), width, similarity).where("kept"))

@@ -9,8 +9,8 @@ a fixed number, are needed to see which ranks of an arc go where; documents are
 side by side in cells of an arc and meet the fixed-size plan in a broadcast join.
 
 Defined results: a null text has no bytes; a null id hashes as the word null; rows with
-the same id lie next to each other, ordered by size and checksum. Columns of the
-operator replace columns of the same name.
+the same id lie next to each other, ordered by size and checksum. Where docs have a
+column of a result's name, theirs stays and the result's name gets an underscore.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from thalweg.llm.tables import apart, free_name
+
 SHARDS = 16
 POINTS = 128
 #: Rows that a cell of the ring, which one task ranks, holds on average at most.
@@ -78,6 +80,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, points: int = POINTS) -> DataFr
     spark = docs.sparkSession
     nodes = ring(shards, points)
     on_ring = spark.createDataFrame(arcs(nodes), "_bin long, _above long, _to long, _arc long")  # 2^12 rows and one for each point
+    named = {c: free_name(c, docs) for c in ("size", "text_crc32", "law", "shard", "slot", "grown_shard")}
+    docs, own = apart(docs, "doc_id", "text")
     text = F.coalesce(F.col("text"), F.lit(""))
     new = {"size": F.octet_length(text).cast("long") + 1, "text_crc32": F.crc32(text.cast("binary")), "_hash": ring_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))}
 
@@ -98,6 +102,6 @@ def shard(docs: DataFrame, shards: int = SHARDS, points: int = POINTS) -> DataFr
     else:
         ranked = ranked.withColumn("_rank", F.col("_own"))
     to = spark.createDataFrame(plan(nodes, counts, shards), "_for long, _first long, _end long, shard int, _slot long")  # bounded by points and shards
-    found = ranked.drop("shard", "slot", "law", "grown_shard").join(F.broadcast(to), (F.col("_arc") == F.col("_for")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end")))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("size", "text_crc32", "law", "shard", "slot", "grown_shard")]
-    return found.select(*kept, "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("_slot") + F.col("_rank") - F.col("_first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    found = ranked.join(F.broadcast(to), (F.col("_arc") == F.col("_for")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end")))
+    result = (F.col("size"), F.col("text_crc32"), F.lit("rows"), F.col("shard"), F.col("_slot") + F.col("_rank") - F.col("_first"), F.lit(None).cast("int"))
+    return found.select(*own, *(c.alias(n) for c, n in zip(result, named.values(), strict=True)))
