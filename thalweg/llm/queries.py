@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thalweg.llm import decontamination, html_text, line_dedup, mixing, near_duplicates, nearest, quality, sharding, token_counts, token_files
+from thalweg.llm import decontamination, html_text, line_dedup, mixing, near_duplicates, nearest, oracles, quality, sharding, token_counts, token_files
 from thalweg.llm.tables import table
 
 
@@ -68,4 +68,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
