@@ -58,8 +58,52 @@ def test_long_pages_are_whole():
 
 
 def test_windows_keep_the_densest_stretch():
-    lines = [("menu", 0, False)] * 2 + [("", 0, False)] * 3 + [("text " * 30, 150, False)] * 3 + [("", 0, False)] * 3 + [("short", 5, False)]
-    assert html_text.main_lines(lines) == ["text " * 30] * 3
+    line, gap = html_text.Line, [html_text.GAP_LINE] * 3
+    lines = [line("menu")] * 2 + gap + [line("text " * 30, 150)] * 3 + gap + [line("a short remark", 14)] + gap + [line("links and links")]
+    assert html_text.main_lines(lines) == ["text " * 30] * 3 + ["a short remark"]
+
+
+LONG = "The river runs over stones and down the long hill, past the old mill and on. " * 3
+
+
+def wrapped(body: str, article: bool) -> str:
+    return f"<html><body><nav><a href='/'>Home</a> <a href='/b'>More</a></nav>{'<article>' if article else '<div>'}{body}{'</article>' if article else '</div>'}<footer>of the site</footer></body></html>"
+
+
+@pytest.mark.parametrize("article", [True, False])
+@pytest.mark.parametrize(
+    ("body", "kept"),
+    [
+        (f"<div class='content with-sidebar'><h1>T</h1><p>{LONG}</p></div>", ["T", LONG]),
+        (f"<div class='post has-comments sidebar'><h1>T</h1><p>{LONG}</p></div>", ["T", LONG]),
+        (f"<h1>T</h1><p>{LONG}</p><table class='share-prices'><tr><td>one</td><td>12.5</td></tr></table>", ["T", LONG, "one", "12.5"]),
+        (f"<div><h1>T</h1><p>{LONG}</p></div><section><p>A short closing remark.</p></section>", ["T", LONG, "A short closing remark."]),
+        (f"<section><h1>Headline</h1></section><div><p>{LONG}</p></div>", ["Headline", LONG]),
+        (f"<h1>T</h1><p>{LONG}</p><div class='cookieNotice'><p>We keep cookies.</p></div><form><p>Your name</p></form>", ["T", LONG]),
+        (f"<h1>T</h1><p>{LONG}</p><section class='comments-area'><p>A reader: {LONG[:70]}</p></section>", ["T", LONG]),
+        (f"<h1>T</h1><p>{LONG}</p><div hidden><p>not seen</p></div><ul class='share-links'><li><a href='/x'>Send</a></li></ul>", ["T", LONG]),
+    ],
+)
+def test_shapes_of_articles(body, kept, article):
+    assert html_text.main_text(wrapped(body, article)).split("\n\n") == [k.strip() for k in kept]
+
+
+def test_headings_of_an_articles_header_stay():
+    page = f"<header><h1>The site</h1></header><article class='post'><header><h1>Title</h1><p>By someone</p></header><p>{LONG}</p></article>"
+    assert html_text.main_text(page).split("\n\n") == ["Title", LONG.strip()]
+
+
+def test_adverts_and_notes_of_copyright_without_names():
+    page = f"<div class='x1'>{'Buy one of these fine things while there are some left. ' * 2}</div><div class='x2'><h1>T</h1><p>{LONG}</p></div><div class='x3'>Copyright 2020 Someone and others. All rights reserved in all lands and seas of this world.</div>"
+    assert html_text.main_text(page).split("\n\n") == ["T", LONG.strip()]
+
+
+def test_the_drivers_pages_without_their_names(spark, sf_dir):
+    """With neutral class names and no article element, the text is the same."""
+    for (page,) in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect():
+        if page:
+            bare = page.replace('class="ad"', 'class="q7"').replace("<article>", "<div>").replace("</article>", "</div>")
+            assert html_text.main_text(bare) == html_text.main_text(page)
 
 
 def test_extract(spark):

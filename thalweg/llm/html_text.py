@@ -2,22 +2,29 @@
 
 Markup is stripped and each block (paragraph, heading, list item, cell...) becomes a
 line; where a container begins or ends, empty lines stand, and so does everything that
-is no article by its element or by its class, id or role (menus, headers, footers, sidebars,
-notices, adverts, forms, comments). The text lengths, less those of links, are summed
-over sliding windows of lines. Text begins at the surge where a window's sum rises from
-nothing and ends at the dive where it falls back to nothing; of these stretches, those
-stay that hold the densest window or a window of at least SURGE characters. Where a page
-marks its article or main part, only lines inside are counted.
+is no article by its element (menus, headers, footers, sidebars, forms), or by a class,
+id or role that as a whole names such a thing, notices, adverts or comments; a label is not
+believed of what holds more than half of the text, and the headings of an article's own
+header stay. The text lengths, less those of links, are summed over sliding windows of lines. A
+stretch begins at the surge where a window's sum rises from nothing and ends at the dive
+where it falls back to nothing. The stretch of the densest window (from the first heading of
+the first level on, where there is one) stays, and those after it, unless they are mostly links; of those before it, the ones from the title on (the
+first of the highest headings), or, without headings, those with a window of at least SURGE
+characters. Other stretches of nothing but notes of copyright go. Where a page marks its
+article or main part, all lines inside stay and no others.
 
 Defined results: null or empty html gives an empty text; a page that is all menus gives
-an empty text; unclosed elements end with the page, or, those that are no article, where
-an article begins; pages are handled each on its own, whatever their ids.
+an empty text; unclosed elements end with the page, with an element around them, or,
+those that are no article, where an article begins; pages are handled each on its own,
+whatever their ids.
 """
 
 from __future__ import annotations
 
+import functools
 import html as _html
 import re
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,38 +49,79 @@ LABELS = (
     "comment comments commentlist respond reply replies disqus discussion share sharing social follow search form hidden"
 ).split()
 
+#: Words beside those in a label that do not change what it names.
+PLAIN = (
+    "container wrapper wrap box block section area region list item items inner outer top bottom left right center main primary secondary site page global "
+    "content body post posts entry article articles link links slot unit row col column panel module bar text title heading icon button buttons first last fixed sticky mobile desktop js the"
+).split()
+
+_CLOSING = re.compile(r"^\W*(?:©|\(c\)\s|copyright\b)|\ball rights reserved\b", re.I)
+_BORDERS = frozenset(("body", "section", "div", "table", "ul", "ol", "dl", "figure", "blockquote"))
+#: Elements whose end may be left out.
+_SHUT = frozenset(("p", "li", "dt", "dd", "tr", "td", "th", "option", "hr", "h1", "h2", "h3", "h4", "h5", "h6"))
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _LABEL = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 _NAMES = re.compile(r"[a-z]+")
 _ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
-_RAW, _NOT, _CONTAINERS, _BLOCKS, _VOID, _LABELS = map(frozenset, (RAW, NOT_ARTICLE, CONTAINERS, BLOCKS, VOID, LABELS))
+_RAW, _NOT, _CONTAINERS, _BLOCKS, _VOID, _LABELS, _PLAIN = map(frozenset, (RAW, NOT_ARTICLE, CONTAINERS, BLOCKS, VOID, LABELS, PLAIN))
+
+
+@functools.lru_cache(4096)
+def _is_label(token: str) -> bool:
+    """Whether a class's words are labels, but for words that say nothing."""
+    words = set(_NAMES.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()))
+    return not words.isdisjoint(_LABELS) and words <= _LABELS | _PLAIN
 
 
 def labelled_out(attributes: str) -> bool:
-    """Whether a class, id or role names what is no article, or the element is hidden."""
-    return bool(attributes) and ("=" in attributes or "hidden" in attributes) and (any(not _LABELS.isdisjoint(_NAMES.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower())) for v in _LABEL.findall(attributes)) or bool(_HIDDEN.search(re.sub(r"\"[^\"]*\"", lambda m: m[0] if "display" in m[0] else "", attributes))))
+    """Whether a class, id or role as a whole names what is no article, or the element is hidden."""
+    if not attributes or "=" not in attributes and "hidden" not in attributes:
+        return False
+    if any(_is_label(token) for value in _LABEL.findall(attributes) for token in value.strip("\"'").split()):
+        return True
+    return bool(_HIDDEN.search(re.sub(r"\"[^\"]*\"", lambda m: m[0] if "display" in m[0] else "", attributes)))
+
+
+class Line(NamedTuple):
+    text: str
+    #: Characters outside links.
+    plain: int = 0
+    article: bool = False
+    #: 1 to 6 in a heading.
+    heading: int = 0
+    #: Numbers of the elements around it that are no article.
+    outside: tuple[int, ...] = ()
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, inside an article) of each line; empty lines are gaps."""
-    lines: list[tuple[str, int, bool]] = []
+GAP_LINE = Line("")
+
+
+def lines_of(page: str) -> tuple[list[Line], set[int]]:
+    """(lines, empty ones being gaps; the numbers of elements that only a label calls no article)."""
+    lines: list[Line] = []
     parts: list[str] = []
     linked: list[str] = []
-    at, link, article, skip, depth = 0, 0, 0, "", 0
+    stack: list[tuple[str, int]] = []  # open elements, with their number if they are no article
+    labels: set[int] = set()
+    at, link, article, heading, headed, number = 0, 0, 0, 0, 0, 0
+    outside: tuple[int, ...] = ()
 
     def end(gap: int = 0) -> None:
+        nonlocal headed
         text = " ".join(_html.unescape("".join(parts)).split()) if parts else ""
         if text:
-            lines.append((text, max(0, len(text) - len(" ".join(_html.unescape("".join(linked)).split()))), article > 0))
+            bare = len(text) - len(" ".join(_html.unescape("".join(linked)).split())) if linked else len(text)
+            lines.append(Line(text, max(0, bare), article > 0, headed, outside))
         parts.clear()
         linked.clear()
-        lines.extend([("", 0, False)] * gap)
+        headed = heading
+        lines.extend([GAP_LINE] * gap)
 
     for m in _TAG.finditer(page):
         if m.start() < at:
             continue  # inside an element whose text is no markup
-        if not skip and m.start() > at:
+        if m.start() > at:
             parts.append(page[at : m.start()])
             if link:
                 linked.append(page[at : m.start()])
@@ -85,60 +133,116 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             close = _ENDS[name].search(page, at)
             at = close.end() if close else len(page)
             continue
-        if skip:
-            if name in ("article", "main") and not closing and depth and skip not in ("article", "main") and not labelled_out(attributes) and skip in _NOT:
-                skip = ""  # what was left open ends here
-            else:
-                depth += 0 if name != skip else -1 if closing else 1
-                if depth == 0:
-                    skip = ""
-                continue
-        if name not in _VOID and not closing and (name in _NOT or name not in ("html", "body") and labelled_out(attributes)):
-            end(GAP)
-            skip, depth = name, 1
-        elif name in _CONTAINERS:
-            border = name in ("article", "main", "body", "section", "div", "table", "ul", "ol", "dl")
-            end(GAP if border and not (article and name not in ("article", "main")) else 0)
-            if name in ("article", "main"):
-                article = max(0, article + (-1 if closing else 1))
-        elif name in _BLOCKS:
-            end()
-        elif name == "a":
+        if name == "a":
             link = 0 if closing else 1
-        elif name == "br":
+            continue
+        if name == "br":
             parts.append(" ")
-    if not skip and at < len(page):
+            continue
+        if name in _VOID and name != "hr":
+            continue
+        whole, border = name in ("article", "main"), name in _BORDERS
+        if name in _BLOCKS or name in _CONTAINERS or name in _NOT:
+            end(GAP if whole or border and not article else 0)
+        if name[0] == "h" and name[1:].isdigit():
+            heading = headed = 0 if closing else int(name[1:])
+        if closing:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == name:
+                    gone = {n for _, n in stack[k:] if n}
+                    if gone:
+                        end(0 if article else GAP)
+                        outside = tuple(n for n in outside if n not in gone)
+                    article -= sum(x in ("article", "main") for x, _ in stack[k:])
+                    del stack[k:]
+                    break
+            continue
+        if name in _SHUT:
+            continue  # needs no end, and nothing hangs on it
+        mine = 0
+        labelled = name not in ("html", "body", "main") and labelled_out(attributes)
+        if whole and not labelled and outside and not outside[-1] in labels and stack and not article:
+            # what was left open ends where an article begins
+            stack, outside = [(x, 0) for x, n in stack if not n], ()
+        if name in _NOT and not (name == "header" and article) or labelled:
+            end(0 if article else GAP)
+            number += 1
+            mine, outside = number, (*outside, number)
+            if name not in _NOT:
+                labels.add(number)
+        elif name == "header":  # an article's own: its headings stay
+            end()
+            number += 1
+            mine, outside = -number, (*outside, -number)
+        if whole:
+            article += 1
+        stack.append((name, mine))
+    if at < len(page):
         parts.append(page[at:])
     end()
-    return lines
+    return lines, labels
+
+
+def inside_lines(lines: list[Line], labels: set[int]) -> list[Line]:
+    """The lines less those that are no article by an element, or a label of one that holds less than half of the text."""
+    total = sum(x.plain for x in lines)
+    held = {n: 0 for n in labels}
+    for x in lines:
+        for n in x.outside:
+            if n in held:
+                held[n] += x.plain
+    kept = {n for n, size in held.items() if 2 * size > total}
 
+    def stays(x: Line) -> bool:
+        return not x.outside or all(n in kept or n < 0 and x.heading for n in x.outside)
 
-def main_lines(lines: list[tuple[str, int, bool]], window: int = WINDOW, surge: int = SURGE) -> list[str]:
+    return [x if stays(x) else GAP_LINE._replace(article=x.article) for x in lines]
+
+
+def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[str]:
     """The lines between surges and dives of the windows' sums."""
     import numpy as np
 
-    marked = any(inside and text for text, _, inside in lines)
-    weights = np.array([0 if marked and not inside else n for _, n, inside in lines] + [0] * window)
-    here = np.array([bool(text) and (inside or not marked) for text, _, inside in lines] + [False] * window)
+    marked = any(x.article and x.text for x in lines)
+    lines = [x if x.article or not marked else GAP_LINE for x in lines]
+    weights = np.array([x.plain for x in lines] + [0] * window)
+    here = np.array([bool(x.text) for x in lines] + [False] * window)
     if not here.any():
         return []
+    if marked:
+        return [x.text for x in lines if x.text]
     before = np.concatenate([[0], np.cumsum(weights)])
     sums = before[window:] - before[:-window]  # of the window that begins at a line
     filled = np.concatenate([[0], np.cumsum(here)])
     live = (filled[window:] - filled[:-window]) > 0
     # a stretch reaches from a surge, the first window with text, to the dive, the first without
     edges = np.flatnonzero(np.diff(np.concatenate([[0], live[: len(lines)].astype(int), [0]])))
-    stretches = list(zip(edges[::2], edges[1::2], strict=True))
+    stretches = [(int(a), min(int(b) + window - 1, len(lines))) for a, b in zip(edges[::2], edges[1::2], strict=True)]
     peaks = [int(sums[a:b].max()) for a, b in stretches]
-    best = max(peaks)
-    keep = [(a, b) for (a, b), p in zip(stretches, peaks, strict=True) if p > 0 and (p >= surge or p == best)] if best > 0 or marked else []
-    if not keep and marked:
-        keep = stretches
-    return [lines[i][0] for a, b in keep for i in range(a, min(b + window - 1, len(lines))) if here[i]]
+    sizes = [sum(len(x.text) for x in lines[a:b]) for a, b in stretches]
+    if max(peaks) <= 0:
+        return []
+    # a page's first heading of the first level begins its article; lower ones only where the densest window follows
+    top = next((k for k, (a, b) in enumerate(stretches) if any(x.heading == 1 for x in lines[a:b])), 0)
+    best = peaks.index(max(peaks[top:]), top)
+    title = min((x.heading for a, b in stretches[: best + 1] for x in lines[a:b] if x.heading), default=0)
+    first = next((k for k, (a, b) in enumerate(stretches[: best + 1]) if title and any(x.heading == title for x in lines[a:b])), None)
+    out: list[str] = []
+    for k, (a, b) in enumerate(stretches):
+        own = [x for x in lines[a:b] if x.text]
+        if k != best and all(_CLOSING.search(x.text[:200]) for x in own):
+            continue
+        # mostly links are no article; before the title stands none of it, and where there is no title, no short stretch either
+        if k != best and (2 * sum(x.plain for x in own) < sizes[k] or (k < best and (k < first if first is not None else peaks[k] < surge))):
+            continue
+        if k == first:
+            own = own[next(i for i, x in enumerate(own) if x.heading == title) :]
+        out += [x.text for x in own]
+    return out
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    return "\n\n".join(main_lines(lines_of(page), window, surge)) if page else ""
+    return "\n\n".join(main_lines(inside_lines(*lines_of(page)), window, surge)) if page else ""
 
 
 def extract(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataFrame:
