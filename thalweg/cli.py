@@ -3,7 +3,7 @@
     python -m thalweg.cli flow-direction --input_file dem --output_file fdr
 
 A path ending in .asc is an ASCII grid, one in .tif or .tiff a GeoTIFF; any other path is
-a folder of Parquet cells with metadata. Results are such folders, or ASCII grids.
+a folder of Parquet cells with metadata. Results are the same by their paths.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, rasters.RasterMeta]
 def write(cells: DataFrame, meta: rasters.RasterMeta, path: str, value: str = "z") -> None:
     if path.endswith(".asc"):
         rasters.write_ascii(cells, meta, path, value)
+    elif path.endswith((".tif", ".tiff")):
+        rasters.write_tiff(cells, meta, path, value)
     else:
         rasters.write_cells(cells, meta, path)
 

@@ -70,12 +70,12 @@ def chunk_index(height: int, width: int, size: int, spark) -> DataFrame:
     )
 
 
-def with_halo(cells: DataFrame, size: int, halo: int) -> DataFrame:
+def with_halo(cells: DataFrame, size: int, halo: int, bounds: tuple[int, int] | None = None) -> DataFrame:
     """Each cell once for every tile whose extent, widened by halo, holds it: adds tile_row, tile_col.
 
-    Only tiles that have a core cell of their own appear.
+    Only tiles that have a core cell of their own appear. bounds: the extent, if it is known.
     """
-    height, width = extent(cells)
+    height, width = bounds or extent(cells)
 
     def reach(axis: str, most: int) -> Column:
         first = F.greatest(F.floor((F.col(axis) - halo) / size), F.lit(0))
@@ -92,13 +92,17 @@ def core(tiled: DataFrame, size: int) -> DataFrame:
 def neighbours(cells: DataFrame, *values: str, size: int = STENCIL_TILE) -> DataFrame:
     """cells with `near`: an array of the 8 neighbours' (row, col, values), in code order.
 
-    cells must be dense (see dense), with null values for nodata. A neighbour outside
-    the raster is null. Tiles with a halo of one cell are dealt out
-    once; within them, two window passes over sorted cells, along rows and then along
-    columns, reach all 8, with no join and no row for each pair.
+    Values are null for nodata; coordinates that cells lack count as nodata, and cost a
+    join with the grid. A neighbour outside the raster is null. Tiles with a halo of one
+    cell are dealt out once; within them, two window passes over sorted cells, along rows
+    and then along columns, reach all 8, with no join and no row for each pair.
     """
     values = values or ("z",)
-    tiled = with_halo(cells, size, 1).repartition("tile_row", "tile_col")
+    height, width, n = (x or 0 for x in cells.agg(F.max("row") + 1, F.max("col") + 1, F.count("*")).first())
+    sparse = n < height * width
+    if sparse:
+        cells = grid(cells.sparkSession, 0, 0, height, width).join(cells.withColumn("_there", F.lit(True)), ["row", "col"], "left")
+    tiled = with_halo(cells, size, 1, (height, width)).repartition("tile_row", "tile_col")
     along = Window.partitionBy("tile_row", "tile_col", "row").orderBy("col")
     down = Window.partitionBy("tile_row", "tile_col", "col").orderBy("row")
     own = F.struct("row", "col", *values)
@@ -107,6 +111,8 @@ def neighbours(cells: DataFrame, *values: str, size: int = STENCIL_TILE) -> Data
     rows = rows.withColumns({"_n": F.lag("_three").over(down), "_s": F.lead("_three").over(down)})
     at = {(dr, dc): f"{ {-1: '_n', 0: '_three', 1: '_s'}[dr] }.{ {-1: 'w', 0: 'o', 1: 'e'}[dc] }" for dr, dc in STEPS}
     rows = core(rows, size)
+    if sparse:
+        rows = rows.where("_there").drop("_there")
     return rows.withColumn("near", F.array(*(F.col(at[s]) for s in STEPS))).drop("_three", "_n", "_s", "tile_row", "tile_col")
 
 

@@ -2,8 +2,9 @@
 
 Cells are Parquet sorted by tile, so that windows skip row groups. ASCII grids and
 GeoTIFFs are read file by file, each in a task of its own (a raster of many tiles is a
-folder of files); GeoTIFF is what the format's baseline has: one band, strips or tiles,
-uncompressed or deflated, with the nodata and georeference tags.
+folder of files, placed by their georeference); of a GeoTIFF, classic or big, band 1 is
+read, in strips or tiles, plain, LZW or deflated, with or without a predictor; anything
+else raises.
 """
 
 from __future__ import annotations
@@ -116,59 +117,143 @@ def write_ascii(cells: DataFrame, meta: RasterMeta, path: str, value: str = "z")
 
 # TIFF tags and types.
 _WIDTH, _HEIGHT, _BITS, _COMPRESSION, _PHOTOMETRIC, _OFFSETS, _SAMPLES, _ROWS, _COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
-_TILE_WIDTH, _TILE_HEIGHT, _TILE_OFFSETS, _TILE_COUNTS, _FORMAT = 322, 323, 324, 325, 339
-_SCALE, _TIE, _ASCII_PARAMS, _NODATA = 33550, 33922, 34737, 42113
-_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
-_NONE, _DEFLATE, _OLD_DEFLATE = 1, 8, 32946
-
-
-def decode_tiff(data: bytes):
-    """(array of band 1, RasterMeta) of a plain TIFF."""
+_PLANAR, _PREDICTOR, _TILE_WIDTH, _TILE_HEIGHT, _TILE_OFFSETS, _TILE_COUNTS, _FORMAT = 284, 317, 322, 323, 324, 325, 339
+_SCALE, _TIE, _MATRIX, _KEYS, _ASCII_PARAMS, _NODATA = 33550, 33922, 34264, 34735, 34737, 42113
+_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q"}
+_NONE, _LZW, _DEFLATE, _OLD_DEFLATE = 1, 5, 8, 32946
+# Keys of the georeference (model, raster, geographic and projected system), and codes of models.
+_MODEL_KEY, _RASTER_KEY, _GEOGRAPHIC_KEY, _PROJECTED_KEY, _PROJECTED, _GEOGRAPHIC, _USER_DEFINED = 1024, 1025, 2048, 3072, 1, 2, 32767
+
+
+def _unlzw(data: bytes) -> bytes:
+    """What the format's LZW has packed: codes of 9 to 12 bits, the highest bit first."""
+    clear, end = 256, 257
+    table: list[bytes] = []
+    out, width, held, bits, before = [], 9, 0, 0, b""
+    for byte in data:
+        held, bits = (held << 8) | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits
+        held &= (1 << bits) - 1
+        if code == end:
+            break
+        if code == clear:
+            table, width, before = [bytes([k]) for k in range(256)] + [b"", b""], 9, b""
+            continue
+        if not table or code > len(table):
+            raise ValueError("damaged LZW data")
+        entry = table[code] if code < len(table) else before + before[:1]
+        out.append(entry)
+        if before:
+            table.append(before + entry[:1])
+        before = entry
+        # the code widens one entry before it must
+        width = min(12, max(9, (len(table) + 1).bit_length()))
+    return b"".join(out)
+
+
+def _unpredicted(block, predictor: int, order: str, kind: str):
+    """Rows (rows, columns, samples) with the differences between columns summed up again."""
     import numpy as np
 
+    if predictor == 2:
+        return np.cumsum(block, axis=1, dtype=block.dtype)
+    if predictor == 3:  # bytes of a row, the highest ones first, as differences
+        rows, columns, samples = block.shape
+        size = int(kind[1:])
+        flat = np.cumsum(block.view("u1").reshape(rows, columns * size, samples), axis=1, dtype="u1")
+        planes = flat.reshape(rows, size, columns * samples)
+        return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(">" + kind).reshape(rows, columns, samples)
+    if predictor != 1:
+        raise ValueError(f"predictor {predictor} is not supported")
+    return block
+
+
+def _tags(data: bytes) -> tuple[str, dict[int, tuple]]:
+    """(byte order, values by tag) of the first image of a classic or a big TIFF."""
     order = {b"II": "<", b"MM": ">"}[data[:2]]
-    if struct.unpack_from(order + "H", data, 2)[0] != 42:
-        raise ValueError("not a classic TIFF")
-    at = struct.unpack_from(order + "I", data, 4)[0]
-    tags = {}
-    for k in range(struct.unpack_from(order + "H", data, at)[0]):
-        tag, kind, n = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
+    version = struct.unpack_from(order + "H", data, 2)[0]
+    if version not in (42, 43):
+        raise ValueError("not a TIFF")
+    big = version == 43
+    at = struct.unpack_from(order + ("Q" if big else "I"), data, 8 if big else 4)[0]
+    count, word, entry, inline = ("Q", "Q", 20, 8) if big else ("H", "I", 12, 4)
+    begin, tags = at + struct.calcsize(order + count), {}
+    for k in range(struct.unpack_from(order + count, data, at)[0]):
+        here = begin + entry * k
+        tag, kind, n = struct.unpack_from(order + "HH" + word, data, here)
         form = _TYPES.get(kind)
         if not form:
             continue
         packed = f"{order}{n}s" if form == "s" else f"{order}{n * len(form)}{form[0]}"
-        size = struct.calcsize(packed)
-        place = at + 10 + 12 * k if size <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * k)[0]
+        value = here + entry - inline
+        place = value if struct.calcsize(packed) <= inline else struct.unpack_from(order + word, data, value)[0]
         tags[tag] = struct.unpack_from(packed, data, place)
+    return order, tags
+
+
+def _projection(tags: dict[int, tuple]) -> str:
+    """EPSG:n by the georeference's keys, else its text."""
+    keys = tags.get(_KEYS, ())
+    found = {keys[i]: keys[i + 3] for i in range(4, len(keys) - 3, 4) if keys[i + 1] == 0}
+    code = found.get(_PROJECTED_KEY) or found.get(_GEOGRAPHIC_KEY)
+    if code and code != _USER_DEFINED:
+        return f"EPSG:{code}"
+    return tags[_ASCII_PARAMS][0].split(b"\0")[0].decode() if _ASCII_PARAMS in tags else ""
+
+
+def tiff_meta(data: bytes) -> RasterMeta:
+    order, tags = _tags(data)
     one = lambda tag, default=0: tags.get(tag, (default,))[0]
-    width, height, samples = one(_WIDTH), one(_HEIGHT), one(_SAMPLES, 1)
-    kind = {1: "u", 2: "i", 3: "f"}[one(_FORMAT, 1)] + str(one(_BITS, 8) // 8)
+    kind = {1: "u", 2: "i", 3: "f"}.get(one(_FORMAT, 1), "?") + str(one(_BITS, 8) // 8)
     names = {v[0]: k for k, v in PIXEL_TYPES.items() if not k.startswith("C")}
-    if kind not in names or samples != 1:
-        raise ValueError(f"pixels of type {kind} with {samples} samples are not supported")
-    compression = one(_COMPRESSION, _NONE)
-    if compression not in (_NONE, _DEFLATE, _OLD_DEFLATE):
+    if kind not in names or len(set(tags.get(_BITS, (8,)))) > 1:
+        raise ValueError(f"pixels of type {kind} are not supported")
+    nodata = float(tags[_NODATA][0].split(b"\0")[0]) if _NODATA in tags else None
+    if _MATRIX in tags:
+        m = tags[_MATRIX]
+        transform = [m[3], m[0], m[1], m[7], m[4], m[5]]
+    else:
+        scale, tie = tags.get(_SCALE, (1.0, 1.0, 0.0)), tags.get(_TIE, (0.0,) * 6)
+        transform = [tie[3] - tie[0] * scale[0], scale[0], 0.0, tie[4] + tie[1] * scale[1], 0.0, -scale[1]]
+    return RasterMeta(one(_WIDTH), one(_HEIGHT), names[kind], nodata, _projection(tags), transform)
+
+
+def decode_tiff(data: bytes):
+    """(array of band 1, RasterMeta) of a TIFF: strips or tiles, plain, LZW or deflated, with predictors."""
+    import numpy as np
+
+    order, tags = _tags(data)
+    meta = tiff_meta(data)
+    one = lambda tag, default=0: tags.get(tag, (default,))[0]
+    width, height, kind = meta.width, meta.height, PIXEL_TYPES[meta.dtype][0]
+    compression, apart = one(_COMPRESSION, _NONE), one(_PLANAR, 1) == 2
+    samples = 1 if apart else one(_SAMPLES, 1)
+    unpack = {_NONE: bytes, _LZW: _unlzw, _DEFLATE: zlib.decompress, _OLD_DEFLATE: zlib.decompress}.get(compression)
+    if unpack is None:
         raise ValueError(f"compression {compression} is not supported")
     tiled = _TILE_OFFSETS in tags
     th, tw = (one(_TILE_HEIGHT), one(_TILE_WIDTH)) if tiled else (min(one(_ROWS, height), height), width)
     offsets, counts = (tags[_TILE_OFFSETS], tags[_TILE_COUNTS]) if tiled else (tags[_OFFSETS], tags[_COUNTS])
-    across = -(-width // tw)
-    out = np.zeros((-(-height // th) * th, across * tw), order + kind)
-    for k, (o, n) in enumerate(zip(offsets, counts, strict=True)):
-        raw = data[o : o + n] if compression == _NONE else zlib.decompress(data[o : o + n])
-        block = np.frombuffer(raw, order + kind)
-        block = block[: len(block) // tw * tw].reshape(-1, tw)[:th]
+    down, across = -(-height // th), -(-width // tw)
+    out = np.zeros((down * th, across * tw), kind)
+    if meta.nodata is not None:
+        out[:] = np.array(meta.nodata).astype(kind)
+    for k, (o, n) in enumerate(zip(offsets[: down * across], counts[: down * across], strict=True)):
+        if not n:
+            continue  # a tile that the file leaves out
+        block = np.frombuffer(unpack(data[o : o + n]), order + kind)
+        block = block[: len(block) // (tw * samples) * tw * samples].reshape(-1, tw, samples)[:th]
+        block = _unpredicted(block, one(_PREDICTOR, 1), order, kind)[:, :, 0]
         r, c = divmod(k, across)
         out[r * th : r * th + len(block), c * tw : (c + 1) * tw] = block
-    nodata = float(tags[_NODATA][0].split(b"\0")[0]) if _NODATA in tags else None
-    scale, tie = tags.get(_SCALE, (1.0, 1.0, 0.0)), tags.get(_TIE, (0.0,) * 6)
-    transform = [tie[3] - tie[0] * scale[0], scale[0], 0.0, tie[4] + tie[1] * scale[1], 0.0, -scale[1]]
-    projection = tags[_ASCII_PARAMS][0].split(b"\0")[0].decode() if _ASCII_PARAMS in tags else ""
-    return out[:height, :width], RasterMeta(width, height, names[kind], nodata, projection, transform)
+    return out[:height, :width], meta
 
 
 def encode_tiff(array, meta: RasterMeta, rows_per_strip: int = 64) -> bytes:
-    """A plain little-endian TIFF of one band, in deflated strips."""
+    """A classic little-endian TIFF of one band, in deflated strips."""
     import numpy as np
 
     kind = PIXEL_TYPES[meta.dtype][0]
@@ -182,12 +267,21 @@ def encode_tiff(array, meta: RasterMeta, rows_per_strip: int = 64) -> bytes:
     tags: list[tuple[int, int, tuple]] = [
         (_WIDTH, 4, (meta.width,)), (_HEIGHT, 4, (meta.height,)), (_BITS, 3, (8 * int(kind[1:]),)), (_COMPRESSION, 3, (_DEFLATE,)), (_PHOTOMETRIC, 3, (1,)),
         (_OFFSETS, 4, tuple(offsets)), (_SAMPLES, 3, (1,)), (_ROWS, 4, (rows_per_strip,)), (_COUNTS, 4, tuple(map(len, strips))), (_FORMAT, 3, ({"u": 1, "i": 2, "f": 3}[kind[0]],)),
-        (_SCALE, 12, (t[1], -t[5], 0.0)), (_TIE, 12, (0.0, 0.0, 0.0, t[0], t[3], 0.0)),
     ]
-    if meta.projection:
+    if t[2] or t[4]:
+        tags.append((_MATRIX, 12, (t[1], t[2], 0.0, t[0], t[4], t[5], 0.0, t[3], 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0)))
+    else:
+        tags += [(_SCALE, 12, (t[1], -t[5], 0.0)), (_TIE, 12, (0.0, 0.0, 0.0, t[0], t[3], 0.0))]
+    code = meta.projection.removeprefix("EPSG:")
+    if code != meta.projection and code.isdigit():
+        geographic = 4000 <= int(code) < 5000
+        keys = ((_MODEL_KEY, 0, 1, _GEOGRAPHIC if geographic else _PROJECTED), (_RASTER_KEY, 0, 1, 1), (_GEOGRAPHIC_KEY if geographic else _PROJECTED_KEY, 0, 1, int(code)))
+        tags.append((_KEYS, 3, (1, 1, 0, len(keys), *(x for key in keys for x in key))))
+    elif meta.projection:
         tags.append((_ASCII_PARAMS, 2, (meta.projection.encode() + b"\0",)))
     if meta.nodata is not None:
         tags.append((_NODATA, 2, (repr(meta.nodata).encode() + b"\0",)))
+    tags.sort()
     at += at % 2
     more, body = at + 2 + 12 * len(tags) + 4, b""
     entries = []
@@ -203,45 +297,88 @@ def encode_tiff(array, meta: RasterMeta, rows_per_strip: int = 64) -> bytes:
     return head.ljust(at, b"\0") + struct.pack("<H", len(entries)) + b"".join(entries) + b"\0" * 4 + body
 
 
+_HEAD = "width long, height long, dtype string, nodata double, projection string, left double, top double, dx double, dy double, turn double"
+
+
+def _mosaic(heads: DataFrame) -> RasterMeta:
+    """The raster that files of these heads make up; raises ValueError if they do not fit together."""
+    right, bottom = F.col("left") + F.col("width") * F.col("dx"), F.col("top") + F.col("height") * F.col("dy")
+    same = ("dtype", "projection", "dx", "dy", "nodata")
+    r = heads.agg(F.count("*").alias("n"), F.min("left").alias("left"), F.max("top").alias("top"), F.max(right).alias("right"), F.min(bottom).alias("bottom"), F.max("turn").alias("turn"), F.min(F.col("nodata").isNotNull()).alias("all"), *(f(c).alias(f"{k}_{c}") for c in same for k, f in (("least", F.min), ("most", F.max)))).first()
+    if not r["n"]:
+        raise ValueError("there are no files")
+    if r["n"] > 1 and (r["turn"] or any(r[f"least_{c}"] != r[f"most_{c}"] for c in same)):
+        raise ValueError("the files differ in type, nodata, projection or pixel size, or are turned")
+    width, height = round((r["right"] - r["left"]) / r["least_dx"]), round((r["bottom"] - r["top"]) / r["least_dy"])
+    return RasterMeta(width, height, r["least_dtype"], r["least_nodata"] if r["all"] else None, r["least_projection"], [r["left"], r["least_dx"], 0.0, r["top"], 0.0, r["least_dy"]])
+
+
 def read_tiff(spark: SparkSession, path: str) -> tuple[DataFrame, RasterMeta]:
-    """Cells and metadata of a GeoTIFF, of Spark's binaryFile source; one task decodes a file."""
+    """Cells and metadata of a GeoTIFF, or of a folder of them placed by their georeference; one task decodes a file."""
     files = spark.read.format("binaryFile").load(path).select("content")
 
+    def head(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            found = [tiff_meta(c.as_py()) for c in b.column(0)]
+            rows = [(m.width, m.height, m.dtype, m.nodata, m.projection, m.geotransform[0], m.geotransform[3], m.geotransform[1], m.geotransform[5], abs(m.geotransform[2]) + abs(m.geotransform[4])) for m in found]
+            names = [x.split()[0] for x in _HEAD.split(", ")]
+            kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[x.split()[1]]) for i, x in enumerate(_HEAD.split(", "))], names)
+
+    meta = _needs_nodata(_mosaic(files.mapInArrow(head, _HEAD)))
+    left, dx, top, dy = meta.geotransform[0], meta.geotransform[1], meta.geotransform[3], meta.geotransform[5]
+
     def cells(batches):
         import numpy as np
         import pyarrow as pa
 
         for b in batches:
             for content in b.column(0):
-                z, _ = decode_tiff(content.as_py())
+                z, own = decode_tiff(content.as_py())
+                row, col = round((own.geotransform[3] - top) / dy), round((own.geotransform[0] - left) / dx)
                 for r in range(0, len(z), 256):
                     part = z[r : r + 256]
                     rows, cols = np.divmod(np.arange(part.size), part.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(rows + r), pa.array(cols), pa.array(part.ravel().astype("f8"))], ["row", "col", "z"])
+                    yield pa.RecordBatch.from_arrays([pa.array(rows + r + row), pa.array(cols + col), pa.array(part.ravel().astype("f8"))], ["row", "col", "z"])
 
-    def head(batches):
-        import json
+    kind = "double" if meta.dtype == "Float64" else "float"
+    return normalise(files.mapInArrow(cells, _CELLS), meta.nodata, "z", kind), meta
+
+
+def write_tiff(cells: DataFrame, meta: RasterMeta, path: str, value: str = "z", tile: int = 4096) -> None:
+    """One GeoTIFF at path if the raster fits in a tile x tile file, else a folder there with a file for each tile.
+
+    Tasks encode their tiles and write them where the path says, a folder that all
+    machines see, each under another name first: a repeated task replaces its file.
+    """
+    single = meta.width <= tile and meta.height <= tile
 
+    def save(batches):
         import pyarrow as pa
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([json.dumps(asdict(decode_tiff(c.as_py())[1])) for c in b.column(0)], pa.string())], ["meta"])
+            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                _save(path if single else f"{path.rstrip('/')}/{name}", content.as_py())
+            yield pa.RecordBatch.from_arrays([b.column(0)], ["name"])
 
-    import json
+    tiff_tiles(cells, meta, value, tile).mapInArrow(save, "name string").count()
 
-    meta = _needs_nodata(RasterMeta(**json.loads(files.mapInArrow(head, "meta string").first()[0])))
-    kind = "double" if meta.dtype == "Float64" else "float"
-    return normalise(files.mapInArrow(cells, _CELLS), meta.nodata, "z", kind), meta
 
+def _save(path: str, content: bytes) -> None:
+    import os
+    import uuid
 
-def write_tiff(cells: DataFrame, meta: RasterMeta, path: str, value: str = "z", tile: int = 4096) -> None:
-    """A folder of GeoTIFFs, one for each tile (one file for a raster of up to tile x tile cells).
+    from pyarrow import fs
 
-    Files are encoded where their cells are and written by Spark's own binary rows, as
-    Parquet (name, content), and laid out by save_files.
-    """
-    tiles = tiff_tiles(cells, meta, value, tile)
-    tiles.write.mode("overwrite").parquet(path)
+    where = path if ":" in path.split("/")[0] else f"file://{os.path.abspath(path)}"
+    system, place = fs.FileSystem.from_uri(where)
+    system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+    aside = f"{place}.{uuid.uuid4().hex}"
+    with system.open_output_stream(aside) as out:
+        out.write(content)
+    system.move(aside, place)
 
 
 def tiff_tiles(cells: DataFrame, meta: RasterMeta, value: str = "z", tile: int = 4096) -> DataFrame:
