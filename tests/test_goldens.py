@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from thalweg.functions.d8 import STEPS
 from thalweg.operators import accumulation, flats, grid, least_cost, pits
 from thalweg.operators.flow_direction import flow_direction
 
@@ -32,6 +33,7 @@ def test_flow_direction(spark):
     assert matrix(flow_direction(cells(spark, dem)), "fdr") == want
 
 
+# Published examples and their results.
 FDR = digits("2 2 2 2 2 2 2\n1 2 3 1 1 2 3\n2 2 2 1 2 2 3\n2 2 3 4 2 3 3\n4 2 2 3 3 4 4\n3 3 7 0 2 3 4\n3 7 0 1 2 2 4")
 FAC = digits("1 27 1 1 2 11 1\n3 21 2 1 5 4 1\n2 20 1 1 3 2 1\n1 2 17 14 1 1 1\n2 1 1 1 13 2 1\n1 1 1 1 6 4 1\n1 1 1 3 1 2 1")
 
@@ -45,6 +47,38 @@ def test_flow_accumulation_and_links(spark):
     assert found == want
 
 
+@pytest.mark.parametrize("tile", [1, 2, 3, 5])
+def test_accumulation_does_not_depend_on_tiles(spark, tile):
+    fdr = cells(spark, FDR, "fdr", "short")
+    assert matrix(accumulation.flow_accumulation(fdr, tile), "fac") == FAC
+    assert sorted(accumulation.flow_links(fdr, 7, 7, tile).collect()) == sorted(accumulation.flow_links(fdr, 7, 7).collect())
+
+
+def test_tiles_by_themselves(spark):
+    """Tiles of 3 x 3: their own sums, and where paths leave them."""
+    fdr = cells(spark, FDR, "fdr", "short")
+    own = matrix(accumulation.tile_accumulation(fdr, 3), "fac")
+    links = {(r["row"], r["col"]): (r["link_row"], r["link_col"]) for r in accumulation.tile_links(fdr, 3).collect()}
+    for y, x in ((0, 0), (0, 3), (3, 0), (3, 3), (6, 6), (3, 6)):
+        part = [(r, c) for r in range(y, min(y + 3, 7)) for c in range(x, min(x + 3, 7))]
+        for cell in part:
+            upstream = 0
+            for at in part:
+                seen = set()
+                while at in part and at not in seen:
+                    seen.add(at)
+                    dr, dc = STEPS[FDR[at[0]][at[1]]]
+                    at = (at[0] + dr, at[1] + dc)
+                upstream += cell in seen
+            assert own[cell[0]][cell[1]] == upstream
+            at, last = cell, cell
+            while at in part:
+                last, (dr, dc) = at, STEPS[FDR[at[0]][at[1]]]
+                at = (at[0] + dr, at[1] + dc)
+            if cell in links:
+                assert links[cell] == ((-2, -2) if last == cell else last)
+
+
 def test_accumulation_with_nodata_sinks_and_cycles(spark):
     assert matrix(accumulation.flow_accumulation(cells(spark, [[0, 0, 8, 9, 4]], "fdr", "short")), "fac") == [[1, 2, 3, -9999, 1]]
     with pytest.raises(ValueError, match="cycle"):

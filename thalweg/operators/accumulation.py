@@ -1,8 +1,10 @@
-"""Flow accumulation and perimeter links by pointer doubling.
+"""Flow accumulation and perimeter links, tile by tile.
 
-Every cell points at the cell it drains to. In each round a cell's count is handed to
-the cell it points at, and its pointer jumps to that cell's pointer; so a path of n
-cells takes log2(n) rounds, each of them joins and sums over cells still on their way.
+Each tile sums up its own cells along their paths, and tells of every cell on its border
+where its path leaves the tile. The cells where paths leave are a small graph: each
+leads to the next tile's. Along it counts are handed on by pointer doubling, so that a
+path across n tiles takes log2(n) rounds of joins. What flows into a tile's border is then added
+to its own sums. Cells are shuffled once; rounds see cells of borders only.
 """
 
 from __future__ import annotations
@@ -11,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thalweg.functions.d8 import ACCUMULATION_NODATA, EXTERNAL, NODATA, TERMINATES, step
-from thalweg.session import written
+from thalweg.operators.tiles import MISSING, TILE, by_tile, each_tile, path_sums, place, pointers, rim
+from thalweg.session import discard, written
 
 
 def downstream(fdr: DataFrame) -> DataFrame:
@@ -40,47 +43,127 @@ def perimeter(height: int, width: int, row: str = "row", col: str = "col") -> Co
 
 
 def _doubled(start: DataFrame, sums: bool) -> DataFrame:
-    """node, root (last node of the path), n (nodes upstream and itself) of start (node, next)."""
-    state = written(start.select("node", F.coalesce("next", "node").alias("root"), F.col("next").isNull().alias("done"), F.lit(1).cast("long").alias("n")), "pointers")
-    for k in range(state.count().bit_length() + 2):  # no path is longer than the cells
+    """node, root (last node of the path), n (the sum of n upstream and its own) of start (node, next, n)."""
+    state = written(start.select("node", F.coalesce("next", "node").alias("root"), F.col("next").isNull().alias("done"), "n"), "pointers")
+    for k in range(state.count().bit_length() + 2):  # no path is longer than the nodes
         moving = state.where("not done")
         if not moving.take(1):
             return state.drop("done")
         ahead = state.select(F.col("node").alias("root"), F.col("root").alias("_root"), F.col("done").alias("_done"))
-        new = state.join(ahead, "root").select("node", F.when(F.col("done"), F.col("root")).otherwise(F.col("_root")).alias("root"), (F.col("done") | F.col("_done")).alias("done"), "n")
+        # only nodes still on their way are joined
+        new = moving.join(ahead, "root").select("node", F.col("_root").alias("root"), F.col("_done").alias("done"), "n").unionByName(state.where("done"))
         if sums:
             gifts = moving.groupBy(F.col("root").alias("node")).agg(F.sum("n").alias("_n"))
             new = new.join(gifts, "node", "left").select("node", "root", "done", (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
-        state = written(new, f"pointers-{k}")
+        before, state = state, written(new, f"pointers-{k}")
+        discard(before)
     raise ValueError("flow directions run in a cycle")
 
 
-def flow_accumulation(fdr: DataFrame) -> DataFrame:
+_CELL = "row: bigint, col: bigint"
+_TILES = f"tile_row long, tile_col long, height int, width int, codes binary, cycle boolean, exits array<struct<{_CELL}, to_row: bigint, to_col: bigint, n: bigint>>, rims array<struct<{_CELL}, fdr: smallint, exit_row: bigint, exit_col: bigint>>"
+
+
+def _tiles(fdr: DataFrame, size: int) -> DataFrame:
+    """A row for each tile: its codes; the cells that drain out of it, where to, and their counts; those on its border and where their paths leave it."""
+
+    def run(tile_row: int, tile_col: int, table) -> list[dict]:
+        import numpy as np
+
+        rows, cols, height, width = place(table, tile_row, tile_col, size)
+        codes = np.full((height, width), MISSING, "i1")
+        codes[rows, cols] = table.column("fdr").to_numpy()
+        to, out, to_row, to_col = pointers(codes)
+        found = path_sums(to, np.ones(to.size, "i8"))
+        made = {"tile_row": tile_row, "tile_col": tile_col, "height": height, "width": width, "codes": codes.tobytes(), "cycle": found is None, "exits": [], "rims": []}
+        if found is not None:
+            root, n = found
+            y, x = tile_row * size, tile_col * size
+            exits, border = np.flatnonzero(out), rim(height, width)
+            border = border[codes.ravel()[border] != MISSING]
+            made["exits"] = [dict(row=int(k // width + y), col=int(k % width + x), to_row=int(to_row[k] + y), to_col=int(to_col[k] + x), n=int(n[k])) for k in exits]
+            leaves = out[root[border]]
+            made["rims"] = [dict(row=int(k // width + y), col=int(k % width + x), fdr=int(codes.ravel()[k]), exit_row=int(e // width + y) if has else None, exit_col=int(e % width + x) if has else None) for k, e, has in zip(border, root[border], leaves, strict=True)]
+        return [made]
+
+    tiles = written(each_tile(fdr.select("row", "col", "fdr"), size, run, _TILES), "tiles")
+    if tiles.where("cycle").take(1):
+        raise ValueError("flow directions run in a cycle")
+    return tiles
+
+
+def _graph(tiles: DataFrame) -> DataFrame:
+    """Cells where paths leave tiles: node, next (the one that its path leaves the next tile by), n, where it drains to, leaves (the raster)."""
+    exits, rims = tiles.select(F.inline("exits")), tiles.select(F.inline("rims"))
+    entries = rims.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("fdr").alias("to_fdr"), "exit_row", "exit_col")
+    goes_on = F.col("to_fdr").isNotNull() & (F.col("to_fdr") != NODATA)
+    on = exits.join(entries, ["to_row", "to_col"], "left")
+    following = F.when(goes_on & F.col("exit_row").isNotNull(), F.struct(F.col("exit_row").alias("row"), F.col("exit_col").alias("col")))
+    return on.select(F.struct("row", "col").alias("node"), following.alias("next"), "n", "to_row", "to_col", goes_on.alias("goes_on"), F.col("to_fdr").isNull().alias("leaves"))
+
+
+def flow_accumulation(fdr: DataFrame, tile: int = TILE) -> DataFrame:
     """row, col, fac: cells that drain through a cell, itself included; -9999 for nodata.
 
-    Raises ValueError for directions that run in a cycle.
+    Raises ValueError for directions that run in a cycle. The tile's size changes nothing.
     """
-    data = edges(fdr).where(F.col("fdr") != NODATA)
-    flows = F.col("to_fdr").isNotNull() & (F.col("to_fdr") != NODATA)
-    start = data.select(F.struct("row", "col").alias("node"), F.when(flows, F.struct(F.col("to_row").alias("row"), F.col("to_col").alias("col"))).alias("next"))
-    found = _doubled(start, sums=True).select("node.row", "node.col", F.col("n").alias("fac"))
-    return fdr.join(found, ["row", "col"], "left").select("row", "col", F.coalesce("fac", F.lit(ACCUMULATION_NODATA).cast("long")).alias("fac"))
+    tiles = _tiles(fdr, tile)
+    graph = written(_graph(tiles), "exits")
+    total = _doubled(graph, sums=True).select("node", F.col("n").alias("total"))
+    into = graph.where("goes_on").join(total, "node").groupBy(F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg(F.sum("total").alias("n"))
+    return _summed(tiles.join(by_tile(into, tile, "n"), ["tile_row", "tile_col"], "left"), tile)
+
+
+def tile_accumulation(fdr: DataFrame, tile: int = TILE) -> DataFrame:
+    """As flow_accumulation, of each tile by itself."""
+    nothing = F.lit(None).cast("array<struct<row: bigint, col: bigint, n: bigint>>")
+    return _summed(_tiles(fdr, tile).withColumn("given", nothing), tile)
+
+
+def _summed(tiles: DataFrame, size: int) -> DataFrame:
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for t in b.to_pylist():
+                codes = np.frombuffer(t["codes"], "i1").reshape(t["height"], t["width"])
+                y, x = t["tile_row"] * size, t["tile_col"] * size
+                weights = np.ones(codes.size, "i8")
+                for g in t["given"] or ():
+                    weights[(g["row"] - y) * t["width"] + g["col"] - x] += g["n"]
+                _, n = path_sums(pointers(codes)[0], weights)
+                flat = codes.ravel()
+                there = np.flatnonzero(flat != MISSING)
+                n = np.where(flat == NODATA, ACCUMULATION_NODATA, n)[there]
+                yield pa.RecordBatch.from_arrays([pa.array(there // t["width"] + y), pa.array(there % t["width"] + x), pa.array(n)], ["row", "col", "fac"])
+
+    return tiles.select("tile_row", "tile_col", "height", "width", "codes", "given").mapInArrow(run, "row long, col long, fac long")
+
+
+def tile_links(fdr: DataFrame, tile: int = TILE) -> DataFrame:
+    """row, col, link_row, link_col of the cells on the border of each tile, as flow_links of the tile by itself."""
+    rims = _tiles(fdr, tile).select(F.inline("rims"))
+    itself = (F.col("exit_row") == F.col("row")) & (F.col("exit_col") == F.col("col"))
+    link = lambda axis, name: F.when(itself, F.lit(EXTERNAL[axis])).otherwise(F.coalesce(f"exit_{name}", F.lit(TERMINATES[axis]))).cast("long")
+    return rims.select("row", "col", link(0, "row").alias("link_row"), link(1, "col").alias("link_col"))
 
 
-def flow_links(fdr: DataFrame, height: int, width: int) -> DataFrame:
-    """row, col, link_row, link_col of the cells on the border of a raster or tile.
+def flow_links(fdr: DataFrame, height: int, width: int, tile: int = TILE) -> DataFrame:
+    """row, col, link_row, link_col of the cells on the border of a raster.
 
     (-2, -2): the cell itself drains out; (-1, -1): its path ends inside; else the cell
     where its path leaves.
     """
-    data = edges(fdr)
-    outside = F.col("fdr").between(0, 7) & F.col("to_fdr").isNull()
-    on = F.col("to_fdr").between(0, 7)
-    start = written(data.select(F.struct("row", "col").alias("node"), F.when(on, F.struct(F.col("to_row").alias("row"), F.col("to_col").alias("col"))).alias("next"), outside.alias("leaves")), "links")
-    roots = _doubled(start, sums=False).join(start.select(F.col("node").alias("root"), F.col("leaves").alias("root_leaves")), "root")
-    found = roots.join(start.select("node", "leaves"), "node").select("node.row", "node.col", "leaves", "root", "root_leaves")
+    tiles = _tiles(fdr, tile)
+    graph = written(_graph(tiles), "exits")
+    ends = graph.select(F.col("node").alias("root"), F.col("leaves").alias("root_leaves"))
+    roots = _doubled(graph, sums=False).join(ends, "root").join(graph.select("node", "leaves"), "node")
+    border = tiles.select(F.inline("rims")).where(perimeter(height, width)).withColumn("node", F.when(F.col("exit_row").isNotNull(), F.struct(F.col("exit_row").alias("row"), F.col("exit_col").alias("col"))))
+    found = border.join(roots.drop("n"), "node", "left")
+    itself = F.col("leaves") & (F.col("node.row") == F.col("row")) & (F.col("node.col") == F.col("col"))
 
     def link(axis: int, name: str) -> Column:
-        return F.when(F.col("leaves"), F.lit(EXTERNAL[axis])).when(F.col("root_leaves"), F.col(f"root.{name}")).otherwise(F.lit(TERMINATES[axis])).cast("long")
+        return F.when(itself, F.lit(EXTERNAL[axis])).when(F.col("root_leaves"), F.col(f"root.{name}")).otherwise(F.lit(TERMINATES[axis])).cast("long")
 
-    return found.where(perimeter(height, width)).select("row", "col", link(0, "row").alias("link_row"), link(1, "col").alias("link_col"))
+    return found.select("row", "col", link(0, "row").alias("link_row"), link(1, "col").alias("link_col"))
