@@ -106,6 +106,16 @@ def test_flats(spark):
     assert drained[0] == ring[0] and drained[6] == ring[6]
 
 
+@pytest.mark.parametrize("tile", [2, 3, 5])
+def test_flats_do_not_depend_on_tiles(spark, tile):
+    r = np.random.default_rng(4)
+    dem = cells(spark, np.where(r.random((13, 17)) < 0.1, None, r.integers(0, 3, (13, 17)).astype(float)).tolist())
+    fdr = flow_direction(dem)
+    edges = flats.flat_edges(dem, fdr)
+    assert sorted(flats.flat_labels(dem, edges, tile).collect()) == sorted(flats.flat_labels(dem, edges).collect()) != []
+    assert sorted(flats.flat_mask(dem, fdr, tile).collect()) == sorted(flats.flat_mask(dem, fdr).collect())
+
+
 def test_undrainable_flats_keep_their_code(spark):
     dem = cells(spark, [[2] * 5, [2, 1, 1, 1, 2], [2] * 5])
     fdr = cells(spark, [[7] * 5, [0, 8, 8, 8, 4], [1] * 5], "fdr", "short")

@@ -1,9 +1,10 @@
 """Drainage over flats: labels, increments away from higher and towards lower terrain.
 
 A flat's cells (direction 8) get a mask that falls towards the flat's outlets and away
-from the terrain above it; directions follow the mask's descent. Distances come from
-breadth-first searches whose frontiers are joined with the flat's adjacency; labels are
-connected components of cells of equal elevation.
+from the terrain above it; directions follow the mask's descent. Each tile finds its
+level parts, and pairs of cells across borders join them to flats; distances spread breadth
+first within tiles, and go on from tile to tile in rounds, as many as tiles that a
+shortest path crosses. Between rounds only border cells are joined.
 """
 
 from __future__ import annotations
@@ -12,84 +13,260 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from thalweg.functions.d8 import DISTANCES, NODATA, UNDEFINED
+from thalweg.functions.d8 import DISTANCES, NODATA, STEPS, UNDEFINED
 from thalweg.operators.components import components
-from thalweg.operators.grid import best_code, neighbours
-from thalweg.session import written
+from thalweg.operators.grid import best_code, neighbours, tile_of
+from thalweg.operators.tiles import MISSING, TILE, arrow_schema, by_tile, each_tile, place, rim
+from thalweg.session import discard, written
 
 
 def _cells(dem: DataFrame, fdr: DataFrame) -> DataFrame:
     return dem.select("row", "col", "z").join(fdr.select("row", "col", "fdr"), ["row", "col"])
 
 
-def flat_edges(dem: DataFrame, fdr: DataFrame) -> DataFrame:
-    """row, col, kind: 'low' for cells that drain and lie level with a flat's cell, 'high' for a flat's cells below others."""
-    near = neighbours(_cells(dem, fdr), "z", "fdr")
+def _kinds(cells: DataFrame) -> DataFrame:
+    """cells (row, col, z, fdr) with kind: that of flat_edges, else null."""
+    near = neighbours(cells, "z", "fdr")
     has = lambda test: F.exists("near", lambda n: n.isNotNull() & (n["fdr"] != NODATA) & test(n))
     low = (F.col("fdr") < UNDEFINED) & has(lambda n: (n["fdr"] == UNDEFINED) & (n["z"] == F.col("z")))
     high = (F.col("fdr") == UNDEFINED) & has(lambda n: n["z"] > F.col("z"))
-    return near.withColumn("kind", F.when(low, "low").when(high, "high")).where("kind is not null").select("row", "col", "kind")
+    return near.select("row", "col", "z", "fdr", F.when(low, "low").when(high, "high").alias("kind"))
+
+
+def flat_edges(dem: DataFrame, fdr: DataFrame) -> DataFrame:
+    """row, col, kind: 'low' for cells that drain and lie level with a flat's cell, 'high' for a flat's cells below others."""
+    return _kinds(_cells(dem, fdr)).where("kind is not null").select("row", "col", "kind")
+
+
+_CELL = "row: bigint, col: bigint"
+_SIZE = "tile_row long, tile_col long, height int, width int"
+_LEVELS = f"{_SIZE}, fdr binary, kind binary, part binary, rims array<struct<{_CELL}, z: double, part: bigint>>, parts array<struct<part: bigint, low: struct<{_CELL}>>>"
+_STATE = f"{_SIZE}, fdr binary, label binary, away binary, low binary, rims array<struct<{_CELL}, fdr: smallint, label: bigint, away: int, low: int>>, tops array<struct<label: bigint, away: int>>"
+#: Codes of the half of the directions that sees each pair of neighbours once.
+HALF = (0, 5, 6, 7)
+_LOW, _HIGH = 1, 2
+
+
+def level_parts(z, there):
+    """The least flat index of the cells of equal elevation that each cell is connected with; -1 where there is none."""
+    import numpy as np
+
+    height, width = z.shape
+    at = np.arange(z.size).reshape(z.shape)
+    ones, others = [], []
+    for code in HALF:
+        dr, dc = STEPS[code]
+        one = (slice(0, height - dr), slice(max(0, -dc), width - max(0, dc)))
+        other = (slice(dr, height), slice(max(0, dc), width + min(0, dc)))
+        level = (z[one] == z[other]) & there[one] & there[other]
+        ones.append(at[one][level])
+        others.append(at[other][level])
+    a, b, part = np.concatenate(ones), np.concatenate(others), at.ravel().copy()
+    while len(a):
+        x, y = part[a], part[b]
+        apart = x != y
+        a, b = a[apart], b[apart]
+        np.minimum.at(part, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while True:
+            further = part[part]
+            if np.array_equal(further, part):
+                break
+            part = further
+    return np.where(there.ravel(), part, -1)
+
+
+def _level_tiles(cells: DataFrame, size: int) -> DataFrame:
+    """A row for each tile of cells (row, col, z, fdr, kind), with the level parts of the tile."""
+
+    def run(tile_row: int, tile_col: int, table) -> list[dict]:
+        import numpy as np
+
+        rows, cols, height, width = place(table, tile_row, tile_col, size)
+        there, fdr, kind = np.zeros((height, width), bool), np.full((height, width), MISSING, "i1"), np.zeros((height, width), "i1")
+        fdr[rows, cols] = table.column("fdr").to_numpy(zero_copy_only=False)
+        kind[rows, cols] = [{"low": _LOW, "high": _HIGH}.get(k, 0) for k in table.column("kind").to_pylist()]
+        there[rows, cols] = table.column("z").is_valid().to_numpy(zero_copy_only=False)
+        values = table.column("z").fill_null(0).to_numpy()
+        z = np.zeros((height, width), values.dtype)
+        z[rows, cols] = values
+        part = level_parts(z, there)
+        y, x = tile_row * size, tile_col * size
+        name = lambda k: ((int(k) // width + y) << 32) | (int(k) % width + x)
+        border = [k for k in rim(height, width).tolist() if part[k] >= 0]
+        low: dict[int, tuple[int, int] | None] = {int(part[k]): None for k in border}
+        for k in np.flatnonzero((kind.ravel() == _LOW) & (part >= 0))[::-1].tolist():
+            low[int(part[k])] = {"row": k // width + y, "col": k % width + x}
+        rims = [{"row": k // width + y, "col": k % width + x, "z": float(z.ravel()[k]), "part": name(part[k])} for k in border]
+        return [{"tile_row": tile_row, "tile_col": tile_col, "height": height, "width": width, "fdr": fdr.tobytes(), "kind": kind.tobytes(), "part": part.astype("i4").tobytes(), "rims": rims, "parts": [{"part": name(k), "low": v} for k, v in low.items()]}]
+
+    return written(each_tile(cells.select("row", "col", "z", "fdr", "kind"), size, run, _LEVELS), "level-tiles")
+
+
+def _beyond(rims: DataFrame, size: int, codes=range(len(STEPS))) -> DataFrame:
+    """rims with to_row, to_col: each of its neighbours in other tiles."""
+    steps = F.explode(F.array(*(F.struct((F.col("row") + STEPS[k][0]).alias("row"), (F.col("col") + STEPS[k][1]).alias("col")) for k in codes)))
+    found = rims.withColumn("to", steps).withColumns({"to_row": F.col("to.row"), "to_col": F.col("to.col")}).drop("to")
+    return found.where((tile_of(size, "to_row") != tile_of(size, "row")) | (tile_of(size, "to_col") != tile_of(size, "col")))
+
+
+def _labels(tiles: DataFrame, size: int) -> DataFrame:
+    """tile_row, tile_col, labels: those of the parts of tiles that belong to a flat with an outlet, from 1 by first low edge."""
+    rims = tiles.select(F.inline("rims"))
+    other = rims.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("z").alias("to_z"), F.col("part").alias("b"))
+    across = _beyond(rims, size, HALF).join(other, ["to_row", "to_col"]).where("z = to_z").select(F.col("part").alias("a"), "b")
+    named = components(across).withColumnRenamed("node", "part")
+    parts = tiles.select("tile_row", "tile_col", F.inline("parts")).join(named, "part", "left").withColumn("component", F.coalesce("component", "part"))
+    parts = written(parts, "parts")
+    firsts = parts.where("low is not null").groupBy("component").agg(F.min("low").alias("first"))
+    # flats are numbered within rows of the raster, and rows by their numbers of flats: one for each row
+    in_rows = firsts.groupBy(F.col("first.row").alias("row")).agg(F.count("*").alias("n"))
+    before = in_rows.select("row", (F.sum("n").over(Window.orderBy("row")) - F.col("n")).alias("before"))
+    ranked = firsts.withColumn("row", F.col("first.row")).withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy("first.col"))).join(before, "row")
+    labelled = parts.join(ranked.select("component", (F.col("before") + F.col("rank")).alias("label")), "component")
+    return labelled.groupBy("tile_row", "tile_col").agg(F.collect_list(F.struct("part", "label")).alias("labels"))
+
 
+def _label_array(t: dict, size: int):
+    """Labels of a tile's cells, 0 where there is none."""
+    import numpy as np
 
-def flat_labels(dem: DataFrame, edges: DataFrame) -> DataFrame:
+    part = np.frombuffer(t["part"], "i4")
+    label = np.zeros(part.size + 1, "i8")  # the last is that of no part
+    for x in t["labels"] or ():
+        label[((x["part"] >> 32) - t["tile_row"] * size) * t["width"] + (x["part"] & 0xFFFFFFFF) - t["tile_col"] * size] = x["label"]
+    return label[part]
+
+
+def flat_labels(dem: DataFrame, edges: DataFrame, tile: int = TILE) -> DataFrame:
     """row, col, label: cells of equal elevation that a low edge belongs to; labels from 1 by first low edge, row by row."""
-    near = neighbours(dem.select("row", "col", "z"), "z")
-    pairs = near.select(F.struct("row", "col").alias("a"), F.explode(F.filter("near", lambda n: n.isNotNull() & (n["z"] == F.col("z")))).alias("n")).select("a", F.struct("n.row", "n.col").alias("b"))
-    named = written(components(pairs), "level-parts")
-    low = edges.where("kind = 'low'").select(F.struct("row", "col").alias("node"))
-    # a low edge always lies level with a neighbour, so it is in a component
-    firsts = low.join(named, "node").groupBy("component").agg(F.min("node").alias("first"))
-    # one row for each flat with an outlet
-    ranked = firsts.withColumn("label", F.row_number().over(Window.orderBy("first")))
-    return named.join(ranked, "component").select("node.row", "node.col", "label")
-
-
-def _distances(seeds: DataFrame, adjacent: DataFrame, name: str) -> DataFrame:
-    """node, distance: 1 for seeds, else 1 more than the nearest step before; adjacent (node, to)."""
-    found = [written(seeds.select("node", F.lit(1).alias("distance")).distinct(), f"{name}-1")]
-    reached, most = found[0], adjacent.select("to").distinct().count() + 2  # no shortest path is longer
-    for level in range(2, most + 1):
-        new = reached.join(adjacent, "node").select(F.col("to").alias("node")).distinct()
-        for before in found[-2:]:  # in an undirected graph a step reaches this level, the last or the one before
-            new = new.join(before.select("node"), "node", "left_anti")
-        new = new.join(found[0].select("node"), "node", "left_anti")  # a seed may have no step back
-        reached = written(new.select("node", F.lit(level).alias("distance")), f"{name}-{level}")
-        if not reached.take(1):
-            break
-        found.append(reached)
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return every
+    cells = dem.select("row", "col", "z").join(edges.select("row", "col", "kind"), ["row", "col"], "left").withColumn("fdr", F.lit(0).cast("short"))
+    tiles = _level_tiles(cells, tile)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for t in b.to_pylist():
+                label = _label_array(t, tile)
+                at = np.flatnonzero(label)
+                yield pa.RecordBatch.from_arrays([pa.array(at // t["width"] + t["tile_row"] * tile), pa.array(at % t["width"] + t["tile_col"] * tile), pa.array(label[at])], ["row", "col", "label"])
+
+    found = tiles.select("tile_row", "tile_col", "width", "part").join(_labels(tiles, tile), ["tile_row", "tile_col"])
+    return found.mapInArrow(run, "row long, col long, label long").withColumn("label", F.col("label").cast("int"))
+
+
+def spread(distance, label, passable, begin) -> None:
+    """Breadth first, in place: cells that a step from begin or from one reached leads to get a distance 1 more, if that is less.
+
+    A step leads to a passable neighbour of the same label. 0: not reached.
+    """
+    import numpy as np
 
+    height, width = label.shape
+    flat_label, flat_pass = label.ravel(), passable.ravel()
+    levels = {int(d): begin[distance[begin] == d] for d in np.unique(distance[begin])}
+    while levels:
+        d = min(levels)
+        here = levels.pop(d)
+        here = here[distance[here] == d]
+        row, col, new = here // width, here % width, []
+        for dr, dc in STEPS:
+            inside = (row + dr >= 0) & (row + dr < height) & (col + dc >= 0) & (col + dc < width)
+            to = here[inside] + dr * width + dc
+            to = to[flat_pass[to] & (flat_label[to] == flat_label[here[inside]]) & ((distance[to] == 0) | (distance[to] > d + 1))]
+            distance[to] = d + 1
+            new.append(to)
+        new = np.unique(np.concatenate(new))
+        if len(new):
+            levels[d + 1] = np.concatenate([levels[d + 1], new]) if d + 1 in levels else new
 
-def flat_mask(dem: DataFrame, fdr: DataFrame) -> DataFrame:
+
+def _stepper(size: int):
+    """Tiles' states from their parts and labels, or from states and what borders offer: distances spread within each tile."""
+    schema = arrow_schema(_STATE)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for t in b.to_pylist():
+                height, width, y, x = t["height"], t["width"], t["tile_row"] * size, t["tile_col"] * size
+                fdr = np.frombuffer(t["fdr"], "i1")
+                if "part" in t:
+                    label, kind = _label_array(t, size), np.frombuffer(t["kind"], "i1")
+                    distances = [((kind == k) & (label > 0)).astype("i4") for k in (_HIGH, _LOW)]
+                    begins = [np.flatnonzero(d) for d in distances]
+                else:
+                    label = np.frombuffer(t["label"], "i8")
+                    distances, begins = [np.frombuffer(t[c], "i4").copy() for c in ("away", "low")], [[], []]
+                    for g in t["given"] or ():
+                        k = (g["row"] - y) * width + g["col"] - x
+                        for d, new, begin in zip(distances, (g["away"], g["low"]), begins, strict=True):
+                            if new and (d[k] == 0 or d[k] > new):
+                                d[k] = new
+                                begin.append(k)
+                    begins = [np.array(begin, "i8") for begin in begins]
+                for d, begin in zip(distances, begins, strict=True):
+                    if len(begin):
+                        spread(d, label.reshape(height, width), (fdr == UNDEFINED).reshape(height, width), begin)
+                away, low = distances
+                border = [k for k in rim(height, width).tolist() if label[k]]
+                rims = [{"row": k // width + y, "col": k % width + x, "fdr": int(fdr[k]), "label": int(label[k]), "away": int(away[k]), "low": int(low[k])} for k in border]
+                names, first = np.unique(label, return_inverse=True)
+                top = np.zeros(len(names), "i4")
+                np.maximum.at(top, first, away)
+                tops = [{"label": int(n), "away": int(m)} for n, m in zip(names, top, strict=True) if n]
+                own = {c: t[c] for c in ("tile_row", "tile_col", "height", "width", "fdr")}
+                out.append(own | {"label": label.astype("i8").tobytes(), "away": away.tobytes(), "low": low.tobytes(), "rims": rims, "tops": tops})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return run
+
+
+def flat_mask(dem: DataFrame, fdr: DataFrame, tile: int = TILE) -> DataFrame:
     """row, col, label, away, low, flat_mask of all cells; zeros outside of flats that drain.
 
     away and low: 1 and the steps from the terrain above and from the outlets, through the
-    flat's cells; flat_mask: 2 low + (the flat's largest away - away).
+    flat's cells; flat_mask: 2 low + (the flat's largest away - away). The tile's size changes nothing.
     """
-    cells = written(_cells(dem, fdr), "cells")
-    kinds = written(flat_edges(dem, fdr), "edges")
-    base = cells.select("row", "col")
-    zero = F.lit(0).cast("int")
-    if not kinds.where("kind = 'low'").take(1):
-        return base.select("row", "col", *(zero.alias(c) for c in ("label", "away", "low", "flat_mask")))
-    labels = written(flat_labels(dem, kinds), "labels")
-    flat = cells.join(labels, ["row", "col"], "left").select("row", "col", "fdr", "label")
-    near = neighbours(flat, "fdr", "label")
-    inside = lambda n: n.isNotNull() & (n["label"] == F.col("label")) & (n["fdr"] == UNDEFINED)
-    steps = near.select(F.struct("row", "col").alias("node"), F.explode(F.filter("near", inside)).alias("n")).select("node", F.struct("n.row", "n.col").alias("to"))
-    steps = written(steps, "steps")
-    seeds = kinds.join(labels, ["row", "col"], "left_semi").select(F.struct("row", "col").alias("node"), "kind")
-    away = _distances(seeds.where("kind = 'high'"), steps, "away").withColumnRenamed("distance", "away")
-    low = _distances(seeds.where("kind = 'low'"), steps, "low").withColumnRenamed("distance", "low")
-    found = labels.select(F.struct("row", "col").alias("node"), "label").join(away, "node", "left").join(low, "node", "left")
-    found = written(found, "found")
-    heights = found.groupBy("label").agg(F.max(F.coalesce("away", F.lit(0))).alias("height"))
-    found = found.join(heights, "label").select("node.row", "node.col", "label", "away", "low", F.when(F.col("low") > 0, 2 * F.col("low") + F.when(F.col("away") > 0, F.col("height") - F.col("away")).otherwise(0)).otherwise(-F.coalesce("away", F.lit(0))).alias("flat_mask"))
-    fill = lambda c: F.coalesce(c, zero).cast("int").alias(c)
-    return base.join(found, ["row", "col"], "left").select("row", "col", *map(fill, ("label", "away", "low", "flat_mask")))
+    tiles = _level_tiles(_kinds(_cells(dem, fdr)), tile)
+    key = ["tile_row", "tile_col"]
+    state = written(tiles.drop("rims", "parts").join(_labels(tiles, tile), key, "left").mapInArrow(_stepper(tile), _STATE), "flats-0")
+    discard(tiles)
+    for k in range(1, 1 + state.agg(F.sum(F.col("height") * F.col("width"))).first()[0] or 0):  # no path is longer
+        rims = state.select(F.inline("rims"))
+        more = lambda c: F.when(F.col(c) > 0, F.col(c) + 1)
+        offers = _beyond(rims.where("away > 0 or low > 0"), tile).select(F.col("to_row").alias("row"), F.col("to_col").alias("col"), F.col("label").alias("of"), more("away").alias("new_away"), more("low").alias("new_low"))
+        less = lambda c: F.coalesce(F.col(f"new_{c}") < F.when(F.col(c) > 0, F.col(c)).otherwise(2**31 - 1), F.lit(False))
+        taken = offers.join(rims.where(F.col("fdr") == UNDEFINED), ["row", "col"]).where((F.col("of") == F.col("label")) & (less("away") | less("low")))
+        taken = written(taken.groupBy("row", "col").agg(F.min("new_away").alias("away"), F.min("new_low").alias("low")), f"offers-{k}")
+        if not taken.take(1):
+            break
+        before, state = state, written(state.drop("rims", "tops").join(by_tile(taken, tile, "away", "low"), key, "left").mapInArrow(_stepper(tile), _STATE), f"flats-{k}")
+        discard(before, taken)
+    tops = state.select(*key, F.inline("tops"))
+    heights = tops.groupBy("label").agg(F.max("away").alias("height"))
+    given = tops.select(*key, "label").join(heights, "label").groupBy(*key).agg(F.collect_list(F.struct("label", "height")).alias("heights"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for t in b.to_pylist():
+                there = np.flatnonzero(np.frombuffer(t["fdr"], "i1") != MISSING)
+                label, away, low = np.frombuffer(t["label"], "i8")[there], np.frombuffer(t["away"], "i4")[there], np.frombuffer(t["low"], "i4")[there]
+                known = sorted((h["label"], h["height"]) for h in t["heights"] or ())
+                names, tall = (np.array([0, *(h[i] for h in known)]) for i in (0, 1))
+                height = tall[np.searchsorted(names, label)]
+                mask = np.where(low > 0, 2 * low + np.where(away > 0, height - away, 0), -away)
+                columns = [there // t["width"] + t["tile_row"] * tile, there % t["width"] + t["tile_col"] * tile, label.astype("i4"), away, low, mask.astype("i4")]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "col", "label", "away", "low", "flat_mask"])
+
+    return state.drop("rims", "tops", "height").join(given, key, "left").mapInArrow(run, "row long, col long, label int, away int, low int, flat_mask int")
 
 
 def flat_report(mask: DataFrame, fdr: DataFrame) -> DataFrame:

@@ -15,13 +15,18 @@ TILE = 512
 MISSING = 10
 
 
+def arrow_schema(schema: str):
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
 def each_tile(cells: DataFrame, size: int, run: Callable, schema: str) -> DataFrame:
     """run(tile_row, tile_col, rows as an Arrow table) -> a list of dicts (of schema), for each tile that has cells."""
     import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    arrow = arrow_schema(schema)
 
     def apply(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return pa.Table.from_pylist(run(key[0].as_py(), key[1].as_py(), table), schema=arrow)
