@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
@@ -44,6 +45,54 @@ def test_kept_tables_are_bounded(docs, odd_docs, monkeypatch):
     assert [counter.count([t.encode()])[0] for t in texts] == list(map(len, library(BYTES, texts)))
 
 
+#: Characters that normalising, lower case or cutting treats in ways of its own.
+ODD = list("İǅﬁªßΣςŞÅé水한글ัา٣²Ⅷ😀") + ["e\u0301", "\u0307", "\u0338", "\u200d", "\xa0", "\u2028", "\u3000", "\x85", "\x1c", "\x00", "\ufeff", "'s", "'", "<|endoftext|>", "<|startoftext|>"]
+
+
+def hostile(n: int) -> list[str]:
+    r = random.Random(11)
+    plain = list("abAZ09.,!?-_()\"' \t\n")
+    return ["".join(r.choices(ODD + plain, k=r.randint(0, 24))) for _ in range(n)]
+
+
+def test_hostile_words_have_the_librarys_ids():
+    texts = ["ŞEHRİ, ve", "İKİ.", "DİKKATİ!", "oﬁ!", *hostile(20_000)]
+    words = token_files.WordIds(WORDS)
+    found = [i for k in range(0, len(texts), 500) for i in words.encode([t.encode() for t in texts[k : k + 500]])]
+    wanted = [np.array(ids, "<u4").tobytes() for ids in library(WORDS, texts)]
+    assert [t for t, a, b in zip(texts, found, wanted, strict=True) if a != b] == []
+
+
+def test_tables_of_words_are_bounded(monkeypatch):
+    for name in ("KEPT_WORDS", "KEPT_LETTERS", "RUN_WORDS"):
+        monkeypatch.setattr(token_files, name, 7)
+    words = token_files.WordIds(WORDS)
+    texts = hostile(300)
+    assert [words.encode([t.encode()])[0] for t in texts] == [np.array(ids, "<u4").tobytes() for ids in library(WORDS, texts)]
+
+
+def test_repeated_and_null_ids_keep_their_rows(spark):
+    texts = [(None, "a b c"), (3, "one two"), (3, "one two"), (3, "two one three"), (None, None), (1, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    rows = token_files.token_digests(token_files.read_tokens(spark, _stored(spark, docs))).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in rows) == sorted((str(i), len(ids) + 1) for (i, _), ids in zip(texts, library(WORDS, [t for _, t in texts]), strict=True))
+    ends = sorted((r["start"], r["start"] + r["n_tokens"]) for r in rows)
+    assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:], strict=False))
+    counted = token_counts.token_counts(docs, BYTES, public_tokenizers.PATTERN).collect()
+    assert sorted(r["n_tokens"] for r in counted) == sorted(map(len, library(BYTES, [t for _, t in texts])))
+
+
+def test_texts_beyond_a_slice(spark, monkeypatch):
+    """Slices hold runs of texts, or one longer text, whose ids and counts are the library's."""
+    monkeypatch.setattr(token_counts, "SLICE_BYTES", 50)
+    texts = [" ".join(["river İ, stone"] * 40), "a", "b c", "d" * 60, ""]
+    raw = [t.encode() for t in texts]
+    runs = list(token_counts.slices(raw, 50))
+    assert [t for r in runs for t in r] == raw and len(runs) == 4
+    words = token_files.WordIds(WORDS)
+    assert [x for r in runs for x in words.encode(r)] == [np.array(ids, "<u4").tobytes() for ids in library(WORDS, texts)]
+
+
 def _wanted(docs: dict[int, str | None]):
     start = 0
     for i, ids in zip(sorted(docs), library(WORDS, [docs[i] for i in sorted(docs)]), strict=True):

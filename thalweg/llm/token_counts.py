@@ -26,13 +26,12 @@ KEPT_PIECES = 400_000
 #: Texts encoded or cut at once, so memory follows neither the input nor Arrow's batches.
 SLICE_BYTES = 8_000_000
 
-_OTHER_SPACE = re.compile("[\x85\xa0  -     　]".encode("utf-8").decode("utf-8"))
+_OTHER_SPACE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 _CUT = re.compile(rb" (?=[^\s])")
 _LOOSE_SPACE = re.compile(rb" (?=\s|\Z)")
 
 
-@functools.cache
-def tokenizer(path: str):
+def new_tokenizer(path: str):
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -41,6 +40,9 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+tokenizer = functools.cache(new_tokenizer)
+
+
 @functools.cache
 def pre_tokens(pattern: str):
     import regex

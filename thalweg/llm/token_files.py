@@ -7,29 +7,34 @@ sizes, and the page indexes that Parquet's writer makes let a reader skip to the
 of a range of doc_id. Offsets need the metadata columns only.
 
 Defined results: a null or empty text holds the end id alone; rows with the same id
-keep their own lists, ordered by text; extra columns are left out of the files.
+keep their own lists, ordered by a hash of the text; extra columns are left out of the files.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thalweg.llm.tables import shared_dir
-from thalweg.llm.token_counts import slices, tokenizer
+from thalweg.session import shared_dir, shuffles_removed
+from thalweg.llm.token_counts import new_tokenizer, slices, tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Distinct words and runs of letters whose ids a worker keeps; tables start anew beyond this.
-KEPT_WORDS = 400_000
-KEPT_LETTERS = 600_000
+KEPT_WORDS = 200_000
+KEPT_LETTERS = 400_000
+#: Words that are encoded at once.
+RUN_WORDS = 20_000
 #: What the vocabulary's last token of a word ends with (fixed value).
 WORD_END = "</w>"
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
+#: Bytes of text in a file.
+PART_BYTES = 32 << 20
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, tokens array<int>"
 #: Bytes of a row group and of a page, and the encodings, as Parquet's writer takes them.
 LAYOUT = {
@@ -44,21 +49,36 @@ LAYOUT = {
 _LETTERS = re.compile(rb"([a-zA-Z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+class _Numbers(dict):
+    """A number for each word, in the order in which they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class WordIds:
     """The ids of white-space separated words, as little-endian 32-bit integers.
 
     The vocabulary drops white space and lower-cases, so a text's ids are those of its
     words one after the other, and those of a run of letters and the marks after it are
-    those of the letters, then those of the marks.
+    those of the letters, then those of the marks. Letters are characters that the
+    library, after its own normalising, keeps together with a letter and apart from a
+    mark; a word whose letters normalise to anything else is encoded whole.
     """
 
     def __init__(self, path: str):
         import numpy as np
-
-        self.library = tokenizer(path)
-        self.known: dict[bytes, bytes] = {}
-        self.letters: dict[bytes, bytes] = {}
+        from tokenizers import normalizers, pre_tokenizers
+
+        self.library, self.plain = tokenizer(path), new_tokenizer(path)
+        # lower-case ASCII letters are what the library's normaliser and cutting leave as they are
+        self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.numbers = _Numbers()
+        self.known: list[bytes] = []
+        self.letters: dict[bytes, bytes | None] = {}
         self.rest: dict[bytes, bytes] = {b"": b""}
+        self.alphabet: dict[str, bool] = {}
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
@@ -68,44 +88,59 @@ class WordIds:
 
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
-    def runs(self, words: list[bytes]) -> list[bytes]:
+    def runs(self, words: list[bytes], library) -> list[bytes]:
         """Ids of words of letters alone: each is one pre-token, whose last id ends a word."""
         import numpy as np
 
-        ids = np.array(self.library.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(library.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
         ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-        if len(ends) != len(words):  # a character that the library holds for no letter
+        if len(ends) != len(words):
             return self.one_by_one(words)
         flat = ids.tobytes()
         return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
-    def learn(self, words: set[bytes]) -> None:
-        cut, whole = [], []
-        for w in words:
-            m = _LETTERS.fullmatch(w)
-            if m and (w.isascii() or m[1].decode().isalpha()):
-                cut.append((w, m[1].lower(), m[2]))
-            else:
-                whole.append(w)
-        whole += {tail for _, _, tail in cut}
-        for table, new, encode in ((self.letters, {core for _, core, _ in cut}, self.runs), (self.rest, set(whole), self.one_by_one)):
+    def is_letter(self, c: str) -> bool:
+        if c not in self.alphabet:
+            probe = f"a{c}!"
+            self.alphabet[c] = [probe[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(probe)] == [f"a{c}", "!"]
+        return self.alphabet[c]
+
+    def of_letters(self, cores: list[bytes]) -> list[bool]:
+        """Whether the library's normalising leaves letters alone."""
+        normalise = self.library.normalizer.normalize_str
+        found = normalise(b" ".join(cores).decode()).split(" ")
+        if len(found) != len(cores):  # white space among the cores
+            found = [normalise(c.decode()) for c in cores]
+        return [bool(f) and all(map(self.is_letter, f)) for f in found]
+
+    def learn(self, words: list[bytes]) -> None:
+        cut = [(m[1].lower(), m[2]) if (m := _LETTERS.fullmatch(w)) else None for w in words]
+        for table in (self.letters, self.rest):
             if len(table) > KEPT_LETTERS:
                 table.clear()
                 self.rest[b""] = b""
-            new = list(new.difference(table))
-            for k in range(0, len(new), 20_000):
-                table.update(zip(new[k : k + 20_000], encode(new[k : k + 20_000]), strict=True))
+        new = list({c[0] for c in cut if c}.difference(self.letters))
+        other = [c for c in new if not c.isascii()]
+        pure = dict(zip(other, self.of_letters(other), strict=True)) if other else {}
+        self.letters.update((c, None) for c in other if not pure[c])
+        for cores, library in (([c for c in new if c.isascii()], self.plain), ([c for c in other if pure[c]], self.library)):
+            for k in range(0, len(cores), RUN_WORDS):
+                self.letters.update(zip(cores[k : k + RUN_WORDS], self.runs(cores[k : k + RUN_WORDS], library), strict=True))
         letters, rest = self.letters, self.rest
-        self.known.update((w, letters[core] + rest[tail]) for w, core, tail in cut)
-        self.known.update((w, rest[w]) for w in whole)
+        parts = [(letters[c[0]], c[1]) if c and letters[c[0]] is not None else (b"", w) for w, c in zip(words, cut, strict=True)]
+        missing = list({tail for _, tail in parts}.difference(rest))
+        for k in range(0, len(missing), RUN_WORDS):
+            rest.update(zip(missing[k : k + RUN_WORDS], self.one_by_one(missing[k : k + RUN_WORDS]), strict=True))
+        self.known += [core + rest[tail] for core, tail in parts]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        missing = set().union(*words)
-        if len(self.known) + len(missing) > KEPT_WORDS:
-            common = self.known
-            self.known = {w: common[w] for w in missing if w in common}
-        self.learn(missing.difference(self.known))
+        if len(self.numbers) > KEPT_WORDS:
+            self.numbers, self.known = _Numbers(), []
+        number = self.numbers.__getitem__
+        words = [list(map(number, t.split())) for t in texts]
+        new = len(self.numbers) - len(self.known)
+        if new:
+            self.learn(list(itertools.islice(reversed(self.numbers), new))[::-1])
         known = self.known.__getitem__
         return [b"".join(map(known, w)) for w in words]
 
@@ -136,10 +171,12 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, folder: str, end_id: int
                 start += int(ends[-1])
                 at += len(run)
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(encode, SCHEMA).write.options(**LAYOUT).parquet(folder)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, min(docs.sparkSession.sparkContext.defaultParallelism, -(-size // (1 << 20))), -(-size // PART_BYTES))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("tie"))
+    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "tie")
+    with shuffles_removed(docs.sparkSession):
+        rows.mapInArrow(encode, SCHEMA).write.options(**LAYOUT).parquet(folder)
 
 
 def offsets(spark: SparkSession, folder: str) -> DataFrame:
