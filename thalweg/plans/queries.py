@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thalweg.functions.d8 import DEFAULT_SEARCH_RADIUS
 from thalweg.operators import accumulation, flats, grid, least_cost, pits
 from thalweg.operators.flow_direction import flow_direction, neighbour_slopes
 from thalweg.plans.drainage import drainage
@@ -18,7 +19,6 @@ from thalweg.session import shared_dir, written
 from thalweg.sources import rasters
 
 FINE, COARSE, TILT, HIDDEN = 1000, 20, 200, 0.35
-RADIUS = 6
 CHUNK = 48
 
 
@@ -135,7 +135,7 @@ def breach_single_cell_pits(spark, sf_dir):
 
 
 def breach_paths_least_cost(spark, sf_dir):
-    return least_cost.breach_paths_least_cost(dem(spark, sf_dir), radius=RADIUS, tile=64)
+    return least_cost.breach_paths_least_cost(dem(spark, sf_dir))
 
 
 def drainage_pipeline(spark, sf_dir):
@@ -145,7 +145,7 @@ def drainage_pipeline(spark, sf_dir):
 
 
 def drainage_breached(spark, sf_dir):
-    made = drainage(written(dem(spark, sf_dir), "dem"), radius=RADIUS)
+    made = drainage(written(dem(spark, sf_dir), "dem"), radius=DEFAULT_SEARCH_RADIUS)
     return made.dem.join(made.fdr, ["row", "col"]).join(made.fac, ["row", "col"])
 
 
@@ -207,8 +207,10 @@ firsts AS MATERIALIZED (SELECT r, c, min({'r': sr, 'c': sc}) AS first FROM reach
 labels AS MATERIALIZED (SELECT r, c, dense_rank() OVER (ORDER BY first) AS label FROM firsts)"""
 
 _DISTANCES = """flatnear AS MATERIALIZED (SELECT n.r, n.c, n.nr, n.nc FROM near n JOIN labels a ON a.r = n.r AND a.c = n.c JOIN labels b ON b.r = n.nr AND b.c = n.nc AND a.label = b.label JOIN fdr g ON g.r = n.nr AND g.c = n.nc AND g.d = 8),
-up(r, c, n) AS (SELECT r, c, 1 FROM kinds JOIN labels USING (r, c) WHERE kind = 'high' UNION SELECT f.nr, f.nc, n + 1 FROM up JOIN flatnear f ON f.r = up.r AND f.c = up.c WHERE n < 24),
-down(r, c, n) AS (SELECT r, c, 1 FROM kinds WHERE kind = 'low' UNION SELECT f.nr, f.nc, n + 1 FROM down JOIN flatnear f ON f.r = down.r AND f.c = down.c WHERE n < 24),
+-- no shortest path within a flat is longer than the largest flat
+sizes AS MATERIALIZED (SELECT coalesce(max(n), 0) AS most FROM (SELECT count(*) AS n FROM labels GROUP BY label)),
+up(r, c, n) AS (SELECT r, c, 1 FROM kinds JOIN labels USING (r, c) WHERE kind = 'high' UNION SELECT f.nr, f.nc, n + 1 FROM up JOIN flatnear f ON f.r = up.r AND f.c = up.c WHERE n <= (SELECT most FROM sizes)),
+down(r, c, n) AS (SELECT r, c, 1 FROM kinds WHERE kind = 'low' UNION SELECT f.nr, f.nc, n + 1 FROM down JOIN flatnear f ON f.r = down.r AND f.c = down.c WHERE n <= (SELECT most FROM sizes)),
 away AS MATERIALIZED (SELECT r, c, min(n) AS n FROM up GROUP BY r, c),
 low AS MATERIALIZED (SELECT r, c, min(n) AS n FROM down GROUP BY r, c),
 found AS MATERIALIZED (SELECT r, c, label, away.n AS a, low.n AS l, max(coalesce(away.n, 0)) OVER (PARTITION BY label) AS h FROM labels LEFT JOIN away USING (r, c) LEFT JOIN low USING (r, c)),
