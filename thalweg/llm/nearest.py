@@ -3,13 +3,13 @@
 Vectors are cut into pairs of components, each quantised to one of 16 centres (four
 bits). Codes and centres minimise a residual error in which the part parallel to the
 vector weighs more than the rest, since it is what moves large inner products. A search
-scans the codes with a table of partial products of each query, and ranks the best
-exactly, in double precision, on the original vectors.
+scans the codes with a table of partial products of each query, times the vectors' norms, and ranks the best
+exactly, in double precision, on the original vectors. Codes are those of the vectors' directions.
 
 Centres are fitted on SAMPLE vectors at most (chosen by a hash of their ids); every
 vector is indexed. Queries pass in blocks of QUERY_BLOCK, each of them one broadcast
-of bounded size; each task keeps the nearest of its own vectors for each query. Equal
-vectors of a batch are scanned once and expanded by ascending id, so copies push
+of bounded size, one at a time; each task keeps the nearest of its own vectors for each query. Equal
+vectors of a slice are scanned once and expanded by ascending id, so copies push
 nothing out of the candidates.
 
 Defined results: vectors that are null, zero, of another length than most of the
@@ -33,8 +33,8 @@ ROUNDS = 6
 #: The score-aware weight comes from this share of a vector's norm.
 THRESHOLD = 0.2
 NEAREST = 20
-#: Candidates of each batch that are ranked exactly.
-RERANK = 120
+#: Candidates that are ranked exactly, of so many vectors at most.
+RERANK, RERANK_OF = 120, 2500
 QUERY_BLOCK = 8192
 _ROW = "query_id long, vec_id long, score double"
 
@@ -49,6 +49,15 @@ def parallel_weight(dimensions: int, threshold: float = THRESHOLD) -> float:
     return max(1.0, (dimensions - 1) * threshold**2 / (1 - threshold**2))
 
 
+def unit(x):
+    """Rows of norm 1: their directions are quantised, and the norms kept as they are."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def _padded(x):
     import numpy as np
 
@@ -109,8 +118,8 @@ def exact(queries, vectors):
     return total
 
 
-def scan(queries, codes, centres, most: int):
-    """For each query the places of the `most` codes with the largest approximate product."""
+def scan(queries, codes, norms, centres, most: int):
+    """For each query the places of the `most` codes with the largest approximate product, times the norms."""
     import numpy as np
 
     q = _padded(queries).reshape(len(queries), -1, PAIR)
@@ -122,6 +131,7 @@ def scan(queries, codes, centres, most: int):
     scores = np.zeros((len(q), len(codes)), "f4")
     for m in range(joint.shape[1]):
         scores += pairs[:, m][:, joint[:, m]]
+    scores *= norms.astype("f4")
     if most >= len(codes):
         return np.broadcast_to(np.arange(len(codes)), scores.shape)
     return np.argpartition(-scores, most - 1, axis=1)[:, :most]
@@ -147,10 +157,11 @@ class Best:
         members = np.argsort(group, kind="stable")  # by group, ids ascending
         begin = np.searchsorted(group[members], np.arange(len(first) + 1))
         wide = vectors.astype("f8")
+        norms = np.sqrt((wide[first] ** 2).sum(1))
         found = []
         for a in range(0, len(self.ids), 256):
             q = self.queries[a : a + 256]
-            places = scan(q, codes[first], centres, rerank)
+            places = scan(q, codes[first], norms, centres, rerank)
             scores = exact(q, wide[first[places]])
             at, col = np.nonzero(scores >= self.floor[a : a + 256, None])
             groups, s = places[at, col], scores[at, col]
@@ -187,10 +198,10 @@ def index(vectors: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, object,
     if not n:
         return None
     share = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(min(1.0, 0.9 * sample / n) * (1 << 30))
-    rows = live.where(share).select("embedding").limit(sample).collect() if n > sample else live.select("embedding").collect()
+    rows = live.where(share).select("embedding").collect() if n > sample else live.select("embedding").collect()
     sizes = [len(r[0]) for r in rows]
     dimensions = max(sorted(set(sizes)), key=sizes.count)
-    centres, extra = fit(np.array([r[0] for r in rows if len(r[0]) == dimensions], "f8"))
+    centres, extra = fit(unit(np.array([r[0] for r in rows if len(r[0]) == dimensions], "f8")))
     model = vectors.sparkSession.sparkContext.broadcast((centres, extra))
 
     def code(batches):
@@ -199,7 +210,7 @@ def index(vectors: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, object,
         centres, extra = model.value
         for b in batches:
             if b.num_rows:
-                codes = encode(_matrix(b.column(1)).astype("f8"), centres, extra)
+                codes = encode(unit(_matrix(b.column(1)).astype("f8")), centres, extra)
                 if codes.shape[1] % 2:
                     codes = np.pad(codes, ((0, 0), (0, 1)))
                 packed = codes[:, ::2] << 4 | codes[:, 1::2]
@@ -217,13 +228,21 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEAREST, rerank: int =
     spark = vectors.sparkSession
     made = index(vectors, sample)
     found = spark.createDataFrame([], _ROW)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     if made:
         coded, centres, _ = made
         model = spark.sparkContext.broadcast(centres)
+        nearest_of = lambda rows: rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
         queries = coded.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+        before = None
         for ids, block in _blocks(queries):
-            found = found.unionByName(coded.mapInArrow(_searcher(spark.sparkContext.broadcast((ids, np.array(block, "f8"))), model, k, rerank), _ROW))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            if before is not None:  # one block is held at a time
+                found = found.unionByName(written(nearest_of(before[0]), "nearest"))
+                before[1].destroy()
+            sent = spark.sparkContext.broadcast((ids, np.array(block, "f8")))
+            before = coded.mapInArrow(_searcher(sent, model, k, rerank), _ROW), sent
+        if before is not None:
+            found = found.unionByName(before[0])
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -254,7 +273,10 @@ def _searcher(block, model, k: int, rerank: int):
             vectors = _matrix(b.column(1))
             packed = np.frombuffer(b"".join(b.column(2).to_pylist()), "u1").reshape(len(vectors), -1)
             codes = np.stack([packed >> 4, packed & 15], 2).reshape(len(vectors), -1)[:, : model.value.shape[0]]
-            best.see(b.column(0).to_numpy(), vectors, codes, model.value, rerank)
+            vec_ids = b.column(0).to_numpy()
+            for a in range(0, len(vectors), RERANK_OF):
+                some = slice(a, a + RERANK_OF)
+                best.see(vec_ids[some], vectors[some], codes[some], model.value, rerank)
         who, scores, vec_ids = best.rows
         yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(vec_ids), pa.array(scores)], ["query_id", "vec_id", "score"])
 
