@@ -36,6 +36,18 @@ def test_stages_on_the_drivers_documents(spark, sf_dir):
         out.unpersist()
 
 
+def test_the_whole_run(spark, sf_dir):
+    """All stages after one another: shards of the mix of what is kept, the same when run again."""
+    found = sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).select("doc_id", "shard", "slot").collect()))
+    ids = {r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()}
+    assert found and {d for d, _, _ in found} < ids
+    slots = {}
+    for _, shard, slot in found:
+        slots.setdefault(shard, []).append(slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).select("doc_id", "shard", "slot").collect())) == found
+
+
 def test_stages_take_empty_tables_and_own_columns(spark, sf_dir, odd_docs):
     for docs in (frame(spark, odd_docs), frame(spark, odd_docs).limit(0)):
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):

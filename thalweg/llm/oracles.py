@@ -1,6 +1,6 @@
 """SQL for DuckDB that gives the rows of registered queries, from the same tables by other ways.
 
-Shards: ranks within arcs, own rows by running counts, the overflow by a recursion over
+Shards: ranks within arcs, own rows by running counts, the surplus by a recursion over
 the arcs that have one. Near duplicates: exact similarities of all pairs that share a
 shingle, and a recursion over links. Contamination: a join of all windows of words.
 """

@@ -2,9 +2,9 @@
 
 Each shard has points on a ring, and a document goes to the shard of the first point
 clockwise from its own hash. No shard takes more than its even share of the rows (so
-counts are at most one apart): what overflows a full shard continues clockwise to the
+counts are at most one apart): what a full shard cannot take continues clockwise to the
 next one with room. First every shard takes its own documents, in ring order, up to its
-share; then the overflow goes on in ring order. Only counts for each arc of the ring,
+share; then the surplus goes on in ring order. Only counts for each arc of the ring,
 a fixed number, are needed to see which ranks of an arc go where; documents are ranked
 side by side in cells of an arc and meet the fixed-size plan in a broadcast join.
 
