@@ -35,7 +35,8 @@ def test_one_more_shard_moves_few_rows(spark):
 def test_repeated_and_null_ids_and_own_names(spark):
     docs = spark.createDataFrame([(1, "a", 9), (1, "a", 9), (None, None, 8), (None, "", 8)], "doc_id long, text string, shard int")
     rows = sharding.shard(docs).collect()
-    assert len(rows) == 4 and len({(r["shard"], r["slot"]) for r in rows}) == 4
+    assert len(rows) == 4 and len({(r["shard_"], r["slot"]) for r in rows}) == 4
+    assert sorted(r["shard"] for r in rows) == [8, 8, 9, 9]
 
 
 def test_empty(no_docs):

@@ -7,18 +7,25 @@ shingle, and a recursion over links. Contamination: a join of all windows of wor
 
 from __future__ import annotations
 
-from thalweg.llm import decontamination, sharding
+from thalweg.llm import decontamination, prefix_trie, sharding
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_CRC_TABLE = """bits AS (SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)),
+crc_table AS (SELECT list(v ORDER BY i) AS t FROM bits)"""
+
+
+def _crc32(text: str) -> str:
+    """The checksum of a text that isn't empty; t is the table's."""
+    return f"xor(list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
 SHARDING = f"""
 WITH RECURSIVE
-bits AS (SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)),
-crc_table AS (SELECT list(v ORDER BY i) AS t FROM bits),
+{_CRC_TABLE},
 docs AS (
   SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
-    CASE WHEN coalesce(text, '') = '' THEN 0 ELSE
-      xor(list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) END AS text_crc32,
+    CASE WHEN coalesce(text, '') = '' THEN 0 ELSE {_crc32("text")} END AS text_crc32,
     ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h
   FROM documents, crc_table),
 points AS (SELECT ('0x' || substr(md5(s || ':' || p), 1, 15))::BIGINT AS h, s FROM range({sharding.SHARDS}) a(s), range({sharding.POINTS}) b(p)),
@@ -84,4 +91,24 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
-SQL = {"op2_sharding": SHARDING, "op6_near_duplicates": NEAR_DUPLICATES, "op7_decontamination": DECONTAMINATION}
+PREFIX_TRIE = f"""
+WITH
+{_CRC_TABLE},
+given AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id AS c, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) AS turns FROM given GROUP BY conv_id),
+cut AS (SELECT c, turns, {_crc32("c::VARCHAR")} % {prefix_trie.HEADS} AS h FROM own, crc_table),
+built AS (SELECT a.c, coalesce(b.turns[1 : h], []) || a.turns[h + 1 :] AS turns FROM cut a LEFT JOIN own b ON b.c = a.c - a.c % {prefix_trie.GROUP}),
+members AS (SELECT c, d, turns[1 : d] AS path, d = len(turns) AS ends FROM (SELECT c, turns, unnest(range(len(turns) + 1)) AS d FROM built)),
+nodes AS (
+  SELECT path, d, min(c) AS conv_id, count(*) AS n, coalesce(octet_length(encode(path[d].text)), 0) AS size, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM members GROUP BY path, d),
+children AS (SELECT path[1 : d - 1] AS path, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+sized AS (SELECT nodes.*, coalesce(children.n, 0) AS n_children FROM nodes LEFT JOIN children USING (path, d)),
+folded AS (
+  SELECT path[1 : up] AS path, up AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum((n - 1) * size) AS saved
+  FROM (SELECT *, unnest(range(d + 1)) AS up FROM sized) GROUP BY ALL)
+SELECT s.conv_id, s.d::BIGINT AS depth, p.conv_id AS parent_conv_id, s.n AS n_convs, s.n_children, n_leaves, saved::BIGINT AS saved_tokens, s.ends_sha256
+FROM sized s JOIN folded USING (path, d) LEFT JOIN nodes p ON s.d > 0 AND p.d = s.d - 1 AND p.path = s.path[1 : s.d - 1]
+"""
+
+SQL = {"op11_prefix_trie": PREFIX_TRIE, "op2_sharding": SHARDING, "op6_near_duplicates": NEAR_DUPLICATES, "op7_decontamination": DECONTAMINATION}

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thalweg.llm import decontamination, html_text, line_dedup, mixing, near_duplicates, nearest, oracles, quality, sharding, token_counts, token_files
+from thalweg.llm import decontamination, html_text, line_dedup, mixing, near_duplicates, nearest, oracles, prefix_trie, quality, sharding, token_counts, token_files
 from thalweg.llm.tables import table
+from thalweg.session import written
 
 
 def _vocabulary(name: str) -> str:
@@ -62,8 +63,13 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = written(prefix_trie.numbered(table(spark, sf_dir, "conversations")), "turns")
+    return prefix_trie.trie(*prefix_trie.rebuilt(turns))
+
+
 def queries() -> dict:
-    found = (op1_token_counts, op2_sharding, op3_mixing, op4_html_text, op5_quality, op6_near_duplicates, op7_decontamination, op8_token_files, op9_line_dedup, op10_nearest)
+    found = (op1_token_counts, op2_sharding, op3_mixing, op4_html_text, op5_quality, op6_near_duplicates, op7_decontamination, op8_token_files, op9_line_dedup, op10_nearest, op11_prefix_trie)
     return {f.__name__: f for f in found}
 
 

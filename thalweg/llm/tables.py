@@ -52,19 +52,19 @@ def text_runs(column, most: int):
         a = b
 
 
-def in_order(df: DataFrame, *columns: str, sums: dict[str, str] | None = None) -> DataFrame:
+def in_order(df: DataFrame, *columns: str, sums: dict[str, str] | None = None, keep: tuple[str, ...] | None = None) -> DataFrame:
     """Number the rows of df from 0 in the order of columns, in column `position`.
 
     sums: column -> name of a new column with the sum of that column over all rows
-    before this one. Rows are dealt out by range; each part numbers its own rows, and a
+    before this one. keep: the columns that the result has, if not all. Rows are dealt out by range; each part numbers its own rows, and a
     table of one row for each part gives what stands before it. No task holds all rows.
     Rows that agree in all columns of the order are numbered in any order.
     """
     sums = sums or {}
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // PART_ROWS))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    names = df.columns
+    names = list(keep or df.columns)
+    schema = ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 
     def number(batches):
         import numpy as np
@@ -85,6 +85,7 @@ def in_order(df: DataFrame, *columns: str, sums: dict[str, str] | None = None) -
     own = (
         df.repartitionByRange(parts, *columns)
         .sortWithinPartitions(*columns)
+        .select(*names)
         .mapInArrow(number, schema + ", _part int, _row long" + "".join(f", _{c}_before long" for c in sums))
     )
     own = written(own, "ordered")
