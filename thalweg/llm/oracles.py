@@ -7,7 +7,7 @@ shingle, and a recursion over links. Contamination: a join of all windows of wor
 
 from __future__ import annotations
 
-from thalweg.llm import decontamination, prefix_trie, sharding
+from thalweg.llm import decontamination, prefix_trie, sharding, spelling
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -111,4 +111,23 @@ SELECT s.conv_id, s.d::BIGINT AS depth, p.conv_id AS parent_conv_id, s.n AS n_co
 FROM sized s JOIN folded USING (path, d) LEFT JOIN nodes p ON s.d > 0 AND p.d = s.d - 1 AND p.path = s.path[1 : s.d - 1]
 """
 
-SQL = {"op11_prefix_trie": PREFIX_TRIE, "op2_sharding": SHARDING, "op6_near_duplicates": NEAR_DUPLICATES, "op7_decontamination": DECONTAMINATION}
+SPELLING = f"""
+WITH RECURSIVE
+{_CRC_TABLE},
+runs AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (SELECT run, n, {_crc32("coalesce(doc_id::VARCHAR, 'null') || ':' || run")} AS h FROM counted, crc_table),
+written AS (SELECT CASE WHEN h % {spelling.MISSPELT} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM written WHERE length(word) >= {spelling.LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {spelling.LEAST_COUNT}),
+gaps AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS MATERIALIZED (
+  SELECT x.word, y.word AS other, y.n FROM gaps x JOIN gaps y USING (i, a, b) WHERE x.word <> y.word
+  UNION SELECT g.word, w.word, w.n FROM gaps g JOIN words w ON w.word = g.a || g.b
+  UNION SELECT w.word, g.word, g.n FROM gaps g JOIN words w ON w.word = g.a || g.b),
+best AS (SELECT word, count(*) AS n_near, min({{'less': -n, 'other': other}}) AS best FROM near GROUP BY word),
+forms AS MATERIALIZED (SELECT word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= {spelling.FORM_SHARE} * w.n THEN best.other END AS form, CASE WHEN -best.less >= {spelling.FORM_SHARE} * w.n THEN -best.less END AS form_n FROM words w LEFT JOIN best USING (word)),
+followed AS (SELECT word, word AS root, 0 AS k FROM forms UNION ALL SELECT r.word, f.form, k + 1 FROM followed r JOIN forms f ON f.word = r.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n::BIGINT AS form_n FROM forms f JOIN (SELECT word, arg_max(root, k) AS root FROM followed GROUP BY word) r USING (word)
+"""
+
+SQL = {"op12_spelling": SPELLING, "op11_prefix_trie": PREFIX_TRIE, "op2_sharding": SHARDING, "op6_near_duplicates": NEAR_DUPLICATES, "op7_decontamination": DECONTAMINATION}
