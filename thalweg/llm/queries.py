@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thalweg.llm import decontamination, html_text, line_dedup, mixing, near_duplicates, nearest, oracles, prefix_trie, quality, sharding, spelling, token_counts, token_files
+from thalweg.llm import decontamination, html_text, language_id, line_dedup, mixing, near_duplicates, nearest, oracles, prefix_trie, quality, sharding, spelling, token_counts, token_files
 from thalweg.llm.tables import table
 from thalweg.session import written
 
@@ -72,8 +72,12 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(written(spelling.vocabulary(table(spark, sf_dir, "documents")), "vocabulary"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predictions(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def queries() -> dict:
-    found = (op1_token_counts, op2_sharding, op3_mixing, op4_html_text, op5_quality, op6_near_duplicates, op7_decontamination, op8_token_files, op9_line_dedup, op10_nearest, op11_prefix_trie, op12_spelling)
+    found = (op1_token_counts, op2_sharding, op3_mixing, op4_html_text, op5_quality, op6_near_duplicates, op7_decontamination, op8_token_files, op9_line_dedup, op10_nearest, op11_prefix_trie, op12_spelling, op13_language_id)
     return {f.__name__: f for f in found}
 
 
