@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thalweg.functions.d8 import ACCUMULATION_NODATA, EXTERNAL, NODATA, TERMINATES, step
+from thalweg.operators.raster import FRAME, KEY, Raster, each, kept, layer
 from thalweg.operators.tiles import MISSING, TILE, by_tile, each_tile, path_sums, place, pointers, rim
 from thalweg.session import discard, written
 
@@ -73,20 +74,31 @@ def _tiles(fdr: DataFrame, size: int) -> DataFrame:
         rows, cols, height, width = place(table, tile_row, tile_col, size)
         codes = np.full((height, width), MISSING, "i1")
         codes[rows, cols] = table.column("fdr").to_numpy()
-        to, out, to_row, to_col = pointers(codes)
-        found = path_sums(to, np.ones(to.size, "i8"))
-        made = {"tile_row": tile_row, "tile_col": tile_col, "height": height, "width": width, "codes": codes.tobytes(), "cycle": found is None, "exits": [], "rims": []}
-        if found is not None:
-            root, n = found
-            y, x = tile_row * size, tile_col * size
-            exits, border = np.flatnonzero(out), rim(height, width)
-            border = border[codes.ravel()[border] != MISSING]
-            made["exits"] = [dict(row=int(k // width + y), col=int(k % width + x), to_row=int(to_row[k] + y), to_col=int(to_col[k] + x), n=int(n[k])) for k in exits]
-            leaves = out[root[border]]
-            made["rims"] = [dict(row=int(k // width + y), col=int(k % width + x), fdr=int(codes.ravel()[k]), exit_row=int(e // width + y) if has else None, exit_col=int(e % width + x) if has else None) for k, e, has in zip(border, root[border], leaves, strict=True)]
-        return [made]
-
-    tiles = written(each_tile(fdr.select("row", "col", "fdr"), size, run, _TILES), "tiles")
+        return [_tile(tile_row, tile_col, codes, size)]
+
+    return _acyclic(each_tile(fdr.select("row", "col", "fdr"), size, run, _TILES))
+
+
+def _tile(tile_row: int, tile_col: int, codes, size: int) -> dict:
+    import numpy as np
+
+    height, width = codes.shape
+    to, out, to_row, to_col = pointers(codes)
+    found = path_sums(to, np.ones(to.size, "i8"))
+    made = {"tile_row": tile_row, "tile_col": tile_col, "height": height, "width": width, "codes": codes.tobytes(), "cycle": found is None, "exits": [], "rims": []}
+    if found is not None:
+        root, n = found
+        y, x = tile_row * size, tile_col * size
+        exits, border = np.flatnonzero(out), rim(height, width)
+        border = border[codes.ravel()[border] != MISSING]
+        made["exits"] = [dict(row=int(k // width + y), col=int(k % width + x), to_row=int(to_row[k] + y), to_col=int(to_col[k] + x), n=int(n[k])) for k in exits]
+        leaves = out[root[border]]
+        made["rims"] = [dict(row=int(k // width + y), col=int(k % width + x), fdr=int(codes.ravel()[k]), exit_row=int(e // width + y) if has else None, exit_col=int(e % width + x) if has else None) for k, e, has in zip(border, root[border], leaves, strict=True)]
+    return made
+
+
+def _acyclic(tiles: DataFrame) -> DataFrame:
+    tiles = written(tiles, "tiles")
     if tiles.where("cycle").take(1):
         raise ValueError("flow directions run in a cycle")
     return tiles
@@ -108,10 +120,42 @@ def flow_accumulation(fdr: DataFrame, tile: int = TILE) -> DataFrame:
     Raises ValueError for directions that run in a cycle. The tile's size changes nothing.
     """
     tiles = _tiles(fdr, tile)
+    return _summed(tiles.join(_inflows(tiles, tile), ["tile_row", "tile_col"], "left"), tile)
+
+
+def raster_accumulation(raster: Raster) -> Raster:
+    """raster (there, fdr) with the layer fac, as flow_accumulation of its cells; no other layers."""
+    types, size = raster.types(), raster.size
+    tiles = _acyclic(each(raster.table.select(*KEY, "height", "width", "fdr"), lambda t: _tile(t["tile_row"], t["tile_col"], layer(t, "fdr", types), size), _TILES))
+
+    def run(t: dict) -> dict:
+        import numpy as np
+
+        codes = layer(t, "codes", {"codes": "i1"})
+        return kept()(t) | {"there": (codes != MISSING).tobytes(), "fdr": t["codes"], "fac": np.where(codes.ravel() == MISSING, 0, _sums(t, codes, size)).tobytes()}
+
+    summed = each(tiles.select(*KEY, "height", "width", "codes").join(_inflows(tiles, size), KEY, "left"), run, f"{FRAME}, there binary, fdr binary, fac binary")
+    return Raster(summed, size, raster.z, ("there", "fdr", "fac"))
+
+
+def _inflows(tiles: DataFrame, size: int) -> DataFrame:
+    """tile_row, tile_col, given (row, col, n): what flows into the cells on a tile's border from other tiles."""
     graph = written(_graph(tiles), "exits")
     total = _doubled(graph, sums=True).select("node", F.col("n").alias("total"))
     into = graph.where("goes_on").join(total, "node").groupBy(F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg(F.sum("total").alias("n"))
-    return _summed(tiles.join(by_tile(into, tile, "n"), ["tile_row", "tile_col"], "left"), tile)
+    return by_tile(into, size, "n")
+
+
+def _sums(t: dict, codes, size: int):
+    """Cells that drain through each of a tile's; nodata has none."""
+    import numpy as np
+
+    y, x = t["tile_row"] * size, t["tile_col"] * size
+    weights = np.ones(codes.size, "i8")
+    for g in t["given"] or ():
+        weights[(g["row"] - y) * t["width"] + g["col"] - x] += g["n"]
+    _, n = path_sums(pointers(codes)[0], weights)
+    return np.where(codes.ravel() == NODATA, ACCUMULATION_NODATA, n)
 
 
 def tile_accumulation(fdr: DataFrame, tile: int = TILE) -> DataFrame:
@@ -128,15 +172,8 @@ def _summed(tiles: DataFrame, size: int) -> DataFrame:
         for b in batches:
             for t in b.to_pylist():
                 codes = np.frombuffer(t["codes"], "i1").reshape(t["height"], t["width"])
-                y, x = t["tile_row"] * size, t["tile_col"] * size
-                weights = np.ones(codes.size, "i8")
-                for g in t["given"] or ():
-                    weights[(g["row"] - y) * t["width"] + g["col"] - x] += g["n"]
-                _, n = path_sums(pointers(codes)[0], weights)
-                flat = codes.ravel()
-                there = np.flatnonzero(flat != MISSING)
-                n = np.where(flat == NODATA, ACCUMULATION_NODATA, n)[there]
-                yield pa.RecordBatch.from_arrays([pa.array(there // t["width"] + y), pa.array(there % t["width"] + x), pa.array(n)], ["row", "col", "fac"])
+                there = np.flatnonzero(codes.ravel() != MISSING)
+                yield pa.RecordBatch.from_arrays([pa.array(there // t["width"] + t["tile_row"] * size), pa.array(there % t["width"] + t["tile_col"] * size), pa.array(_sums(t, codes, size)[there])], ["row", "col", "fac"])
 
     return tiles.select("tile_row", "tile_col", "height", "width", "codes", "given").mapInArrow(run, "row long, col long, fac long")
 

@@ -4,19 +4,24 @@ A flat's cells (direction 8) get a mask that falls towards the flat's outlets an
 from the terrain above it; directions follow the mask's descent. Each tile finds its
 level parts, and pairs of cells across borders join them to flats; distances spread breadth
 first within tiles, and go on from tile to tile in rounds, as many as tiles that a
-shortest path crosses. Between rounds only border cells are joined.
+shortest path crosses. In a round only the tiles that are offered distances by a
+neighbour's border are read, and only those are written where an offer was less than
+what they had; all others stay where they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from thalweg.functions.d8 import DISTANCES, NODATA, STEPS, UNDEFINED
 from thalweg.operators.components import components
-from thalweg.operators.grid import best_code, neighbours, tile_of
-from thalweg.operators.tiles import MISSING, TILE, arrow_schema, by_tile, each_tile, place, rim
+from thalweg.operators.grid import neighbours, tile_of
+from thalweg.operators.raster import FRAME, KEY, Raster, each, kept, layer, padded, shifted, to_cells, to_raster, with_strips
+from thalweg.operators.tiles import MISSING, TILE, by_tile, each_tile, place, rim
 from thalweg.session import discard, written
 
 
@@ -39,9 +44,12 @@ def flat_edges(dem: DataFrame, fdr: DataFrame) -> DataFrame:
 
 
 _CELL = "row: bigint, col: bigint"
-_SIZE = "tile_row long, tile_col long, height int, width int"
-_LEVELS = f"{_SIZE}, fdr binary, kind binary, part binary, rims array<struct<{_CELL}, z: double, part: bigint>>, parts array<struct<part: bigint, low: struct<{_CELL}>>>"
-_STATE = f"{_SIZE}, fdr binary, label binary, away binary, low binary, rims array<struct<{_CELL}, fdr: smallint, label: bigint, away: int, low: int>>, tops array<struct<label: bigint, away: int>>"
+_LEVELS = f"{FRAME}, fdr binary, kind binary, part binary, rims array<struct<{_CELL}, z: double, part: bigint>>, parts array<struct<part: bigint, low: struct<{_CELL}>>>"
+_FOUND = f"away binary, low binary, changed array<struct<{_CELL}, label: bigint, away: int, low: int>>, tops array<struct<label: bigint, away: int>>"
+_STATE = f"{FRAME}, fdr binary, label binary, {_FOUND}"
+_STEP = f"tile_row long, tile_col long, {_FOUND}"
+#: Rounds whose tables are kept apart; then the tiles' last states are put together.
+ROUNDS_APART = 8
 #: Codes of the half of the directions that sees each pair of neighbours once.
 HALF = (0, 5, 6, 7)
 _LOW, _HIGH = 1, 2
@@ -75,6 +83,21 @@ def level_parts(z, there):
     return np.where(there.ravel(), part, -1)
 
 
+def _level_tile(tile_row: int, tile_col: int, z, there, fdr, kind, size: int) -> dict:
+    import numpy as np
+
+    height, width = z.shape
+    part = level_parts(z, there)
+    y, x = tile_row * size, tile_col * size
+    name = lambda k: ((int(k) // width + y) << 32) | (int(k) % width + x)
+    border = [k for k in rim(height, width).tolist() if part[k] >= 0]
+    low: dict[int, dict | None] = {int(part[k]): None for k in border}
+    for k in np.flatnonzero((kind.ravel() == _LOW) & (part >= 0))[::-1].tolist():
+        low[int(part[k])] = {"row": k // width + y, "col": k % width + x}
+    rims = [{"row": k // width + y, "col": k % width + x, "z": float(z.ravel()[k]), "part": name(part[k])} for k in border]
+    return {"tile_row": tile_row, "tile_col": tile_col, "height": height, "width": width, "fdr": fdr.tobytes(), "kind": kind.tobytes(), "part": part.astype("i4").tobytes(), "rims": rims, "parts": [{"part": name(k), "low": v} for k, v in low.items()]}
+
+
 def _level_tiles(cells: DataFrame, size: int) -> DataFrame:
     """A row for each tile of cells (row, col, z, fdr, kind), with the level parts of the tile."""
 
@@ -89,19 +112,31 @@ def _level_tiles(cells: DataFrame, size: int) -> DataFrame:
         values = table.column("z").fill_null(0).to_numpy()
         z = np.zeros((height, width), values.dtype)
         z[rows, cols] = values
-        part = level_parts(z, there)
-        y, x = tile_row * size, tile_col * size
-        name = lambda k: ((int(k) // width + y) << 32) | (int(k) % width + x)
-        border = [k for k in rim(height, width).tolist() if part[k] >= 0]
-        low: dict[int, tuple[int, int] | None] = {int(part[k]): None for k in border}
-        for k in np.flatnonzero((kind.ravel() == _LOW) & (part >= 0))[::-1].tolist():
-            low[int(part[k])] = {"row": k // width + y, "col": k % width + x}
-        rims = [{"row": k // width + y, "col": k % width + x, "z": float(z.ravel()[k]), "part": name(part[k])} for k in border]
-        return [{"tile_row": tile_row, "tile_col": tile_col, "height": height, "width": width, "fdr": fdr.tobytes(), "kind": kind.tobytes(), "part": part.astype("i4").tobytes(), "rims": rims, "parts": [{"part": name(k), "low": v} for k, v in low.items()]}]
+        return [_level_tile(tile_row, tile_col, z, there, fdr, kind, size)]
 
     return written(each_tile(cells.select("row", "col", "z", "fdr", "kind"), size, run, _LEVELS), "level-tiles")
 
 
+def _raster_levels(raster: Raster) -> DataFrame:
+    """As _level_tiles, of a raster (z, fdr), whose edges are seen with the strips of neighbours."""
+    types, size = raster.types(), raster.size
+
+    def run(t: dict) -> dict:
+        import numpy as np
+
+        wide, codes = padded(t, "z", types, size), padded(t, "fdr", types, size)
+        z, fdr = wide[1:-1, 1:-1], codes[1:-1, 1:-1]
+        low, high = np.zeros(z.shape, bool), np.zeros(z.shape, bool)
+        for k in range(len(STEPS)):
+            zn, code = shifted(wide, k), shifted(codes, k)
+            low |= (code == UNDEFINED) & (zn == z)
+            high |= (code != NODATA) & (zn > z)
+        kind = np.where((fdr < UNDEFINED) & low, _LOW, np.where((fdr == UNDEFINED) & high, _HIGH, 0)).astype("i1")
+        return _level_tile(t["tile_row"], t["tile_col"], z, ~np.isnan(z), fdr, kind, size)
+
+    return written(each(with_strips(raster, ("z", "fdr")), run, _LEVELS), "level-tiles")
+
+
 def _beyond(rims: DataFrame, size: int, codes=range(len(STEPS))) -> DataFrame:
     """rims with to_row, to_col: each of its neighbours in other tiles."""
     steps = F.explode(F.array(*(F.struct((F.col("row") + STEPS[k][0]).alias("row"), (F.col("col") + STEPS[k][1]).alias("col")) for k in codes)))
@@ -183,90 +218,119 @@ def spread(distance, label, passable, begin) -> None:
 
 
 def _stepper(size: int):
-    """Tiles' states from their parts and labels, or from states and what borders offer: distances spread within each tile."""
-    schema = arrow_schema(_STATE)
+    """Tiles' states from their parts and labels, or from states and what borders offer: distances spread within each tile.
 
-    def run(batches):
+    Nothing for a tile where no offer is less. changed: the border's cells with new distances.
+    """
+
+    def run(t: dict) -> dict | None:
         import numpy as np
-        import pyarrow as pa
 
-        for b in batches:
-            out = []
-            for t in b.to_pylist():
-                height, width, y, x = t["height"], t["width"], t["tile_row"] * size, t["tile_col"] * size
-                fdr = np.frombuffer(t["fdr"], "i1")
-                if "part" in t:
-                    label, kind = _label_array(t, size), np.frombuffer(t["kind"], "i1")
-                    distances = [((kind == k) & (label > 0)).astype("i4") for k in (_HIGH, _LOW)]
-                    begins = [np.flatnonzero(d) for d in distances]
-                else:
-                    label = np.frombuffer(t["label"], "i8")
-                    distances, begins = [np.frombuffer(t[c], "i4").copy() for c in ("away", "low")], [[], []]
-                    for g in t["given"] or ():
-                        k = (g["row"] - y) * width + g["col"] - x
-                        for d, new, begin in zip(distances, (g["away"], g["low"]), begins, strict=True):
-                            if new and (d[k] == 0 or d[k] > new):
-                                d[k] = new
-                                begin.append(k)
-                    begins = [np.array(begin, "i8") for begin in begins]
-                for d, begin in zip(distances, begins, strict=True):
-                    if len(begin):
-                        spread(d, label.reshape(height, width), (fdr == UNDEFINED).reshape(height, width), begin)
-                away, low = distances
-                border = [k for k in rim(height, width).tolist() if label[k]]
-                rims = [{"row": k // width + y, "col": k % width + x, "fdr": int(fdr[k]), "label": int(label[k]), "away": int(away[k]), "low": int(low[k])} for k in border]
-                names, first = np.unique(label, return_inverse=True)
-                top = np.zeros(len(names), "i4")
-                np.maximum.at(top, first, away)
-                tops = [{"label": int(n), "away": int(m)} for n, m in zip(names, top, strict=True) if n]
-                own = {c: t[c] for c in ("tile_row", "tile_col", "height", "width", "fdr")}
-                out.append(own | {"label": label.astype("i8").tobytes(), "away": away.tobytes(), "low": low.tobytes(), "rims": rims, "tops": tops})
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+        height, width, y, x = t["height"], t["width"], t["tile_row"] * size, t["tile_col"] * size
+        fdr, border = np.frombuffer(t["fdr"], "i1"), rim(height, width)
+        out = {"tile_row": t["tile_row"], "tile_col": t["tile_col"]}
+        if "part" in t:
+            label, kind = _label_array(t, size), np.frombuffer(t["kind"], "i1")
+            distances = [((kind == k) & (label > 0)).astype("i4") for k in (_HIGH, _LOW)]
+            begins, before = [np.flatnonzero(d) for d in distances], [0, 0]
+            out |= kept("fdr")(t) | {"label": label.astype("i8").tobytes()}
+        else:
+            label = np.frombuffer(t["label"], "i8")
+            distances, begins = [np.frombuffer(t[c], "i4").copy() for c in ("away", "low")], [[], []]
+            before = [d[border] for d in distances]
+            for g in t["given"]:
+                r, c = g["row"] - y, g["col"] - x
+                k = r * width + c
+                if r >= height or c >= width or label[k] != g["label"] or fdr[k] != UNDEFINED:
+                    continue
+                for d, new, begin in zip(distances, (g["away"], g["low"]), begins, strict=True):
+                    if new and (d[k] == 0 or d[k] > new):
+                        d[k] = new
+                        begin.append(k)
+            if not any(begins):
+                return None
+            begins = [np.array(begin, "i8") for begin in begins]
+        for d, begin in zip(distances, begins, strict=True):
+            if len(begin):
+                spread(d, label.reshape(height, width), (fdr == UNDEFINED).reshape(height, width), begin)
+        away, low = distances
+        new = border[(label[border] > 0) & ((away[border] != before[0]) | (low[border] != before[1]))].tolist()
+        changed = [{"row": k // width + y, "col": k % width + x, "label": int(label[k]), "away": int(away[k]), "low": int(low[k])} for k in new]
+        names, first = np.unique(label, return_inverse=True)
+        top = np.zeros(len(names), "i4")
+        np.maximum.at(top, first, away)
+        tops = [{"label": int(n), "away": int(m)} for n, m in zip(names, top, strict=True) if n]
+        return out | {"away": away.tobytes(), "low": low.tobytes(), "changed": changed, "tops": tops}
 
     return run
 
 
-def flat_mask(dem: DataFrame, fdr: DataFrame, tile: int = TILE) -> DataFrame:
-    """row, col, label, away, low, flat_mask of all cells; zeros outside of flats that drain.
+def _last(rounds: list[DataFrame]) -> DataFrame:
+    """tile_row, tile_col, new (away, low, tops): the last state of each tile of some rounds."""
+    every = reduce(DataFrame.unionByName, (r.select(*KEY, F.lit(k).alias("_round"), F.struct("away", "low", "tops").alias("_new")) for k, r in enumerate(rounds)))
+    return every.groupBy(*KEY).agg(F.max_by("_new", "_round").alias("new"))
 
-    away and low: 1 and the steps from the terrain above and from the outlets, through the
-    flat's cells; flat_mask: 2 low + (the flat's largest away - away). The tile's size changes nothing.
-    """
-    tiles = _level_tiles(_kinds(_cells(dem, fdr)), tile)
-    key = ["tile_row", "tile_col"]
-    state = written(tiles.drop("rims", "parts").join(_labels(tiles, tile), key, "left").mapInArrow(_stepper(tile), _STATE), "flats-0")
+
+def _newest(first: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    """first with away, low and tops as they are after the rounds."""
+    if not rounds:
+        return first
+    found = first.join(_last(rounds), KEY, "left")
+    return found.withColumns({c: F.coalesce(f"new.{c}", c) for c in ("away", "low", "tops")}).drop("new")
+
+
+def raster_flats(raster: Raster) -> Raster:
+    """The layers there, fdr, label, away, low and mask of a raster (z, fdr), as flat_mask of its cells."""
+    size = raster.size
+    tiles = _raster_levels(raster)
+    begin = each(tiles.drop("rims", "parts").join(_labels(tiles, size), KEY, "left"), _stepper(size), _STATE)
+    first = written(begin, "flats-0")
     discard(tiles)
-    for k in range(1, 1 + state.agg(F.sum(F.col("height") * F.col("width"))).first()[0] or 0):  # no path is longer
-        rims = state.select(F.inline("rims"))
-        more = lambda c: F.when(F.col(c) > 0, F.col(c) + 1)
-        offers = _beyond(rims.where("away > 0 or low > 0"), tile).select(F.col("to_row").alias("row"), F.col("to_col").alias("col"), F.col("label").alias("of"), more("away").alias("new_away"), more("low").alias("new_low"))
-        less = lambda c: F.coalesce(F.col(f"new_{c}") < F.when(F.col(c) > 0, F.col(c)).otherwise(2**31 - 1), F.lit(False))
-        taken = offers.join(rims.where(F.col("fdr") == UNDEFINED), ["row", "col"]).where((F.col("of") == F.col("label")) & (less("away") | less("low")))
-        taken = written(taken.groupBy("row", "col").agg(F.min("new_away").alias("away"), F.min("new_low").alias("low")), f"offers-{k}")
-        if not taken.take(1):
+    latest, rounds, k = first, [], 0
+    more = lambda c: F.when(F.col(c) > 0, F.col(c) + 1).alias(c)
+    while True:
+        k += 1
+        offers = _beyond(latest.select(F.inline("changed")), size).select(F.col("to_row").alias("row"), F.col("to_col").alias("col"), "label", more("away"), more("low"))
+        offered = first.select(*KEY, "height", "width", "fdr", "label", "away", "low", "tops").join(by_tile(offers, size, "label", "away", "low"), KEY)
+        latest = written(each(_newest(offered, rounds).drop("tops"), _stepper(size), _STEP), f"flats-{k}")
+        if not latest.take(1):
+            discard(latest)
             break
-        before, state = state, written(state.drop("rims", "tops").join(by_tile(taken, tile, "away", "low"), key, "left").mapInArrow(_stepper(tile), _STATE), f"flats-{k}")
-        discard(before, taken)
-    tops = state.select(*key, F.inline("tops"))
+        rounds.append(latest)
+        if len(rounds) > ROUNDS_APART:
+            whole = written(_last(rounds).select(*KEY, "new.*"), f"flats-to-{k}")
+            discard(*rounds[:-1])
+            rounds = [whole]
+    state = _newest(first, rounds)
+    tops = state.select(*KEY, F.inline("tops"))
     heights = tops.groupBy("label").agg(F.max("away").alias("height"))
-    given = tops.select(*key, "label").join(heights, "label").groupBy(*key).agg(F.collect_list(F.struct("label", "height")).alias("heights"))
+    given = tops.select(*KEY, "label").join(heights, "label").groupBy(*KEY).agg(F.collect_list(F.struct("label", "height")).alias("heights"))
 
-    def run(batches):
+    def run(t: dict) -> dict:
         import numpy as np
-        import pyarrow as pa
 
-        for b in batches:
-            for t in b.to_pylist():
-                there = np.flatnonzero(np.frombuffer(t["fdr"], "i1") != MISSING)
-                label, away, low = np.frombuffer(t["label"], "i8")[there], np.frombuffer(t["away"], "i4")[there], np.frombuffer(t["low"], "i4")[there]
-                known = sorted((h["label"], h["height"]) for h in t["heights"] or ())
-                names, tall = (np.array([0, *(h[i] for h in known)]) for i in (0, 1))
-                height = tall[np.searchsorted(names, label)]
-                mask = np.where(low > 0, 2 * low + np.where(away > 0, height - away, 0), -away)
-                columns = [there // t["width"] + t["tile_row"] * tile, there % t["width"] + t["tile_col"] * tile, label.astype("i4"), away, low, mask.astype("i4")]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "col", "label", "away", "low", "flat_mask"])
+        there = np.frombuffer(t["fdr"], "i1") != MISSING
+        label, away, low = np.frombuffer(t["label"], "i8"), np.frombuffer(t["away"], "i4"), np.frombuffer(t["low"], "i4")
+        known = sorted((h["label"], h["height"]) for h in t["heights"] or ())
+        names, tall = (np.array([0, *(h[i] for h in known)]) for i in (0, 1))
+        height = tall[np.searchsorted(names, label)]
+        mask = np.where(low > 0, 2 * low + np.where(away > 0, height - away, 0), -away).astype("i4")
+        return kept("fdr", "away", "low")(t) | {"there": there.tobytes(), "label": np.where(there, label, -1).tobytes(), "mask": mask.tobytes()}
+
+    layers = ("there", "fdr", "label", "away", "low", "mask")
+    table = each(state.drop("changed", "tops").join(given, KEY, "left"), run, ", ".join([FRAME, *(f"{c} binary" for c in layers)]))
+    return Raster(table, size, raster.z, layers)
 
-    return state.drop("rims", "tops", "height").join(given, key, "left").mapInArrow(run, "row long, col long, label int, away int, low int, flat_mask int")
+
+def flat_mask(dem: DataFrame, fdr: DataFrame, tile: int = TILE) -> DataFrame:
+    """row, col, label, away, low, flat_mask of all cells; zeros outside of flats that drain.
+
+    away and low: 1 and the steps from the terrain above and from the outlets, through the
+    flat's cells; flat_mask: 2 low + (the flat's largest away - away). The tile's size changes nothing.
+    """
+    raster = to_raster(_cells(dem, fdr), tile, ("z", "fdr"))
+    found = raster_flats(raster.with_table(written(raster.table, "raster")))
+    return to_cells(found, "label", "away", "low", "mask").withColumnRenamed("mask", "flat_mask")
 
 
 def flat_report(mask: DataFrame, fdr: DataFrame) -> DataFrame:
@@ -275,18 +339,37 @@ def flat_report(mask: DataFrame, fdr: DataFrame) -> DataFrame:
     return flat.agg(F.count(F.when(F.col("label") > 0, 1)).alias("drainable"), F.count(F.when(F.col("label") == 0, 1)).alias("undrainable"))
 
 
-def flat_flow_direction(mask: DataFrame, fdr: DataFrame, strict: bool = True) -> DataFrame:
+def flat_flow_direction(mask: DataFrame, fdr: DataFrame, strict: bool = True, tile: int = TILE) -> DataFrame:
     """row, col, fdr with the directions of flats' cells: to the neighbour of the same label with the steepest fall of the mask.
 
     strict: a cell without an outlet, or where no mask falls, keeps 8. Otherwise it takes
     the first neighbour with the least slope, upwards too, which may run in a cycle.
     """
-    near = neighbours(fdr.select("row", "col", "fdr").join(mask.select("row", "col", "label", "flat_mask"), ["row", "col"]), "label", "flat_mask")
+    cells = fdr.select("row", "col", "fdr").join(mask.select("row", "col", "label", F.col("flat_mask").alias("mask")), ["row", "col"])
+    raster = to_raster(cells, tile, ("fdr", "label", "mask"))
+    return to_cells(raster_drained(raster.with_table(written(raster.table, "raster")), strict), "fdr")
+
 
-    def fall(n: Column, k: int) -> Column:
-        drop = (F.col("flat_mask") - n["flat_mask"]).cast("double") / F.lit(DISTANCES[k])
-        counts = n.isNotNull() & (n["label"] == F.col("label"))
-        return F.when(counts & (drop > 0) & (F.col("label") > 0) if strict else counts, drop)
+def raster_drained(raster: Raster, strict: bool = True) -> Raster:
+    """raster (fdr, label, mask) with the directions of flat_flow_direction for its own."""
+    types, size = raster.types(), raster.size
+    own = kept(*(c for c in raster.layers if c != "fdr"))
+
+    def run(t: dict) -> dict:
+        import numpy as np
 
-    code = F.when(F.col("fdr") == UNDEFINED, F.coalesce(best_code(fall), F.lit(UNDEFINED))).otherwise(F.col("fdr"))
-    return near.select("row", "col", code.cast("short").alias("fdr"))
+        labels, masks = padded(t, "label", types, size), padded(t, "mask", types, size)
+        label, mask, fdr = labels[1:-1, 1:-1], masks[1:-1, 1:-1], layer(t, "fdr", types).copy()
+        best, code = np.full(label.shape, 0.0 if strict else -np.inf), np.full(label.shape, UNDEFINED, "i1")
+        for k, distance in enumerate(DISTANCES):
+            drop = (mask - shifted(masks, k)).astype("f8") / distance
+            steeper = (shifted(labels, k) == label) & (drop > best)
+            if strict:
+                steeper &= label > 0
+            best[steeper], code[steeper] = drop[steeper], k
+        flat = fdr == UNDEFINED
+        fdr[flat] = code[flat]
+        return own(t) | {"fdr": fdr.tobytes()}
+
+    schema = ", ".join([FRAME, *(f"{c} binary" for c in raster.layers if c != "fdr"), "fdr binary"])
+    return raster.with_table(each(with_strips(raster, ("label", "mask")), run, schema))

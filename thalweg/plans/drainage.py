@@ -1,4 +1,4 @@
-"""From elevations to accumulated flow."""
+"""From elevations to accumulated flow, tile by tile: cells are shuffled to their tiles once."""
 
 from __future__ import annotations
 
@@ -7,25 +7,51 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from thalweg.functions.d8 import DEFAULT_CHUNK_SIZE
-from thalweg.operators.accumulation import flow_accumulation
-from thalweg.operators.flats import flat_flow_direction, flat_mask
-from thalweg.operators.flow_direction import flow_direction
+from thalweg.operators.accumulation import raster_accumulation
+from thalweg.operators.flats import raster_drained, raster_flats
+from thalweg.operators.flow_direction import raster_directions
 from thalweg.operators.least_cost import breach_paths_least_cost
+from thalweg.operators.raster import KEY, Raster, to_cells, to_raster
+from thalweg.operators.tiles import TILE
 from thalweg.session import written
 
 
 @dataclass
 class Drainage:
-    dem: DataFrame
-    fdr: DataFrame
-    mask: DataFrame
-    fac: DataFrame
+    """elevations (z), flats (label, away, low, mask) and flow (fdr, fac) as tiles; there are the same in each."""
 
+    elevations: Raster
+    flats: Raster
+    flow: Raster
 
-def drainage(cells: DataFrame, nodata: float = -9999.0, radius: int | None = None, chunk_size: int = DEFAULT_CHUNK_SIZE) -> Drainage:
+    def cells(self) -> DataFrame:
+        """row, col, z, fdr, label, flat_mask, fac."""
+        table = self.elevations.table.select(*KEY, "z").join(self.flats.table.select(*KEY, "label", "mask"), KEY).join(self.flow.table, KEY)
+        return to_cells(self.elevations.with_table(table), "z", "fdr", "label", "mask", "fac").withColumnRenamed("mask", "flat_mask")
+
+    @property
+    def dem(self) -> DataFrame:
+        return to_cells(self.elevations, "z")
+
+    @property
+    def fdr(self) -> DataFrame:
+        return to_cells(self.flow, "fdr")
+
+    @property
+    def mask(self) -> DataFrame:
+        return to_cells(self.flats, "label", "away", "low", "mask").withColumnRenamed("mask", "flat_mask")
+
+    @property
+    def fac(self) -> DataFrame:
+        return to_cells(self.flow, "fac")
+
+
+def drainage(cells: DataFrame, nodata: float = -9999.0, radius: int | None = None, chunk_size: int = DEFAULT_CHUNK_SIZE, tile: int = TILE) -> Drainage:
     """Elevations (breached within radius, if given), directions (flats resolved), masks, accumulation."""
-    dem = written(breach_paths_least_cost(cells, nodata, radius, chunk_size) if radius else cells.select("row", "col", "z"), "dem")
-    first = written(flow_direction(dem), "fdr")
-    mask = written(flat_mask(dem, first), "mask")
-    fdr = written(flat_flow_direction(mask, first), "drained")
-    return Drainage(dem, fdr, mask, flow_accumulation(fdr))
+    dem = breach_paths_least_cost(cells, nodata, radius, chunk_size) if radius else cells.select("row", "col", "z")
+    kept = lambda raster, name: raster.with_table(written(raster.table, name))
+    elevations = kept(to_raster(dem, tile), "elevations")
+    first = kept(raster_directions(elevations), "directions")
+    flats = kept(raster_flats(first), "flats")
+    drained = kept(raster_drained(flats), "drained")
+    return Drainage(elevations, drained, kept(raster_accumulation(drained), "flow"))

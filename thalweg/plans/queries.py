@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from thalweg.functions.d8 import DEFAULT_SEARCH_RADIUS
 from thalweg.operators import accumulation, flats, grid, least_cost, pits
-from thalweg.operators.flow_direction import flow_direction, neighbour_slopes
+from thalweg.operators.flow_direction import flow_direction, neighbour_slopes, raster_directions
+from thalweg.operators.raster import to_cells, to_raster
 from thalweg.plans.drainage import drainage
 from thalweg.session import shared_dir, written
 from thalweg.sources import rasters
@@ -100,6 +101,14 @@ def _flat(spark, sf_dir):
     return cells, written(flow_direction(cells), "fdr")
 
 
+def tile_accumulation(spark, sf_dir):
+    return accumulation.tile_accumulation(_tilted(spark, sf_dir), CHUNK)
+
+
+def tile_links(spark, sf_dir):
+    return accumulation.tile_links(_tilted(spark, sf_dir), CHUNK)
+
+
 def flat_edges(spark, sf_dir):
     return flats.flat_edges(*_flat(spark, sf_dir))
 
@@ -122,8 +131,11 @@ def flat_mask(spark, sf_dir):
 
 
 def flat_flow_direction(spark, sf_dir):
-    cells, fdr = _flat(spark, sf_dir)
-    return flats.flat_flow_direction(flats.flat_mask(cells, fdr), fdr)
+    elevations = to_raster(dem(spark, sf_dir, COARSE))
+    first = elevations.with_table(written(elevations.table, "elevations"))
+    first = raster_directions(first)
+    found = flats.raster_flats(first.with_table(written(first.table, "directions")))
+    return to_cells(flats.raster_drained(found.with_table(written(found.table, "flats"))), "fdr")
 
 
 def single_cell_pits(spark, sf_dir):
@@ -139,14 +151,16 @@ def breach_paths_least_cost(spark, sf_dir):
 
 
 def drainage_pipeline(spark, sf_dir):
-    cells = written(dem(spark, sf_dir, COARSE, tilt=1), "dem")
-    made = drainage(cells)
-    return made.fdr.join(made.fac, ["row", "col"])
+    return drainage(dem(spark, sf_dir, COARSE, tilt=1)).cells().select("row", "col", "fdr", "fac")
+
+
+def drainage_tiles(spark, sf_dir):
+    """The whole chain over small tiles, which exchange strips of their borders."""
+    return drainage(dem(spark, sf_dir, COARSE, tilt=1, hide=HIDDEN), tile=CHUNK).cells().select("row", "col", "fdr", F.greatest("label", F.lit(0)).alias("label"), "flat_mask", "fac")
 
 
 def drainage_breached(spark, sf_dir):
-    made = drainage(written(dem(spark, sf_dir), "dem"), radius=DEFAULT_SEARCH_RADIUS)
-    return made.dem.join(made.fdr, ["row", "col"]).join(made.fac, ["row", "col"])
+    return drainage(dem(spark, sf_dir), radius=DEFAULT_SEARCH_RADIUS).cells().select("row", "col", "z", "fdr", "fac")
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -176,8 +190,8 @@ def ascii_roundtrip(spark, sf_dir):
 def queries() -> dict:
     found = (
         drainage_pipeline, dem_cells, window_read_oob, chunk_index, chunk_halo_counts, chunk_core_roundtrip, neighbor_slopes, flow_direction_, flow_direction_nodata,
-        downstream_edges, inflow_count, tile_perimeter, flow_accumulation, flow_links, flat_edges, flat_labels, flat_away, flat_lower, flat_mask, flat_flow_direction,
-        single_cell_pits, breach_single_cell_pits, breach_paths_least_cost, drainage_breached, parquet_roundtrip, ascii_roundtrip,
+        downstream_edges, inflow_count, tile_perimeter, flow_accumulation, flow_links, tile_accumulation, tile_links, flat_edges, flat_labels, flat_away, flat_lower, flat_mask, flat_flow_direction,
+        single_cell_pits, breach_single_cell_pits, breach_paths_least_cost, drainage_tiles, drainage_breached, parquet_roundtrip, ascii_roundtrip,
     )
     return {f.__name__.rstrip("_"): f for f in found}
 
@@ -250,6 +264,13 @@ def oracle_sql() -> dict[str, str]:
         "flow_accumulation": f"{tilted}, {_walk('fdr')} SELECT {rc}, coalesce(n, -9999) AS fac FROM fdr LEFT JOIN fac USING (r, c)",
         "flow_links": f"""{tilted}, paths(sr, sc, r, c) AS (SELECT r, c, r, c FROM fdr WHERE {border} UNION ALL SELECT sr, sc, f.nr, f.nc FROM paths p JOIN flow f ON f.r = p.r AND f.c = p.c AND f.nd < 8),
 ends AS (SELECT sr, sc, f.r, f.c, f.d < 8 AND f.nd IS NULL AS leaves FROM paths p JOIN flow f USING (r, c) WHERE coalesce(f.nd, 9) >= 8)
+SELECT sr AS "row", sc AS col, CASE WHEN leaves AND sr = r AND sc = c THEN -2 WHEN leaves THEN r ELSE -1 END AS link_row, CASE WHEN leaves AND sr = r AND sc = c THEN -2 WHEN leaves THEN c ELSE -1 END AS link_col FROM ends""",
+        "tile_accumulation": f"""{tilted}, inside AS MATERIALIZED (SELECT r, c, nr, nc FROM flow WHERE nd < 9 AND nr // {CHUNK} = r // {CHUNK} AND nc // {CHUNK} = c // {CHUNK}),
+walk(r, c) AS (SELECT r, c FROM fdr WHERE d <> 9 UNION ALL SELECT f.nr, f.nc FROM walk JOIN inside f USING (r, c))
+SELECT {rc}, coalesce(n, -9999) AS fac FROM fdr LEFT JOIN (SELECT r, c, count(*) AS n FROM walk GROUP BY r, c) USING (r, c)""",
+        "tile_links": f"""{tilted}, own AS MATERIALIZED (SELECT r, c, d, nr, nc, CASE WHEN nr // {CHUNK} = r // {CHUNK} AND nc // {CHUNK} = c // {CHUNK} THEN nd END AS nd FROM flow),
+paths(sr, sc, r, c) AS (SELECT r, c, r, c FROM fdr WHERE r % {CHUNK} IN (0, {CHUNK - 1}) OR c % {CHUNK} IN (0, {CHUNK - 1}) OR {border} UNION ALL SELECT sr, sc, f.nr, f.nc FROM paths p JOIN own f ON f.r = p.r AND f.c = p.c AND f.nd < 8),
+ends AS (SELECT sr, sc, f.r, f.c, f.d < 8 AND f.nd IS NULL AS leaves FROM paths p JOIN own f USING (r, c) WHERE coalesce(f.nd, 9) >= 8)
 SELECT sr AS "row", sc AS col, CASE WHEN leaves AND sr = r AND sc = c THEN -2 WHEN leaves THEN r ELSE -1 END AS link_row, CASE WHEN leaves AND sr = r AND sc = c THEN -2 WHEN leaves THEN c ELSE -1 END AS link_col FROM ends""",
         "flat_edges": f"{flat} SELECT {rc}, kind FROM kinds WHERE kind IS NOT NULL",
         "flat_labels": f"{flat} SELECT {rc}, CAST(label AS INTEGER) AS label FROM labels",
@@ -265,6 +286,7 @@ hits AS (SELECT p.r AS pr, p.c AS pc, p.r + near_r AS r, p.c + near_c AS c, k, (
 changed AS (SELECT r, c, arg_max(z, k) AS z FROM hits GROUP BY r, c)
 SELECT {rc}, coalesce(changed.z, cells.z) AS z, EXISTS (SELECT 1 FROM lower p WHERE p.r = cells.r AND p.c = cells.c) AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.pr = cells.r AND h.pc = cells.c) AS pit FROM cells LEFT JOIN changed USING (r, c)""",
         "drainage_pipeline": f"WITH RECURSIVE {_cells_sql(COARSE, tilt=1)}, {_FDR}, {_EDGES}, {_LABELS}, {_DISTANCES}, {_DRAINED}, {_walk('drained')} SELECT {rc}, CAST(d AS SMALLINT) AS fdr, coalesce(n, -9999) AS fac FROM drained LEFT JOIN fac USING (r, c)",
+        "drainage_tiles": f"WITH RECURSIVE {_cells_sql(COARSE, tilt=1, hide=HIDDEN)}, {_FDR}, {_EDGES}, {_LABELS}, {_DISTANCES}, {_DRAINED}, {_walk('drained')} SELECT {rc}, CAST(d AS SMALLINT) AS fdr, CAST(label AS INTEGER) AS label, CAST(mask AS INTEGER) AS flat_mask, coalesce(n, -9999) AS fac FROM drained LEFT JOIN fac USING (r, c) JOIN masks USING (r, c)",
         "parquet_roundtrip": f"{hidden} SELECT {rc}, z FROM cells",
         "ascii_roundtrip": f"{hidden} SELECT {rc}, z FROM cells",
     }
