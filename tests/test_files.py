@@ -9,7 +9,7 @@ import pytest
 
 from test_goldens import cells, matrix
 from thalweg import cli
-from thalweg.sources import rasters
+from thalweg.sources import geotiff, rasters
 
 DEM = [[2.0, 2.0, 2.0, 2.0, 2.0], [-1.0, 2.0, 2.0, 2.0, 2.0], [2.0, 2.0, 0.0, 2.0, 2.0], [2.0] * 5, [2.0, 2.0, 2.0, 2.0, None]]
 
@@ -25,11 +25,11 @@ def test_tiff_round_trip(dtype):
 def test_read_tiff(spark, tmp_path):
     z = np.array([[1, 2], [-9999, 4]], "f4")
     (tmp_path / "a.tif").write_bytes(rasters.encode_tiff(z, rasters.RasterMeta(2, 2)))
-    found, meta = rasters.read_tiff(spark, str(tmp_path / "a.tif"))
+    found, meta = geotiff.read_tiff(spark, str(tmp_path / "a.tif"))
     assert matrix(found, "z") == [[1.0, 2.0], [None, 4.0]] and meta.nodata == -9999.0
     (tmp_path / "b.tif").write_bytes(rasters.encode_tiff(z, rasters.RasterMeta(2, 2, nodata=None)))
     with pytest.raises(ValueError, match="nodata"):
-        rasters.read_tiff(spark, str(tmp_path / "b.tif"))
+        geotiff.read_tiff(spark, str(tmp_path / "b.tif"))
 
 
 @pytest.mark.parametrize("predictor", [2, 3])
@@ -120,13 +120,13 @@ def plain_tiff(z, order: str, big: bool, tiled: bool, bands: int, predictor: int
 
 def test_folders_of_tiffs_are_placed_by_georeference(spark, tmp_path):
     meta = rasters.RasterMeta(5, 5, "Float32", -9999.0, "EPSG:4326", [10.0, 0.5, 0.0, 50.0, 0.0, -0.25])
-    rasters.write_tiff(cells(spark, DEM), meta, str(tmp_path / "tiles.tif"), tile=3)
+    rasters.write_tiff_folder(cells(spark, DEM), meta, str(tmp_path / "tiles.tif"), tile=3)
     assert len(list((tmp_path / "tiles.tif").glob("*.tif"))) == 4
-    found, read = rasters.read_tiff(spark, str(tmp_path / "tiles.tif"))
+    found, read = geotiff.read_tiff(spark, str(tmp_path / "tiles.tif"))
     assert matrix(found, "z") == DEM and read == meta
     (tmp_path / "tiles.tif" / "z.tif").write_bytes(rasters.encode_tiff(np.zeros((1, 1)), rasters.RasterMeta(1, 1, "Float32", -9999.0, "EPSG:4326", [10.0, 0.7, 0.0, 50.0, 0.0, -0.25])))
     with pytest.raises(ValueError, match="differ"):
-        rasters.read_tiff(spark, str(tmp_path / "tiles.tif"))
+        geotiff.read_tiff(spark, str(tmp_path / "tiles.tif"))
 
 
 def test_commands_write_tiffs(spark, tmp_path):
@@ -136,7 +136,7 @@ def test_commands_write_tiffs(spark, tmp_path):
     assert cli.main(["flow-direction", "--input_file", str(source), "--output_file", str(target)], spark) == 0
     codes, meta = rasters.decode_tiff(target.read_bytes())
     assert meta.dtype == "Byte" and meta.nodata == 9.0 and codes[4, 4] == 9 and codes.shape == (5, 5)
-    found, _ = rasters.read_tiff(spark, str(target))
+    found, _ = geotiff.read_tiff(spark, str(target))
     assert found.where("z is null").count() == 1
 
 

@@ -1,62 +1,21 @@
 """Commands that read a raster, apply an operator, and write the result.
 
-    python -m thalweg.cli flow-direction --input_file dem --output_file fdr
+    python -m thalweg.cli flow-direction --input_file dem.tif --output_file fdr.tif
 
-A path ending in .asc is an ASCII grid, one in .tif or .tiff a GeoTIFF; any other path is
-a folder of Parquet cells with metadata. Results are the same by their paths.
+Paths are those of thalweg.files.
 """
 
 from __future__ import annotations
 
 import argparse
 import sys
-from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-from thalweg.functions.d8 import DEFAULT_CHUNK_SIZE, DEFAULT_MAX_PITS, DEFAULT_SEARCH_RADIUS, NODATA
-from thalweg.operators.flow_direction import flow_direction
-from thalweg.operators.least_cost import breach_paths_least_cost
-from thalweg.operators.pits import breach_single_cell_pits
-from thalweg.session import session
-from thalweg.sources import rasters
+from thalweg import files
+from thalweg.functions.d8 import DEFAULT_CHUNK_SIZE, DEFAULT_MAX_PITS, DEFAULT_SEARCH_RADIUS
 
-
-def read(spark: SparkSession, path: str) -> tuple[DataFrame, rasters.RasterMeta]:
-    if path.endswith(".asc"):
-        return rasters.read_ascii(spark, path)
-    if path.endswith((".tif", ".tiff")):
-        return rasters.read_tiff(spark, path)
-    return rasters.read_cells(spark, path)
-
-
-def write(cells: DataFrame, meta: rasters.RasterMeta, path: str, value: str = "z") -> None:
-    if path.endswith(".asc"):
-        rasters.write_ascii(cells, meta, path, value)
-    elif path.endswith((".tif", ".tiff")):
-        rasters.write_tiff(cells, meta, path, value)
-    else:
-        rasters.write_cells(cells, meta, path)
-
-
-def single_cell(spark: SparkSession, args) -> None:
-    cells, meta = read(spark, args.input_file)
-    found = breach_single_cell_pits(cells, meta.nodata, args.chunk_size)
-    write(found.select("row", "col", "z"), replace(meta, dtype="Float32"), args.output_file)
-
-
-def direction(spark: SparkSession, args) -> None:
-    cells, meta = read(spark, args.input_file)
-    write(flow_direction(cells), replace(meta, dtype="Byte", nodata=float(NODATA)), args.output_file, "fdr")
-
-
-def least_cost(spark: SparkSession, args) -> None:
-    cells, meta = read(spark, args.input_file)
-    found = breach_paths_least_cost(cells, meta.nodata, args.search_radius, args.chunk_size, args.max_pits)
-    write(found, replace(meta, dtype="Float32"), args.output_file)
-
-
-COMMANDS = {"breach-single-cell-pits": single_cell, "flow-direction": direction, "breach-paths-least-cost": least_cost}
+COMMANDS = {"breach-single-cell-pits": files.breach_single_cell_pits, "flow-direction": files.flow_direction, "breach-paths-least-cost": files.breach_paths_least_cost}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -74,11 +33,12 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    args = parser().parse_args(argv)
+    args = vars(parser().parse_args(argv))
+    command = args.pop("command")
     try:
-        COMMANDS[args.command](spark or session(), args)
+        COMMANDS[command](args.pop("input_file"), args.pop("output_file"), **args, spark=spark)
     except Exception as e:  # a command reports any failure and ends with a code
-        print(f"{args.command} failed with the following exception: {e}", file=sys.stderr)
+        print(f"{command} failed with the following exception: {e}", file=sys.stderr)
         return 1
     return 0
 

@@ -17,7 +17,7 @@ from thalweg.operators.flow_direction import flow_direction, neighbour_slopes, r
 from thalweg.operators.raster import to_cells, to_raster
 from thalweg.plans.drainage import drainage
 from thalweg.session import shared_dir, written
-from thalweg.sources import rasters
+from thalweg.sources import geotiff, rasters
 
 FINE, COARSE, TILT, HIDDEN = 1000, 20, 200, 0.35
 CHUNK = 48
@@ -187,11 +187,26 @@ def ascii_roundtrip(spark, sf_dir):
     return rasters.read_ascii(spark, path)[0].select("row", "col", F.col("z").cast("long").alias("z"))
 
 
+def _tiff(spark, sf_dir):
+    cells, meta = _filed(spark, sf_dir)
+    path = _folder(spark, "grid.tif")
+    geotiff.write_tiff(cells, meta, path, block=32)
+    return geotiff.read_tiff(spark, path)[0].select("row", "col", F.col("z").cast("long").alias("z"))
+
+
+def tiff_roundtrip(spark, sf_dir):
+    return _tiff(spark, sf_dir)
+
+
+def tiff_window(spark, sf_dir):
+    return grid.window(_tiff(spark, sf_dir), -5, 50, 40, 30)
+
+
 def queries() -> dict:
     found = (
         drainage_pipeline, dem_cells, window_read_oob, chunk_index, chunk_halo_counts, chunk_core_roundtrip, neighbor_slopes, flow_direction_, flow_direction_nodata,
         downstream_edges, inflow_count, tile_perimeter, flow_accumulation, flow_links, tile_accumulation, tile_links, flat_edges, flat_labels, flat_away, flat_lower, flat_mask, flat_flow_direction,
-        single_cell_pits, breach_single_cell_pits, breach_paths_least_cost, drainage_tiles, drainage_breached, parquet_roundtrip, ascii_roundtrip,
+        single_cell_pits, breach_single_cell_pits, breach_paths_least_cost, drainage_tiles, drainage_breached, parquet_roundtrip, ascii_roundtrip, tiff_roundtrip, tiff_window,
     )
     return {f.__name__.rstrip("_"): f for f in found}
 
@@ -289,4 +304,6 @@ SELECT {rc}, coalesce(changed.z, cells.z) AS z, EXISTS (SELECT 1 FROM lower p WH
         "drainage_tiles": f"WITH RECURSIVE {_cells_sql(COARSE, tilt=1, hide=HIDDEN)}, {_FDR}, {_EDGES}, {_LABELS}, {_DISTANCES}, {_DRAINED}, {_walk('drained')} SELECT {rc}, CAST(d AS SMALLINT) AS fdr, CAST(label AS INTEGER) AS label, CAST(mask AS INTEGER) AS flat_mask, coalesce(n, -9999) AS fac FROM drained LEFT JOIN fac USING (r, c) JOIN masks USING (r, c)",
         "parquet_roundtrip": f"{hidden} SELECT {rc}, z FROM cells",
         "ascii_roundtrip": f"{hidden} SELECT {rc}, z FROM cells",
+        "tiff_roundtrip": f"{hidden} SELECT {rc}, z FROM cells",
+        "tiff_window": f"{hidden} SELECT y AS \"row\", x AS col, z FROM (SELECT unnest(generate_series(-5, 34)) AS y), (SELECT unnest(generate_series(50, 79)) AS x) LEFT JOIN cells ON r = y AND c = x",
     }

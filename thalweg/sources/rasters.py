@@ -1,10 +1,9 @@
-"""Rasters in files: Parquet cells with metadata, ASCII grids, and plain GeoTIFF.
+"""Rasters in files: Parquet cells with metadata, ASCII grids, and what GeoTIFF files are made of.
 
-Cells are Parquet sorted by tile, so that windows skip row groups. ASCII grids and
-GeoTIFFs are read file by file, each in a task of its own (a raster of many tiles is a
-folder of files, placed by their georeference); of a GeoTIFF, classic or big, band 1 is
-read, in strips or tiles, plain, LZW or deflated, with or without a predictor; anything
-else raises.
+Cells are Parquet sorted by tile, so that windows skip row groups. The lines of an ASCII
+grid are dealt to tasks. Of a GeoTIFF (see geotiff.py), classic or big, band 1 is read,
+in strips or tiles, plain, PackBits, LZW, deflated or Zstandard, with or without a
+predictor; anything else raises. A raster may be written as a folder of small GeoTIFFs.
 """
 
 from __future__ import annotations
@@ -34,7 +33,6 @@ PIXEL_TYPES = {
 }
 META = "width long, height long, dtype string, nodata double, projection string, geotransform array<double>"
 TILE = 512
-_CELLS = "row long, col long, z double"
 
 
 @dataclass
@@ -51,7 +49,7 @@ def spark_type(pixel_type: str) -> str:
     return PIXEL_TYPES[pixel_type][1]
 
 
-def _needs_nodata(meta: RasterMeta) -> RasterMeta:
+def needs_nodata(meta: RasterMeta) -> RasterMeta:
     if meta.nodata is None:
         raise ValueError("the raster has no nodata value")
     return meta
@@ -70,7 +68,7 @@ def read_meta(spark: SparkSession, path: str) -> RasterMeta:
 
 def read_cells(spark: SparkSession, path: str, value: str = "z") -> tuple[DataFrame, RasterMeta]:
     """(cells with null for nodata, metadata)."""
-    meta = _needs_nodata(read_meta(spark, path))
+    meta = needs_nodata(read_meta(spark, path))
     cells = spark.read.parquet(f"{path}/cells")
     return normalise(cells, meta.nodata, value, cells.schema[value].dataType.simpleString()), meta
 
@@ -116,11 +114,11 @@ def write_ascii(cells: DataFrame, meta: RasterMeta, path: str, value: str = "z")
 
 
 # TIFF tags and types.
-_WIDTH, _HEIGHT, _BITS, _COMPRESSION, _PHOTOMETRIC, _OFFSETS, _SAMPLES, _ROWS, _COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
-_PLANAR, _PREDICTOR, _TILE_WIDTH, _TILE_HEIGHT, _TILE_OFFSETS, _TILE_COUNTS, _FORMAT = 284, 317, 322, 323, 324, 325, 339
+WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, STRIP_ROWS, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
+PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, FORMAT = 284, 317, 322, 323, 324, 325, 339
 _SCALE, _TIE, _MATRIX, _KEYS, _ASCII_PARAMS, _NODATA = 33550, 33922, 34264, 34735, 34737, 42113
 _TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q"}
-_NONE, _LZW, _DEFLATE, _OLD_DEFLATE = 1, 5, 8, 32946
+_NONE, _LZW, _DEFLATE, _OLD_DEFLATE, _PACKBITS, _ZSTANDARD = 1, 5, 8, 32946, 32773, 50000
 # Keys of the georeference (model, raster, geographic and projected system), and codes of models.
 _MODEL_KEY, _RASTER_KEY, _GEOGRAPHIC_KEY, _PROJECTED_KEY, _PROJECTED, _GEOGRAPHIC, _USER_DEFINED = 1024, 1025, 2048, 3072, 1, 2, 32767
 
@@ -154,7 +152,34 @@ def _unlzw(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def _unpredicted(block, predictor: int, order: str, kind: str):
+def _unpackbits(data: bytes) -> bytes:
+    """What runs of equal bytes and stretches of different ones stand for."""
+    out, at = [], 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out.append(data[at + 1 : at + 2 + n])
+            at += 2 + n
+        else:
+            out.append(data[at + 1 : at + 2] * (257 - n if n > 128 else 0))
+            at += 2 if n > 128 else 1
+    return b"".join(out)
+
+
+def _unzstandard(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+
+
+def unpacked(data: bytes, compression: int) -> bytes:
+    unpack = {_NONE: bytes, _LZW: _unlzw, _DEFLATE: zlib.decompress, _OLD_DEFLATE: zlib.decompress, _PACKBITS: _unpackbits, _ZSTANDARD: _unzstandard}.get(compression)
+    if unpack is None:
+        raise ValueError(f"compression {compression} is not supported")
+    return unpack(data)
+
+
+def unpredicted(block, predictor: int, order: str, kind: str):
     """Rows (rows, columns, samples) with the differences between columns summed up again."""
     import numpy as np
 
@@ -171,27 +196,46 @@ def _unpredicted(block, predictor: int, order: str, kind: str):
     return block
 
 
-def _tags(data: bytes) -> tuple[str, dict[int, tuple]]:
-    """(byte order, values by tag) of the first image of a classic or a big TIFF."""
-    order = {b"II": "<", b"MM": ">"}[data[:2]]
-    version = struct.unpack_from(order + "H", data, 2)[0]
+def directory(read) -> tuple[str, dict[int, tuple[str, int, int]]]:
+    """(byte order, tag -> (form, number of values, their place)) of the first image of a classic or a big TIFF; read(at, n) gives bytes."""
+    order = {b"II": "<", b"MM": ">"}.get(read(0, 2))
+    version = order and struct.unpack(order + "H", read(2, 2))[0]
     if version not in (42, 43):
         raise ValueError("not a TIFF")
     big = version == 43
-    at = struct.unpack_from(order + ("Q" if big else "I"), data, 8 if big else 4)[0]
-    count, word, entry, inline = ("Q", "Q", 20, 8) if big else ("H", "I", 12, 4)
-    begin, tags = at + struct.calcsize(order + count), {}
-    for k in range(struct.unpack_from(order + count, data, at)[0]):
-        here = begin + entry * k
-        tag, kind, n = struct.unpack_from(order + "HH" + word, data, here)
+    at = struct.unpack(order + ("Q" if big else "I"), read(8 if big else 4, 8 if big else 4))[0]
+    count, word, size, inline = ("Q", "Q", 20, 8) if big else ("H", "I", 12, 4)
+    begin = at + struct.calcsize(order + count)
+    n = struct.unpack(order + count, read(at, struct.calcsize(order + count)))[0]
+    entries, found = read(begin, size * n), {}
+    for k in range(n):
+        tag, kind, number = struct.unpack_from(order + "HH" + word, entries, size * k)
         form = _TYPES.get(kind)
-        if not form:
-            continue
-        packed = f"{order}{n}s" if form == "s" else f"{order}{n * len(form)}{form[0]}"
-        value = here + entry - inline
-        place = value if struct.calcsize(packed) <= inline else struct.unpack_from(order + word, data, value)[0]
-        tags[tag] = struct.unpack_from(packed, data, place)
-    return order, tags
+        if form:
+            value = size * (k + 1) - inline
+            place = begin + value if struct.calcsize(order + form) * number <= inline else struct.unpack_from(order + word, entries, value)[0]
+            found[tag] = (form, number, place)
+    return order, found
+
+
+def tag_values(read, order: str, entry: tuple[str, int, int]) -> tuple:
+    form, n, place = entry
+    packed = f"{order}{n}s" if form == "s" else f"{order}{n * len(form)}{form[0]}"
+    return struct.unpack(packed, read(place, struct.calcsize(packed)))
+
+
+def table_part(read, order: str, entry: tuple[str, int, int], first: int, last: int) -> tuple[int, ...]:
+    """Values first to last (excluded) of a tag, and no others."""
+    form, n, place = entry
+    size = struct.calcsize(order + form)
+    last = min(last, n)
+    return struct.unpack(f"{order}{last - first}{form}", read(place + size * first, size * (last - first)))
+
+
+def _tags(data: bytes) -> tuple[str, dict[int, tuple]]:
+    read = lambda at, n: data[at : at + n]
+    order, entries = directory(read)
+    return order, {tag: tag_values(read, order, e) for tag, e in entries.items()}
 
 
 def _projection(tags: dict[int, tuple]) -> str:
@@ -204,12 +248,11 @@ def _projection(tags: dict[int, tuple]) -> str:
     return tags[_ASCII_PARAMS][0].split(b"\0")[0].decode() if _ASCII_PARAMS in tags else ""
 
 
-def tiff_meta(data: bytes) -> RasterMeta:
-    order, tags = _tags(data)
+def meta_of(tags: dict[int, tuple]) -> RasterMeta:
     one = lambda tag, default=0: tags.get(tag, (default,))[0]
-    kind = {1: "u", 2: "i", 3: "f"}.get(one(_FORMAT, 1), "?") + str(one(_BITS, 8) // 8)
+    kind = {1: "u", 2: "i", 3: "f"}.get(one(FORMAT, 1), "?") + str(one(BITS, 8) // 8)
     names = {v[0]: k for k, v in PIXEL_TYPES.items() if not k.startswith("C")}
-    if kind not in names or len(set(tags.get(_BITS, (8,)))) > 1:
+    if kind not in names or len(set(tags.get(BITS, (8,)))) > 1:
         raise ValueError(f"pixels of type {kind} are not supported")
     nodata = float(tags[_NODATA][0].split(b"\0")[0]) if _NODATA in tags else None
     if _MATRIX in tags:
@@ -218,7 +261,7 @@ def tiff_meta(data: bytes) -> RasterMeta:
     else:
         scale, tie = tags.get(_SCALE, (1.0, 1.0, 0.0)), tags.get(_TIE, (0.0,) * 6)
         transform = [tie[3] - tie[0] * scale[0], scale[0], 0.0, tie[4] + tie[1] * scale[1], 0.0, -scale[1]]
-    return RasterMeta(one(_WIDTH), one(_HEIGHT), names[kind], nodata, _projection(tags), transform)
+    return RasterMeta(one(WIDTH), one(HEIGHT), names[kind], nodata, _projection(tags), transform)
 
 
 def decode_tiff(data: bytes):
@@ -226,17 +269,14 @@ def decode_tiff(data: bytes):
     import numpy as np
 
     order, tags = _tags(data)
-    meta = tiff_meta(data)
+    meta = meta_of(tags)
     one = lambda tag, default=0: tags.get(tag, (default,))[0]
     width, height, kind = meta.width, meta.height, PIXEL_TYPES[meta.dtype][0]
-    compression, apart = one(_COMPRESSION, _NONE), one(_PLANAR, 1) == 2
-    samples = 1 if apart else one(_SAMPLES, 1)
-    unpack = {_NONE: bytes, _LZW: _unlzw, _DEFLATE: zlib.decompress, _OLD_DEFLATE: zlib.decompress}.get(compression)
-    if unpack is None:
-        raise ValueError(f"compression {compression} is not supported")
-    tiled = _TILE_OFFSETS in tags
-    th, tw = (one(_TILE_HEIGHT), one(_TILE_WIDTH)) if tiled else (min(one(_ROWS, height), height), width)
-    offsets, counts = (tags[_TILE_OFFSETS], tags[_TILE_COUNTS]) if tiled else (tags[_OFFSETS], tags[_COUNTS])
+    compression, apart = one(COMPRESSION, _NONE), one(PLANAR, 1) == 2
+    samples = 1 if apart else one(SAMPLES, 1)
+    tiled = TILE_OFFSETS in tags
+    th, tw = (one(TILE_HEIGHT), one(TILE_WIDTH)) if tiled else (min(one(STRIP_ROWS, height), height), width)
+    offsets, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
     down, across = -(-height // th), -(-width // tw)
     out = np.zeros((down * th, across * tw), kind)
     if meta.nodata is not None:
@@ -244,29 +284,19 @@ def decode_tiff(data: bytes):
     for k, (o, n) in enumerate(zip(offsets[: down * across], counts[: down * across], strict=True)):
         if not n:
             continue  # a tile that the file leaves out
-        block = np.frombuffer(unpack(data[o : o + n]), order + kind)
+        block = np.frombuffer(unpacked(data[o : o + n], compression), order + kind)
         block = block[: len(block) // (tw * samples) * tw * samples].reshape(-1, tw, samples)[:th]
-        block = _unpredicted(block, one(_PREDICTOR, 1), order, kind)[:, :, 0]
+        block = unpredicted(block, one(PREDICTOR, 1), order, kind)[:, :, 0]
         r, c = divmod(k, across)
         out[r * th : r * th + len(block), c * tw : (c + 1) * tw] = block
     return out[:height, :width], meta
 
 
-def encode_tiff(array, meta: RasterMeta, rows_per_strip: int = 64) -> bytes:
-    """A classic little-endian TIFF of one band, in deflated strips."""
-    import numpy as np
-
-    kind = PIXEL_TYPES[meta.dtype][0]
-    array = np.ascontiguousarray(array, "<" + kind)
-    strips = [zlib.compress(array[r : r + rows_per_strip].tobytes()) for r in range(0, meta.height, rows_per_strip)]
-    offsets, at = [], 8
-    for s in strips:
-        offsets.append(at)
-        at += len(s)
-    t = meta.geotransform
+def image_tags(meta: RasterMeta) -> list[tuple[int, int, tuple]]:
+    """(tag, type, values) of a deflated image of one band, but for where it lies in the file."""
+    t, kind = meta.geotransform, PIXEL_TYPES[meta.dtype][0]
     tags: list[tuple[int, int, tuple]] = [
-        (_WIDTH, 4, (meta.width,)), (_HEIGHT, 4, (meta.height,)), (_BITS, 3, (8 * int(kind[1:]),)), (_COMPRESSION, 3, (_DEFLATE,)), (_PHOTOMETRIC, 3, (1,)),
-        (_OFFSETS, 4, tuple(offsets)), (_SAMPLES, 3, (1,)), (_ROWS, 4, (rows_per_strip,)), (_COUNTS, 4, tuple(map(len, strips))), (_FORMAT, 3, ({"u": 1, "i": 2, "f": 3}[kind[0]],)),
+        (WIDTH, 4, (meta.width,)), (HEIGHT, 4, (meta.height,)), (BITS, 3, (8 * int(kind[1:]),)), (COMPRESSION, 3, (_DEFLATE,)), (PHOTOMETRIC, 3, (1,)), (SAMPLES, 3, (1,)), (FORMAT, 3, ({"u": 1, "i": 2, "f": 3}[kind[0]],)),
     ]
     if t[2] or t[4]:
         tags.append((_MATRIX, 12, (t[1], t[2], 0.0, t[0], t[4], t[5], 0.0, t[3], 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0)))
@@ -281,12 +311,36 @@ def encode_tiff(array, meta: RasterMeta, rows_per_strip: int = 64) -> bytes:
         tags.append((_ASCII_PARAMS, 2, (meta.projection.encode() + b"\0",)))
     if meta.nodata is not None:
         tags.append((_NODATA, 2, (repr(meta.nodata).encode() + b"\0",)))
+    return tags
+
+
+def tag_bytes(form: int, values: tuple) -> bytes:
+    return values[0] if form == 2 else struct.pack("<" + _TYPES[form] * len(values), *values)
+
+
+def value_type(meta: RasterMeta) -> str:
+    """Spark's type of elevations."""
+    return "double" if meta.dtype == "Float64" else "float"
+
+
+def encode_tiff(array, meta: RasterMeta, rows_per_strip: int = 64) -> bytes:
+    """A classic little-endian TIFF of one band, in deflated strips."""
+    import numpy as np
+
+    kind = PIXEL_TYPES[meta.dtype][0]
+    array = np.ascontiguousarray(array, "<" + kind)
+    strips = [zlib.compress(array[r : r + rows_per_strip].tobytes()) for r in range(0, meta.height, rows_per_strip)]
+    offsets, at = [], 8
+    for s in strips:
+        offsets.append(at)
+        at += len(s)
+    tags = image_tags(meta) + [(STRIP_OFFSETS, 4, tuple(offsets)), (STRIP_ROWS, 4, (rows_per_strip,)), (STRIP_COUNTS, 4, tuple(map(len, strips)))]
     tags.sort()
     at += at % 2
     more, body = at + 2 + 12 * len(tags) + 4, b""
     entries = []
     for tag, form, values in tags:
-        packed = values[0] if form == 2 else struct.pack("<" + _TYPES[form] * len(values), *values)
+        packed = tag_bytes(form, values)
         n = len(packed) if form == 2 else len(values)
         if len(packed) <= 4:
             entries.append(struct.pack("<HHI", tag, form, n) + packed.ljust(4, b"\0"))
@@ -297,70 +351,19 @@ def encode_tiff(array, meta: RasterMeta, rows_per_strip: int = 64) -> bytes:
     return head.ljust(at, b"\0") + struct.pack("<H", len(entries)) + b"".join(entries) + b"\0" * 4 + body
 
 
-_HEAD = "width long, height long, dtype string, nodata double, projection string, left double, top double, dx double, dy double, turn double"
-
-
-def _mosaic(heads: DataFrame) -> RasterMeta:
-    """The raster that files of these heads make up; raises ValueError if they do not fit together."""
-    right, bottom = F.col("left") + F.col("width") * F.col("dx"), F.col("top") + F.col("height") * F.col("dy")
-    same = ("dtype", "projection", "dx", "dy", "nodata")
-    r = heads.agg(F.count("*").alias("n"), F.min("left").alias("left"), F.max("top").alias("top"), F.max(right).alias("right"), F.min(bottom).alias("bottom"), F.max("turn").alias("turn"), F.min(F.col("nodata").isNotNull()).alias("all"), *(f(c).alias(f"{k}_{c}") for c in same for k, f in (("least", F.min), ("most", F.max)))).first()
-    if not r["n"]:
-        raise ValueError("there are no files")
-    if r["n"] > 1 and (r["turn"] or any(r[f"least_{c}"] != r[f"most_{c}"] for c in same)):
-        raise ValueError("the files differ in type, nodata, projection or pixel size, or are turned")
-    width, height = round((r["right"] - r["left"]) / r["least_dx"]), round((r["bottom"] - r["top"]) / r["least_dy"])
-    return RasterMeta(width, height, r["least_dtype"], r["least_nodata"] if r["all"] else None, r["least_projection"], [r["left"], r["least_dx"], 0.0, r["top"], 0.0, r["least_dy"]])
-
-
-def read_tiff(spark: SparkSession, path: str) -> tuple[DataFrame, RasterMeta]:
-    """Cells and metadata of a GeoTIFF, or of a folder of them placed by their georeference; one task decodes a file."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-
-    def head(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            found = [tiff_meta(c.as_py()) for c in b.column(0)]
-            rows = [(m.width, m.height, m.dtype, m.nodata, m.projection, m.geotransform[0], m.geotransform[3], m.geotransform[1], m.geotransform[5], abs(m.geotransform[2]) + abs(m.geotransform[4])) for m in found]
-            names = [x.split()[0] for x in _HEAD.split(", ")]
-            kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[x.split()[1]]) for i, x in enumerate(_HEAD.split(", "))], names)
-
-    meta = _needs_nodata(_mosaic(files.mapInArrow(head, _HEAD)))
-    left, dx, top, dy = meta.geotransform[0], meta.geotransform[1], meta.geotransform[3], meta.geotransform[5]
-
-    def cells(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for b in batches:
-            for content in b.column(0):
-                z, own = decode_tiff(content.as_py())
-                row, col = round((own.geotransform[3] - top) / dy), round((own.geotransform[0] - left) / dx)
-                for r in range(0, len(z), 256):
-                    part = z[r : r + 256]
-                    rows, cols = np.divmod(np.arange(part.size), part.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(rows + r + row), pa.array(cols + col), pa.array(part.ravel().astype("f8"))], ["row", "col", "z"])
-
-    kind = "double" if meta.dtype == "Float64" else "float"
-    return normalise(files.mapInArrow(cells, _CELLS), meta.nodata, "z", kind), meta
-
-
-def write_tiff(cells: DataFrame, meta: RasterMeta, path: str, value: str = "z", tile: int = 4096) -> None:
-    """One GeoTIFF at path if the raster fits in a tile x tile file, else a folder there with a file for each tile.
+def write_tiff_folder(cells: DataFrame, meta: RasterMeta, path: str, value: str = "z", tile: int = 4096) -> None:
+    """A folder at path with a GeoTIFF for each tile, placed by its georeference.
 
-    Tasks encode their tiles and write them where the path says, a folder that all
-    machines see, each under another name first: a repeated task replaces its file.
+    Tasks encode their tiles and write them to the folder, each under another name first:
+    a repeated task replaces its file.
     """
-    single = meta.width <= tile and meta.height <= tile
 
     def save(batches):
         import pyarrow as pa
 
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                _save(path if single else f"{path.rstrip('/')}/{name}", content.as_py())
+                _save(f"{path.rstrip('/')}/{name}", content.as_py())
             yield pa.RecordBatch.from_arrays([b.column(0)], ["name"])
 
     tiff_tiles(cells, meta, value, tile).mapInArrow(save, "name string").count()
