@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.functions.d8 import DEFAULT_CHUNK_SIZE, DEFAULT_MAX_PITS, DEFAULT_SEARCH_RADIUS, DISTANCES, EPSILON_GRADIENT, STEPS
+from thalweg.functions.d8 import DEFAULT_MAX_PITS, DEFAULT_SEARCH_RADIUS, DISTANCES, EPSILON_GRADIENT, STEPS
 from thalweg.operators.grid import with_halo
 from thalweg.operators.pits import breach_single_cell_pits, to_array
 from thalweg.session import written
@@ -105,7 +105,7 @@ def breach_paths(cells: DataFrame, radius: int = DEFAULT_SEARCH_RADIUS, tile: in
     return tiled.join(live, ["tile_row", "tile_col"], "left_semi").groupBy("tile_row", "tile_col").applyInPandas(run, "row long, col long, new_z double")
 
 
-def breach_paths_least_cost(cells: DataFrame, nodata: float = -9999.0, radius: int = DEFAULT_SEARCH_RADIUS, chunk_size: int = DEFAULT_CHUNK_SIZE, max_pits: int = DEFAULT_MAX_PITS, tile: int = TILE, nodata_outlet: str = "parity", pits_first: bool = True) -> DataFrame:
+def breach_paths_least_cost(cells: DataFrame, nodata: float = -9999.0, radius: int = DEFAULT_SEARCH_RADIUS, chunk_size: int | None = None, max_pits: int = DEFAULT_MAX_PITS, tile: int = TILE, nodata_outlet: str = "parity", pits_first: bool = True) -> DataFrame:
     """row, col, z: cells after single-cell pits, then all pits left, are breached.
 
     pits_first=False breaches the pits of cells (row, col, z, pit) as they are given.

@@ -21,12 +21,11 @@ from thalweg.operators.tiles import MISSING, TILE, arrow_schema, each_tile, plac
 KEY = ["tile_row", "tile_col"]
 FRAME = "tile_row long, tile_col long, height int, width int"
 #: Types of layers in arrays; elevations are single or double.
-TYPES = {"there": "?", "fdr": "i1", "kind": "i1", "part": "i4", "label": "i8", "away": "i4", "low": "i4", "mask": "i4", "fac": "i8"}
+TYPES = {"there": "?", "fdr": "i1", "kind": "i1", "part": "i4", "label": "i8", "away": "i4", "low": "i4", "mask": "i4", "fac": "i8", "pit": "?"}
 #: What a layer holds where there is no cell.
 NOTHING = {"z": float("nan"), "there": False, "fdr": 9, "label": -1, "mask": 0}
 #: Spark's types of layers as columns of cells, and their names.
-COLUMNS = {"fdr": "short", "label": "int", "away": "int", "low": "int", "mask": "int", "fac": "long"}
-_STRIP = "y: bigint, x: bigint, height: int, width: int"
+COLUMNS = {"fdr": "short", "label": "int", "away": "int", "low": "int", "mask": "int", "fac": "long", "pit": "boolean"}
 
 
 @dataclass

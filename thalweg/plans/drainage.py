@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from thalweg.functions.d8 import DEFAULT_CHUNK_SIZE
 from thalweg.operators.accumulation import raster_accumulation
 from thalweg.operators.flats import raster_drained, raster_flats
 from thalweg.operators.flow_direction import raster_directions
@@ -46,7 +45,7 @@ class Drainage:
         return to_cells(self.flow, "fac")
 
 
-def drainage(cells: DataFrame, nodata: float = -9999.0, radius: int | None = None, chunk_size: int = DEFAULT_CHUNK_SIZE, tile: int = TILE) -> Drainage:
+def drainage(cells: DataFrame, nodata: float = -9999.0, radius: int | None = None, chunk_size: int | None = None, tile: int = TILE) -> Drainage:
     """Elevations (breached within radius, if given), directions (flats resolved), masks, accumulation."""
     dem = breach_paths_least_cost(cells, nodata, radius, chunk_size) if radius else cells.select("row", "col", "z")
     kept = lambda raster, name: raster.with_table(written(raster.table, name))
