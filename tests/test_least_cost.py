@@ -1,0 +1,114 @@
+"""Least-cost breaching against a plain search, with other tiles and batches."""
+
+from __future__ import annotations
+
+import heapq
+import math
+
+import numpy as np
+import pytest
+
+from test_raster_tiles import cells_of, rows_of, terrain
+from thalweg.functions.d8 import DISTANCES, STEPS
+from thalweg.operators import least_cost
+from thalweg.operators.least_cost import Window, breach_paths_least_cost, raster_paths
+from thalweg.operators.raster import to_raster
+from thalweg.plans.drainage import drainage
+
+
+class Reached:
+    def __init__(self, cost, place):
+        self.cost, self.place = cost, place
+
+    def __lt__(self, other):
+        return self.cost < other.cost
+
+
+def plain_path(z, pit, radius):
+    """A search by dictionaries of places; z has a frame of nodata."""
+    low, costs, before, heap = float(z[pit]), {pit: 0.0}, {}, [Reached(0.0, pit)]
+    while heap:
+        cell = heapq.heappop(heap)
+        here = float(z[cell.place])
+        if math.isnan(here) or here < low:
+            path = [cell.place]
+            while path[-1] in before:
+                path.append(before[path[-1]])
+            return path
+        if len(heap) >= (2 * radius + 1) ** 2:
+            return None
+        for (dr, dc), distance in zip(STEPS, DISTANCES, strict=True):
+            r, c = cell.place[0] + dr, cell.place[1] + dc
+            if abs(r - pit[0]) > radius or abs(c - pit[1]) > radius:
+                continue
+            rise = float(z[r, c])
+            cost = cell.cost if math.isnan(rise) else cell.cost + distance * (rise - low)
+            if cost < costs.get((r, c), math.inf):
+                costs[r, c], before[r, c] = float(np.float32(cost)), cell.place
+                heapq.heappush(heap, Reached(costs[r, c], (r, c)))
+    return None
+
+
+@pytest.mark.parametrize("radius", [1, 3, 9])
+def test_paths_equal_a_plain_search(radius):
+    """Few levels, so that many costs are equal: ties fall the same way."""
+    for seed, levels in ((1, 5), (2, 60), (3, 1000)):
+        z = np.pad(terrain(30, 30, seed, levels, 0.02), radius, constant_values=np.nan)
+        window, found = Window(z, radius), 0
+        for r, c in np.argwhere(~np.isnan(z)).tolist():
+            path = window.cheapest_path(r, c)
+            assert (path and [divmod(p, z.shape[1]) for p in path]) == plain_path(z, (r, c), radius)
+            found += bool(path)
+        assert found > 300
+
+
+def plain_breached(z, pits, radius):
+    wide, out = np.pad(z, radius, constant_values=np.nan), np.pad(z, radius, constant_values=np.nan)
+    for r, c in np.argwhere(pits).tolist():
+        path = plain_path(wide, (r + radius, c + radius), radius)
+        if not path:
+            continue
+        low, end, n = float(wide[path[-1]]), float(wide[path[0]]), len(path) - 1
+        for j in range(math.isnan(end), n):
+            new = np.float32(low - (n - j) * 1e-5 if math.isnan(end) else end + (low - end) * j / n)
+            out[path[j]] = min(out[path[j]], new)
+    return out[radius:-radius, radius:-radius]
+
+
+@pytest.mark.parametrize(("size", "radius", "batch"), [(8, 8, 3), (16, 5, 1), (512, 6, 1000)])
+def test_breaching_equals_a_plain_one(spark, monkeypatch, size, radius, batch):
+    monkeypatch.setattr(least_cost, "BATCH", batch)
+    z = terrain(37, 30, 6, 200, 0.01)
+    pits = (np.random.default_rng(1).random(z.shape) < 0.1) & ~np.isnan(z)
+    rows = [(r, c, None if np.isnan(z[r, c]) else float(z[r, c]), bool(pits[r, c])) for r in range(37) for c in range(30)]
+    cells = spark.createDataFrame(rows, "row long, col long, z float, pit boolean")
+    found = np.full(z.shape, np.nan, "f4")
+    for r, c, v in breach_paths_least_cost(cells, radius=radius, tile=size, pits_first=False).collect():
+        found[r, c] = np.nan if v is None else v
+    wanted = plain_breached(z, pits, radius)
+    assert np.array_equal(found, wanted, equal_nan=True) and not np.array_equal(found, z, equal_nan=True)
+
+
+def test_pits_are_dealt_to_batches(spark):
+    z = terrain(20, 20, 2, 50)
+    rows = [(r, c, None if np.isnan(z[r, c]) else float(z[r, c]), not np.isnan(z[r, c])) for r in range(20) for c in range(20)]
+    raster = to_raster(spark.createDataFrame(rows, "row long, col long, z float, pit boolean"), 16, ("z", "pit"))
+    whole = rows_of(raster_paths(raster, 4))
+    assert rows_of(raster_paths(raster, 4, batch=7)) == whole and len(whole) > 100
+
+
+def test_radius_beyond_a_tile(spark):
+    cells = cells_of(spark, terrain(30, 30, 4, 90))
+    assert rows_of(breach_paths_least_cost(cells, radius=20, tile=4)) == rows_of(breach_paths_least_cost(cells, radius=20))
+    chunks = rows_of(breach_paths_least_cost(cells, radius=20, chunk_size=6, tile=64))
+    assert len(chunks) == 900
+    for bad in (0, -1, 2.0, True):
+        with pytest.raises(ValueError, match="positive integer"):
+            breach_paths_least_cost(cells, radius=bad)
+
+
+def test_breached_terrain_drains(spark):
+    """Hardly a cell is left without a direction (paths that cross may leave some)."""
+    cells = cells_of(spark, terrain(40, 40, 5, 5000, 0))
+    undrained = [made.fdr.where("fdr = 8").count() for made in (drainage(cells), drainage(cells, radius=40, tile=16))]
+    assert undrained[0] > 100 and undrained[1] <= 8

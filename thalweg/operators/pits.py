@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,15 +44,6 @@ def single_cell_pits(cells: DataFrame) -> DataFrame:
     return neighbours(cells, "z").where(F.col("z").isNotNull() & higher).select("row", "col", "z")
 
 
-def to_array(rows: pd.DataFrame, y0: int, x0: int, height: int, width: int):
-    """An array of z (NaN: nodata) whose first cell is (y0, x0)."""
-    import numpy as np
-
-    z = np.full((height, width), np.nan, "f4")
-    z[rows["row"].to_numpy() - y0, rows["col"].to_numpy() - x0] = rows["z"].to_numpy(dtype="f4", na_value=np.nan)
-    return z
-
-
 def pits_of(z):
     """The places of the pits of z (NaN: nodata), row by row; none within two cells of the border."""
     import numpy as np
@@ -192,6 +182,11 @@ def breach_single_cell_pits(cells: DataFrame, nodata: float = -9999.0, chunk_siz
     as the number it is, so that borders may be cut deep; 'epsilon' lowers the cell before
     nodata a little below the pit. The tile's size changes nothing.
     """
+    return to_cells(breached_pits(cells, nodata, chunk_size, nodata_outlet, tile), "z", "pit")
+
+
+def breached_pits(cells: DataFrame, nodata: float, chunk_size: int | None, nodata_outlet: str, tile: int) -> Raster:
+    """As breach_single_cell_pits, a raster (there, z, pit)."""
     if nodata_outlet not in ("parity", "epsilon"):
         raise ValueError("nodata_outlet must be parity or epsilon")
     if chunk_size is not None and chunk_size < HALO or tile < HALO:
@@ -199,5 +194,4 @@ def breach_single_cell_pits(cells: DataFrame, nodata: float = -9999.0, chunk_siz
     # tiles fit into chunks; one that has no such part is a tile itself
     size = next((d for d in range(min(tile, chunk_size), HALO - 1, -1) if chunk_size % d == 0), chunk_size) if chunk_size else tile
     raster = to_raster(cells.select("row", "col", F.col("z").cast("float").alias("z")), size)
-    found = raster_pits(raster, nodata, EPSILON_GRADIENT if nodata_outlet == "epsilon" else None, chunk_size)
-    return to_cells(found, "z", "pit")
+    return raster_pits(raster, nodata, EPSILON_GRADIENT if nodata_outlet == "epsilon" else None, chunk_size)

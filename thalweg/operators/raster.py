@@ -23,7 +23,7 @@ FRAME = "tile_row long, tile_col long, height int, width int"
 #: Types of layers in arrays; elevations are single or double.
 TYPES = {"there": "?", "fdr": "i1", "kind": "i1", "part": "i4", "label": "i8", "away": "i4", "low": "i4", "mask": "i4", "fac": "i8", "pit": "?"}
 #: What a layer holds where there is no cell.
-NOTHING = {"z": float("nan"), "there": False, "fdr": 9, "label": -1, "mask": 0}
+NOTHING = {"z": float("nan"), "there": False, "fdr": 9, "label": -1, "mask": 0, "pit": False}
 #: Spark's types of layers as columns of cells, and their names.
 COLUMNS = {"fdr": "short", "label": "int", "away": "int", "low": "int", "mask": "int", "fac": "long", "pit": "boolean"}
 
@@ -38,6 +38,7 @@ class Raster:
     layers: tuple[str, ...] = ("there", "z")
 
     def with_table(self, table: DataFrame, *more: str) -> Raster:
+        """The same with another table, which has more layers."""
         return replace(self, table=table, layers=(*self.layers, *more))
 
     def types(self) -> dict[str, str]:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from thalweg.operators.accumulation import raster_accumulation
 from thalweg.operators.flats import raster_drained, raster_flats
 from thalweg.operators.flow_direction import raster_directions
-from thalweg.operators.least_cost import breach_paths_least_cost
+from thalweg.operators.least_cost import breached
 from thalweg.operators.raster import KEY, Raster, to_cells, to_raster
 from thalweg.operators.tiles import TILE
 from thalweg.session import written
@@ -47,9 +47,8 @@ class Drainage:
 
 def drainage(cells: DataFrame, nodata: float = -9999.0, radius: int | None = None, chunk_size: int | None = None, tile: int = TILE) -> Drainage:
     """Elevations (breached within radius, if given), directions (flats resolved), masks, accumulation."""
-    dem = breach_paths_least_cost(cells, nodata, radius, chunk_size) if radius else cells.select("row", "col", "z")
     kept = lambda raster, name: raster.with_table(written(raster.table, name))
-    elevations = kept(to_raster(dem, tile), "elevations")
+    elevations = kept(breached(cells, nodata, radius, chunk_size, tile) if radius else to_raster(cells.select("row", "col", "z"), tile), "elevations")
     first = kept(raster_directions(elevations), "directions")
     flats = kept(raster_flats(first), "flats")
     drained = kept(raster_drained(flats), "drained")

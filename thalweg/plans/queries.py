@@ -20,6 +20,10 @@ from thalweg.session import shared_dir, written
 from thalweg.sources import geotiff, rasters
 
 FINE, COARSE, TILT, HIDDEN = 1000, 20, 200, 0.35
+#: A scale at which hardly two paths cost the same.
+FINEST = 1_000_000
+#: The radius of searches that SQL follows step by step.
+NEAR = 12
 CHUNK = 48
 
 
@@ -146,10 +150,20 @@ def breach_single_cell_pits(spark, sf_dir):
     return pits.breach_single_cell_pits(lattice(spark, sf_dir)).withColumn("z", F.col("z").cast("double"))
 
 
+def breach_dense_pits(spark, sf_dir):
+    """Noise, in which most pits depend on what earlier ones changed."""
+    return pits.breach_single_cell_pits(dem(spark, sf_dir), tile=CHUNK).withColumn("z", F.col("z").cast("double"))
+
+
 def breach_paths_least_cost(spark, sf_dir):
     return least_cost.breach_paths_least_cost(dem(spark, sf_dir))
 
 
+def least_cost_paths(spark, sf_dir):
+    """Elevations so fine that no two paths cost the same: then the result doesn't depend on how a heap orders equals."""
+    return least_cost.breach_paths_least_cost(dem(spark, sf_dir, FINEST), radius=NEAR, tile=CHUNK).withColumn("z", F.col("z").cast("double"))
+
+
 def drainage_pipeline(spark, sf_dir):
     return drainage(dem(spark, sf_dir, COARSE, tilt=1)).cells().select("row", "col", "fdr", "fac")
 
@@ -206,7 +220,7 @@ def queries() -> dict:
     found = (
         drainage_pipeline, dem_cells, window_read_oob, chunk_index, chunk_halo_counts, chunk_core_roundtrip, neighbor_slopes, flow_direction_, flow_direction_nodata,
         downstream_edges, inflow_count, tile_perimeter, flow_accumulation, flow_links, tile_accumulation, tile_links, flat_edges, flat_labels, flat_away, flat_lower, flat_mask, flat_flow_direction,
-        single_cell_pits, breach_single_cell_pits, breach_paths_least_cost, drainage_tiles, drainage_breached, parquet_roundtrip, ascii_roundtrip, tiff_roundtrip, tiff_window,
+        single_cell_pits, breach_single_cell_pits, breach_dense_pits, breach_paths_least_cost, least_cost_paths, drainage_tiles, drainage_breached, parquet_roundtrip, ascii_roundtrip, tiff_roundtrip, tiff_window,
     )
     return {f.__name__.rstrip("_"): f for f in found}
 
@@ -256,6 +270,43 @@ walk(r, c, depth) AS (SELECT r, c, 0 FROM {table} WHERE d <> 9 UNION ALL SELECT
 fac AS (SELECT r, c, count(*) AS n FROM walk GROUP BY r, c)"""
 
 
+# Single-cell pits in one order. Pits within three steps of one another stand in different lines of 4 r + c, the later
+# ones in later lines; a row beside the cells' counts lines, others tell which pits are solved.
+_SINGLE = """lower AS MATERIALIZED (SELECT r, c, any_value(z) AS z FROM near GROUP BY r, c HAVING count(*) FILTER (nz > z) = 8),
+pits AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY 4 * r + c) AS line FROM lower),
+run(r, c, z, line) USING KEY (r, c) AS (
+  SELECT r, c, CAST(z AS FLOAT), 0::BIGINT FROM cells UNION ALL SELECT -9, -9, 0, 0
+  UNION
+  (WITH hits AS (
+    SELECT p.r AS pr, p.c AS pc, p.r + near_r AS r, p.c + near_c AS c, k, CAST(CASE WHEN f.z IS NULL THEN (p.z - 9999) / 2.0 ELSE CAST(p.z + f.z AS FLOAT) / 2.0 END AS FLOAT) AS z, p.line
+    FROM run t JOIN pits p ON t.r = -9 AND p.line = t.line + 1 CROSS JOIN ring LEFT JOIN recurring.run f ON f.r = p.r + far_r AND f.c = p.c + far_c WHERE f.z IS NULL OR f.z <= p.z)
+  SELECT r, c, arg_max(z, k), any_value(line) FROM hits GROUP BY r, c
+  UNION ALL SELECT DISTINCT -100 - pr, pc, 1.0, line FROM hits
+  UNION ALL SELECT -9, -9, 0, line + 1 FROM run WHERE r = -9 AND line < (SELECT max(line) FROM pits))),
+single AS MATERIALIZED (SELECT a.r, a.c, a.z, p.r IS NOT NULL AND s.r IS NULL AS pit FROM run a LEFT JOIN pits p ON p.r = a.r AND p.c = a.c LEFT JOIN run s ON s.r = -100 - a.r AND s.c = a.c WHERE a.r >= 0)"""
+
+# All pits search at once, and take a cell each in a step: the cheapest that they have reached. Row -9 of a pit stands for
+# one that goes on, row -8 for one that has an outlet, which is where it was reached from.
+_SEARCH = f"""searched(pr, pc, r, c, cost, fr, fc, done) USING KEY (pr, pc, r, c) AS (
+  SELECT r, c, r, c, 0::FLOAT, NULL::BIGINT, NULL::BIGINT, false FROM single WHERE pit UNION ALL SELECT r, c, -9, -9, 0, NULL, NULL, false FROM single WHERE pit
+  UNION
+  (WITH tops AS (SELECT s.pr, s.pc, arg_min({{'r': s.r, 'c': s.c, 'fr': s.fr, 'fc': s.fc}}, s.cost) AS t, min(s.cost) AS cost
+    FROM searched k JOIN recurring.searched s ON s.pr = k.pr AND s.pc = k.pc WHERE k.r = -9 AND NOT s.done AND s.r > -8 GROUP BY s.pr, s.pc),
+  here AS (SELECT tops.*, p.z AS low, h.z IS NULL OR h.z < p.z AS ends FROM tops JOIN single p ON p.r = pr AND p.c = pc LEFT JOIN single h ON h.r = t.r AND h.c = t.c),
+  next AS (SELECT h.*, t.r + dr AS r, t.c + dc AS c, CASE WHEN z.z IS NULL THEN CAST(cost AS DOUBLE) ELSE CAST(cost AS DOUBLE) + CASE WHEN dr <> 0 AND dc <> 0 THEN sqrt(2.0) ELSE 1.0 END * (CAST(z.z AS DOUBLE) - CAST(low AS DOUBLE)) END AS new
+    FROM here h CROSS JOIN steps LEFT JOIN single z ON z.r = t.r + dr AND z.c = t.c + dc WHERE NOT ends AND abs(t.r + dr - pr) <= {NEAR} AND abs(t.c + dc - pc) <= {NEAR})
+  SELECT pr, pc, t.r, t.c, cost, t.fr, t.fc, true FROM here
+  UNION ALL SELECT pr, pc, CASE WHEN ends THEN -8 ELSE -9 END, CASE WHEN ends THEN -8 ELSE -9 END, cost, t.r, t.c, ends FROM here
+  UNION ALL SELECT n.pr, n.pc, n.r, n.c, CAST(new AS FLOAT), n.t.r, n.t.c, false FROM next n LEFT JOIN recurring.searched e ON e.pr = n.pr AND e.pc = n.pc AND e.r = n.r AND e.c = n.c WHERE e.cost IS NULL OR new < CAST(e.cost AS DOUBLE))),
+reached AS MATERIALIZED (SELECT * FROM searched),
+paths(pr, pc, r, c, j) AS (
+  SELECT pr, pc, fr, fc, 0 FROM reached WHERE r = -8
+  UNION ALL SELECT p.pr, p.pc, s.fr, s.fc, j + 1 FROM paths p JOIN reached s ON s.pr = p.pr AND s.pc = p.pc AND s.r = p.r AND s.c = p.c WHERE s.fr IS NOT NULL),
+falls AS (SELECT p.*, max(j) OVER (PARTITION BY p.pr, p.pc) AS n, CAST(o.z AS DOUBLE) AS low, CAST(e.z AS DOUBLE) AS out
+  FROM paths p JOIN single o ON o.r = p.pr AND o.c = p.pc JOIN reached x ON x.pr = p.pr AND x.pc = p.pc AND x.r = -8 LEFT JOIN single e ON e.r = x.fr AND e.c = x.fc),
+lowered AS (SELECT r, c, CAST(min(CASE WHEN out IS NULL THEN low - (n - j) * 1e-5 ELSE out + (low - out) * j / n END) AS FLOAT) AS new_z FROM falls WHERE j < n AND (j > 0 OR out IS NOT NULL) GROUP BY r, c)"""
+
+
 def oracle_sql() -> dict[str, str]:
     rc = 'r AS "row", c AS col'
     fine, tilted = f"WITH RECURSIVE {_cells_sql()}", f"WITH RECURSIVE {_cells_sql(tilt=TILT)}, {_FDR}"
@@ -300,6 +351,10 @@ lower AS (SELECT a.r, a.c, a.z FROM cells a JOIN cells b ON b.r BETWEEN a.r - 1
 hits AS (SELECT p.r AS pr, p.c AS pc, p.r + near_r AS r, p.c + near_c AS c, k, (p.z + f.z) / 2 AS z FROM lower p CROSS JOIN ring JOIN cells f ON f.r = p.r + far_r AND f.c = p.c + far_c WHERE f.z <= p.z),
 changed AS (SELECT r, c, arg_max(z, k) AS z FROM hits GROUP BY r, c)
 SELECT {rc}, coalesce(changed.z, cells.z) AS z, EXISTS (SELECT 1 FROM lower p WHERE p.r = cells.r AND p.c = cells.c) AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.pr = cells.r AND h.pc = cells.c) AS pit FROM cells LEFT JOIN changed USING (r, c)""",
+        "breach_dense_pits": f"""{fine}, {ring}, {_SINGLE}
+SELECT {rc}, CAST(z AS DOUBLE) AS z, pit FROM single""",
+        "least_cost_paths": f"""WITH RECURSIVE {_cells_sql(FINEST)}, {ring}, {_SINGLE}, {_SEARCH}
+SELECT r AS "row", c AS col, CAST(least(z, coalesce(new_z, z)) AS DOUBLE) AS z FROM single LEFT JOIN lowered USING (r, c)""",
         "drainage_pipeline": f"WITH RECURSIVE {_cells_sql(COARSE, tilt=1)}, {_FDR}, {_EDGES}, {_LABELS}, {_DISTANCES}, {_DRAINED}, {_walk('drained')} SELECT {rc}, CAST(d AS SMALLINT) AS fdr, coalesce(n, -9999) AS fac FROM drained LEFT JOIN fac USING (r, c)",
         "drainage_tiles": f"WITH RECURSIVE {_cells_sql(COARSE, tilt=1, hide=HIDDEN)}, {_FDR}, {_EDGES}, {_LABELS}, {_DISTANCES}, {_DRAINED}, {_walk('drained')} SELECT {rc}, CAST(d AS SMALLINT) AS fdr, CAST(label AS INTEGER) AS label, CAST(mask AS INTEGER) AS flat_mask, coalesce(n, -9999) AS fac FROM drained LEFT JOIN fac USING (r, c) JOIN masks USING (r, c)",
         "parquet_roundtrip": f"{hidden} SELECT {rc}, z FROM cells",
