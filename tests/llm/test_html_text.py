@@ -113,3 +113,27 @@ def test_extract(spark):
     assert html_text.extract(pages).count() == 4
     assert found[1]["text"] == "\n\n".join(WANTED) and found[1]["n_chars"] == len(found[1]["text"]) and found[2]["text"] == "" and found[None]["text"] == "ok"
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("extra", "rest"),
+    [
+        ('<p class="advert">Buy now</p><p>A tail.</p>', ["A tail."]),
+        ('<p class="advert">Buy now<p>A tail.', ["A tail."]),
+        ('<p class="advert">Buy now<div>A tail.</div>', ["A tail."]),
+        ('<p style="display:none">secret</p>', []),
+        ('<ul><li>one<li class="comment">nice article thanks<li>two</ul>', ["one", "two"]),
+        ('<ul><li class="comment"><ul><li>inner</li></ul> rest</li><li>two</li></ul>', ["two"]),
+        ('<ol><li class="comment"><p>nice</p><p>thanks</p></li></ol><p>A tail.</p>', ["A tail."]),
+        ('<table><tr><td class="ad">x<td>cell<tr hidden><td>y<tr><td>z</table>', ["cell", "z"]),
+        ('<dl><dt class="sponsored">a<dd>b</dl>', ["b"]),
+        ('<h2 class="share">Share it</h2><p>A tail.</p>', ["A tail."]),
+        ('<section id="discussion"><h2>Discussion</h2><p>What it means.</p></section>', ["Discussion", "What it means."]),
+        ('<div class="alert">Mind the step.</div><div class="search">Where to look.</div>', ["Mind the step.", "Where to look."]),
+        ('<div class="search-form">Search here</div>', []),
+    ],
+)
+@pytest.mark.parametrize("around", ["article", "div"])
+def test_labels_hold_for_every_element(extra, rest, around):
+    page = f"<html><body><{around}><h1>Title</h1><p>{FIRST}</p><p>{SECOND}</p>{extra}</{around}></body></html>"
+    assert html_text.main_text(page).split("\n\n") == WANTED[:3] + rest

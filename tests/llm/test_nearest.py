@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-
+from pyspark.sql import functions as F
 
 from thalweg.llm import nearest
 
@@ -85,3 +85,13 @@ def test_parallel_errors_weigh_more():
 
 def test_empty(spark):
     assert nearest.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), QUERY).count() == 0
+
+
+@pytest.mark.parametrize("vec_id", range(6))
+def test_one_id_repeated_beyond_the_sample(spark, vec_id):
+    rows = [(vec_id, [1.0, 2.0, 3.0])] * 10
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = nearest.search(vectors, F.lit(True), sample=2).collect()
+    assert found == []  # every other row has the query's own id
+    other = spark.createDataFrame([*rows, (100, [1.0, 0.0, 0.0])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in nearest.search(other, F.col("vec_id") == 100, sample=2).collect()] == [(100, k, vec_id, 1.0) for k in range(1, 11)]

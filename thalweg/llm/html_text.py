@@ -45,20 +45,22 @@ LABELS = (
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner billboard "
     "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc header masthead topbar footer contentinfo colophon copyright "
     "sidebar aside complementary widget widgets rail related recommended recommendations trending "
-    "cookie cookies consent gdpr notice notices notification alert disclaimer popup modal overlay dialog newsletter subscribe subscription signup login paywall "
-    "comment comments commentlist respond reply replies disqus discussion share sharing social follow search form hidden"
+    "cookie cookies consent gdpr notice notices notification disclaimer popup modal overlay dialog newsletter subscribe subscription signup login paywall "
+    "comment comments commentlist respond reply replies disqus share sharing social form hidden"
 ).split()
 
 #: Words beside those in a label that do not change what it names.
 PLAIN = (
     "container wrapper wrap box block section area region list item items inner outer top bottom left right center main primary secondary site page global "
-    "content body post posts entry article articles link links slot unit row col column panel module bar text title heading icon button buttons first last fixed sticky mobile desktop js the"
+    "content body post posts entry article articles link links slot unit row col column panel module bar text title heading icon button buttons first last fixed sticky mobile desktop js the alert discussion follow search"
 ).split()
 
 _CLOSING = re.compile(r"^\W*(?:©|\(c\)\s|copyright\b)|\ball rights reserved\b", re.I)
 _BORDERS = frozenset(("body", "section", "div", "table", "ul", "ol", "dl", "figure", "blockquote"))
 #: Elements whose end may be left out.
 _SHUT = frozenset(("p", "li", "dt", "dd", "tr", "td", "th", "option", "hr", "h1", "h2", "h3", "h4", "h5", "h6"))
+#: Which of them end where others begin (a paragraph ends at any block).
+_ENDED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th", "tr"), "th": ("td", "th", "tr"), "tr": ("tr",), "option": ("option",)}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _LABEL = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
@@ -105,6 +107,7 @@ def lines_of(page: str) -> tuple[list[Line], set[int]]:
     stack: list[tuple[str, int]] = []  # open elements, with their number if they are no article
     labels: set[int] = set()
     at, link, article, heading, headed, number = 0, 0, 0, 0, 0, 0
+    hung = 0  # labelled elements whose end may be left out
     outside: tuple[int, ...] = ()
 
     def end(gap: int = 0) -> None:
@@ -144,6 +147,10 @@ def lines_of(page: str) -> tuple[list[Line], set[int]]:
         whole, border = name in ("article", "main"), name in _BORDERS
         if name in _BLOCKS or name in _CONTAINERS or name in _NOT:
             end(GAP if whole or border and not article else 0)
+            while hung and not closing and stack and (stack[-1][0] == "p" or name in _ENDED_BY.get(stack[-1][0], ())):
+                gone = stack.pop()[1]  # ended by what begins here
+                if gone:
+                    outside, hung = tuple(n for n in outside if n != gone), hung - 1
         if name[0] == "h" and name[1:].isdigit():
             heading = headed = 0 if closing else int(name[1:])
         if closing:
@@ -154,16 +161,18 @@ def lines_of(page: str) -> tuple[list[Line], set[int]]:
                         end(0 if article else GAP)
                         outside = tuple(n for n in outside if n not in gone)
                     article -= sum(x in ("article", "main") for x, _ in stack[k:])
+                    hung -= sum(n > 0 and x in _SHUT for x, n in stack[k:])
                     del stack[k:]
                     break
             continue
-        if name in _SHUT:
-            continue  # needs no end, and nothing hangs on it
         mine = 0
-        labelled = name not in ("html", "body", "main") and labelled_out(attributes)
+        labelled = name not in ("html", "body", "main", "hr") and labelled_out(attributes)
+        if name in _SHUT and not labelled and (not hung or name == "hr"):
+            continue  # needs no end, and nothing hangs on it
+        hung += labelled and name in _SHUT
         if whole and not labelled and outside and not outside[-1] in labels and stack and not article:
             # what was left open ends where an article begins
-            stack, outside = [(x, 0) for x, n in stack if not n], ()
+            stack, outside, hung = [(x, 0) for x, n in stack if not n], (), 0
         if name in _NOT and not (name == "header" and article) or labelled:
             end(0 if article else GAP)
             number += 1

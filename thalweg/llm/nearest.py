@@ -6,7 +6,7 @@ vector weighs more than the rest, since it is what moves large inner products. A
 scans the codes with a table of partial products of each query, times the vectors' norms, and ranks the best
 exactly, in double precision, on the original vectors. Codes are those of the vectors' directions.
 
-Centres are fitted on SAMPLE vectors at most (chosen by a hash of their ids); every
+Centres are fitted on SAMPLE vectors at most (chosen by a hash of id and vector); every
 vector is indexed. Queries pass in blocks of QUERY_BLOCK, each of them one broadcast
 of bounded size, one at a time; each task keeps the nearest of its own vectors for each query. Equal
 vectors of a slice are scanned once and expanded by ascending id, so copies push
@@ -197,8 +197,10 @@ def index(vectors: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, object,
     n = live.count()
     if not n:
         return None
-    share = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(min(1.0, 0.9 * sample / n) * (1 << 30))
-    rows = live.where(share).select("embedding").collect() if n > sample else live.select("embedding").collect()
+    share = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(1 << 30)) < int(min(1.0, 0.9 * sample / n) * (1 << 30))
+    drawn = live.where(share) if n > sample else live
+    # equal rows are drawn together: any will do where the draw has none, and no more than the sample where it has many
+    rows = drawn.select("embedding").limit(sample).collect() or live.select("embedding").limit(sample).collect()
     sizes = [len(r[0]) for r in rows]
     dimensions = max(sorted(set(sizes)), key=sizes.count)
     centres, extra = fit(unit(np.array([r[0] for r in rows if len(r[0]) == dimensions], "f8")))
