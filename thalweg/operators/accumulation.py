@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from thalweg.functions.d8 import ACCUMULATION_NODATA, EXTERNAL, NODATA, TERMINATES, step
 from thalweg.operators.raster import FRAME, KEY, Raster, each, kept, layer
-from thalweg.operators.tiles import MISSING, TILE, by_tile, each_tile, path_sums, place, pointers, rim
+from thalweg.operators.tiles import MISSING, TILE, arrow_schema, by_tile, each_tile, loops, path_sums, place, pointers, rim
 from thalweg.session import discard, written
 
 
@@ -58,11 +58,11 @@ def _doubled(start: DataFrame, sums: bool) -> DataFrame:
             new = new.join(gifts, "node", "left").select("node", "root", "done", (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
         before, state = state, written(new, f"pointers-{k}")
         discard(before)
-    raise ValueError("flow directions run in a cycle")
+    raise ValueError(f"flow directions run in a cycle through {tuple(state.where('not done').first()['root'])}; flow_cycles finds all")
 
 
 _CELL = "row: bigint, col: bigint"
-_TILES = f"tile_row long, tile_col long, height int, width int, codes binary, cycle boolean, exits array<struct<{_CELL}, to_row: bigint, to_col: bigint, n: bigint>>, rims array<struct<{_CELL}, fdr: smallint, exit_row: bigint, exit_col: bigint>>"
+_TILES = f"tile_row long, tile_col long, height int, width int, codes binary, exits array<struct<{_CELL}, to_row: bigint, to_col: bigint, n: bigint>>, rims array<struct<{_CELL}, fdr: smallint, exit_row: bigint, exit_col: bigint>>, loops array<struct<{_CELL}, name_row: bigint, name_col: bigint>>"
 
 
 def _tiles(fdr: DataFrame, size: int) -> DataFrame:
@@ -76,31 +76,36 @@ def _tiles(fdr: DataFrame, size: int) -> DataFrame:
         codes[rows, cols] = table.column("fdr").to_numpy()
         return [_tile(tile_row, tile_col, codes, size)]
 
-    return _acyclic(each_tile(fdr.select("row", "col", "fdr"), size, run, _TILES))
+    return each_tile(fdr.select("row", "col", "fdr"), size, run, _TILES)
 
 
 def _tile(tile_row: int, tile_col: int, codes, size: int) -> dict:
     import numpy as np
 
     height, width = codes.shape
+    y, x = tile_row * size, tile_col * size
     to, out, to_row, to_col = pointers(codes)
-    found = path_sums(to, np.ones(to.size, "i8"))
-    made = {"tile_row": tile_row, "tile_col": tile_col, "height": height, "width": width, "codes": codes.tobytes(), "cycle": found is None, "exits": [], "rims": []}
-    if found is not None:
-        root, n = found
-        y, x = tile_row * size, tile_col * size
-        exits, border = np.flatnonzero(out), rim(height, width)
-        border = border[codes.ravel()[border] != MISSING]
-        made["exits"] = [dict(row=int(k // width + y), col=int(k % width + x), to_row=int(to_row[k] + y), to_col=int(to_col[k] + x), n=int(n[k])) for k in exits]
-        leaves = out[root[border]]
-        made["rims"] = [dict(row=int(k // width + y), col=int(k % width + x), fdr=int(codes.ravel()[k]), exit_row=int(e // width + y) if has else None, exit_col=int(e % width + x) if has else None) for k, e, has in zip(border, root[border], leaves, strict=True)]
-    return made
+    found, circles = path_sums(to, np.ones(to.size, "i8")), []
+    if found is None:
+        on, least = loops(to)
+        circles = [dict(row=int(k // width + y), col=int(k % width + x), name_row=int(n // width + y), name_col=int(n % width + x)) for k, n in zip(on, least, strict=True)]
+        to[on] = on  # paths end where they meet a cycle
+        found = path_sums(to, np.ones(to.size, "i8"))
+    root, n = found
+    exits, border = np.flatnonzero(out), rim(height, width)
+    border = border[codes.ravel()[border] != MISSING]
+    leaves = out[root[border]]
+    return {
+        "tile_row": tile_row, "tile_col": tile_col, "height": height, "width": width, "codes": codes.tobytes(), "loops": circles,
+        "exits": [dict(row=int(k // width + y), col=int(k % width + x), to_row=int(to_row[k] + y), to_col=int(to_col[k] + x), n=int(n[k])) for k in exits],
+        "rims": [dict(row=int(k // width + y), col=int(k % width + x), fdr=int(codes.ravel()[k]), exit_row=int(e // width + y) if has else None, exit_col=int(e % width + x) if has else None) for k, e, has in zip(border, root[border], leaves, strict=True)],
+    }
 
 
 def _acyclic(tiles: DataFrame) -> DataFrame:
     tiles = written(tiles, "tiles")
-    if tiles.where("cycle").take(1):
-        raise ValueError("flow directions run in a cycle")
+    for r in tiles.where("size(loops) > 0").select(F.col("loops")[0].alias("at")).take(1):
+        raise ValueError(f"flow directions run in a cycle at row {r['at']['row']}, column {r['at']['col']}; flow_cycles finds all")
     return tiles
 
 
@@ -119,7 +124,7 @@ def flow_accumulation(fdr: DataFrame, tile: int = TILE) -> DataFrame:
 
     Raises ValueError for directions that run in a cycle. The tile's size changes nothing.
     """
-    tiles = _tiles(fdr, tile)
+    tiles = _acyclic(_tiles(fdr, tile))
     return _summed(tiles.join(_inflows(tiles, tile), ["tile_row", "tile_col"], "left"), tile)
 
 
@@ -161,7 +166,7 @@ def _sums(t: dict, codes, size: int):
 def tile_accumulation(fdr: DataFrame, tile: int = TILE) -> DataFrame:
     """As flow_accumulation, of each tile by itself."""
     nothing = F.lit(None).cast("array<struct<row: bigint, col: bigint, n: bigint>>")
-    return _summed(_tiles(fdr, tile).withColumn("given", nothing), tile)
+    return _summed(_acyclic(_tiles(fdr, tile)).withColumn("given", nothing), tile)
 
 
 def _summed(tiles: DataFrame, size: int) -> DataFrame:
@@ -180,7 +185,7 @@ def _summed(tiles: DataFrame, size: int) -> DataFrame:
 
 def tile_links(fdr: DataFrame, tile: int = TILE) -> DataFrame:
     """row, col, link_row, link_col of the cells on the border of each tile, as flow_links of the tile by itself."""
-    rims = _tiles(fdr, tile).select(F.inline("rims"))
+    rims = _acyclic(_tiles(fdr, tile)).select(F.inline("rims"))
     itself = (F.col("exit_row") == F.col("row")) & (F.col("exit_col") == F.col("col"))
     link = lambda axis, name: F.when(itself, F.lit(EXTERNAL[axis])).otherwise(F.coalesce(f"exit_{name}", F.lit(TERMINATES[axis]))).cast("long")
     return rims.select("row", "col", link(0, "row").alias("link_row"), link(1, "col").alias("link_col"))
@@ -192,7 +197,7 @@ def flow_links(fdr: DataFrame, height: int, width: int, tile: int = TILE) -> Dat
     (-2, -2): the cell itself drains out; (-1, -1): its path ends inside; else the cell
     where its path leaves.
     """
-    tiles = _tiles(fdr, tile)
+    tiles = _acyclic(_tiles(fdr, tile))
     graph = written(_graph(tiles), "exits")
     ends = graph.select(F.col("node").alias("root"), F.col("leaves").alias("root_leaves"))
     roots = _doubled(graph, sums=False).join(ends, "root").join(graph.select("node", "leaves"), "node")
@@ -204,3 +209,50 @@ def flow_links(fdr: DataFrame, height: int, width: int, tile: int = TILE) -> Dat
         return F.when(itself, F.lit(EXTERNAL[axis])).when(F.col("root_leaves"), F.col(f"root.{name}")).otherwise(F.lit(TERMINATES[axis])).cast("long")
 
     return found.select("row", "col", link(0, "row").alias("link_row"), link(1, "col").alias("link_col"))
+
+
+def flow_cycles(fdr: DataFrame, tile: int = TILE) -> DataFrame:
+    """row, col, cycle_row, cycle_col, length: the cells whose paths lead back to them, with the least cell of their cycle and its number of cells.
+
+    Tiles find their own cycles. In the graph of cells where paths leave tiles, what is
+    still on its way after as many steps as there are nodes has run into a cycle, and
+    stands on one; within the tiles that it crosses, its cells lie between entry and exit.
+    """
+    tiles = written(_tiles(fdr, tile), "tiles")
+    inside = tiles.select(F.inline("loops")).select("row", "col", F.struct(F.col("name_row").alias("row"), F.col("name_col").alias("col")).alias("name"))
+    graph = written(_graph(tiles), "exits")
+    state = written(graph.where("next is not null").select("node", F.col("next").alias("root"), F.col("node").alias("least")), "circles")
+    for k in range(state.count().bit_length() + 1):
+        ahead = state.select(F.col("node").alias("root"), F.col("root").alias("_root"), F.col("least").alias("_least"))
+        # nodes whose paths end have none ahead
+        before, state = state, written(state.join(ahead, "root").select("node", F.col("_root").alias("root"), F.least("least", "_least").alias("least")), f"circles-{k}")
+        discard(before)
+    ring = state.join(state.select(F.col("root").alias("node")).distinct(), "node").select("node", "least")
+    entries = graph.join(ring, "node").select(F.col("to_row").alias("row"), F.col("to_col").alias("col"), F.col("least.row").alias("name_row"), F.col("least.col").alias("name_col"))
+    cell = arrow_schema(_CROSSED)
+
+    def cross(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for t in b.to_pylist():
+                codes = np.frombuffer(t["codes"], "i1").reshape(t["height"], t["width"])
+                to, y, x = pointers(codes)[0], t["tile_row"] * tile, t["tile_col"] * tile
+                found = []
+                for g in t["given"]:
+                    at = (g["row"] - y) * t["width"] + g["col"] - x
+                    while True:
+                        found.append({"row": int(at // t["width"] + y), "col": int(at % t["width"] + x), "name_row": g["name_row"], "name_col": g["name_col"]})
+                        if to[at] == at:
+                            break
+                        at = to[at]
+                yield pa.RecordBatch.from_pylist(found, schema=cell)
+
+    crossed = tiles.select(*KEY, "height", "width", "codes").join(by_tile(entries, tile, "name_row", "name_col"), KEY).mapInArrow(cross, _CROSSED)
+    every = written(inside.unionByName(crossed.select("row", "col", F.struct(F.col("name_row").alias("row"), F.col("name_col").alias("col")).alias("name"))), "cycles")
+    named = every.groupBy("name").agg(F.min(F.struct("row", "col")).alias("cycle"), F.count("*").alias("length"))
+    return every.join(named, "name").select("row", "col", F.col("cycle.row").alias("cycle_row"), F.col("cycle.col").alias("cycle_col"), "length")
+
+
+_CROSSED = "row long, col long, name_row long, name_col long"

@@ -77,6 +77,20 @@ def path_sums(to, weights):
     return None
 
 
+def loops(to):
+    """(cells whose paths lead back to them, the least cell of each one's cycle)."""
+    import numpy as np
+
+    far, rounds = to, to.size.bit_length() + 1
+    for _ in range(rounds):
+        far = far[far]
+    on = np.unique(far[to[far] != far])
+    least, ahead = np.arange(to.size), to
+    for _ in range(rounds):
+        least[on], ahead = np.minimum(least[on], least[ahead[on]]), ahead[ahead]
+    return on, least[on]
+
+
 def rim(height: int, width: int):
     """Flat indices of the cells on a tile's border."""
     import numpy as np

@@ -113,6 +113,12 @@ def tile_links(spark, sf_dir):
     return accumulation.tile_links(_tilted(spark, sf_dir), CHUNK)
 
 
+def flow_cycles(spark, sf_dir):
+    """Directions that may run in cycles: flats without an outlet take the first neighbour of the least slope."""
+    cells, fdr = _flat(spark, sf_dir)
+    return accumulation.flow_cycles(flats.flat_flow_direction(flats.flat_mask(cells, fdr), fdr, strict=False), CHUNK)
+
+
 def flat_edges(spark, sf_dir):
     return flats.flat_edges(*_flat(spark, sf_dir))
 
@@ -219,7 +225,7 @@ def tiff_window(spark, sf_dir):
 def queries() -> dict:
     found = (
         drainage_pipeline, dem_cells, window_read_oob, chunk_index, chunk_halo_counts, chunk_core_roundtrip, neighbor_slopes, flow_direction_, flow_direction_nodata,
-        downstream_edges, inflow_count, tile_perimeter, flow_accumulation, flow_links, tile_accumulation, tile_links, flat_edges, flat_labels, flat_away, flat_lower, flat_mask, flat_flow_direction,
+        downstream_edges, inflow_count, tile_perimeter, flow_accumulation, flow_links, tile_accumulation, tile_links, flow_cycles, flat_edges, flat_labels, flat_away, flat_lower, flat_mask, flat_flow_direction,
         single_cell_pits, breach_single_cell_pits, breach_dense_pits, breach_paths_least_cost, least_cost_paths, drainage_tiles, drainage_breached, parquet_roundtrip, ascii_roundtrip, tiff_roundtrip, tiff_window,
     )
     return {f.__name__.rstrip("_"): f for f in found}
@@ -338,6 +344,14 @@ SELECT {rc}, coalesce(n, -9999) AS fac FROM fdr LEFT JOIN (SELECT r, c, count(*)
 paths(sr, sc, r, c) AS (SELECT r, c, r, c FROM fdr WHERE r % {CHUNK} IN (0, {CHUNK - 1}) OR c % {CHUNK} IN (0, {CHUNK - 1}) OR {border} UNION ALL SELECT sr, sc, f.nr, f.nc FROM paths p JOIN own f ON f.r = p.r AND f.c = p.c AND f.nd < 8),
 ends AS (SELECT sr, sc, f.r, f.c, f.d < 8 AND f.nd IS NULL AS leaves FROM paths p JOIN own f USING (r, c) WHERE coalesce(f.nd, 9) >= 8)
 SELECT sr AS "row", sc AS col, CASE WHEN leaves AND sr = r AND sc = c THEN -2 WHEN leaves THEN r ELSE -1 END AS link_row, CASE WHEN leaves AND sr = r AND sc = c THEN -2 WHEN leaves THEN c ELSE -1 END AS link_col FROM ends""",
+        "flow_cycles": f"""{flat}, loose AS MATERIALIZED (SELECT f.r, f.c, CASE WHEN f.d = 8 THEN coalesce(m.k, 8) ELSE f.d END AS d FROM fdr f LEFT JOIN (
+  SELECT r, c, k FROM (SELECT a.r, a.c, n.k, row_number() OVER (PARTITION BY a.r, a.c ORDER BY (a.mask - b.mask) / n.dist DESC, n.k) AS i
+    FROM masks a JOIN near n ON n.r = a.r AND n.c = a.c JOIN masks b ON b.r = n.nr AND b.c = n.nc AND b.label = a.label) WHERE i = 1) m ON m.r = f.r AND m.c = f.c),
+onward AS MATERIALIZED (SELECT f.r, f.c, g.r AS nr, g.c AS nc FROM loose f JOIN steps ON k = f.d JOIN loose g ON g.r = f.r + dr AND g.c = f.c + dc AND g.d <> 9),
+ahead(sr, sc, r, c) AS (SELECT r, c, nr, nc FROM onward UNION SELECT sr, sc, o.nr, o.nc FROM ahead a JOIN onward o USING (r, c)),
+looping AS MATERIALIZED (SELECT sr, sc FROM ahead WHERE sr = r AND sc = c),
+named AS (SELECT a.sr, a.sc, min({{'r': a.r, 'c': a.c}}) AS least, count(*) AS n FROM ahead a JOIN looping USING (sr, sc) GROUP BY ALL)
+SELECT sr AS "row", sc AS col, least.r AS cycle_row, least.c AS cycle_col, n AS length FROM named""",
         "flat_edges": f"{flat} SELECT {rc}, kind FROM kinds WHERE kind IS NOT NULL",
         "flat_labels": f"{flat} SELECT {rc}, CAST(label AS INTEGER) AS label FROM labels",
         "flat_away": f"{flat} SELECT {rc}, n AS away FROM away",
