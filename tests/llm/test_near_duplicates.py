@@ -28,6 +28,30 @@ def test_groups_of_the_drivers_documents(spark, sf_dir):
     assert as_dict(near_duplicates.groups(docs, 3, (85, 100))) == wanted(texts, 3, 85, 100)
 
 
+def test_a_filter_of_bins_may_be_asked_for(spark, sf_dir):
+    """The filter, which refuses links 3 times in 10^6, refuses none of these."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert as_dict(near_duplicates.groups(docs, 3, (85, 100), sigmas=4.5)) == as_dict(near_duplicates.groups(docs, 3, (85, 100), sigmas=None))
+
+
+def test_ids_of_text(spark):
+    one = "one river runs from the high snow down to the wide sea"
+    docs = spark.createDataFrame([("b", one), ("a10", one), ("a9", one.upper()), ("z", "other words"), (None, one)], "doc_id string, text string")
+    rows = near_duplicates.groups(docs).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in rows) == [("None", "None", True), ("a10", "a10", True), ("a9", "a10", False), ("b", "a10", False), ("z", "z", True)]
+    assert {r["doc_id"] for r in near_duplicates.deduplicate(docs).collect()} == {"a10", "z", None}
+
+
+def test_texts_longer_than_a_slice(spark):
+    """Texts of which one alone is more than a worker's slice: a copy with one word in 50 changed, and one that shares a half."""
+    words = [f"w{k % 70_001}" for k in range(400_000)]
+    near = ["stone" if k % 50 == 7 else w for k, w in enumerate(words)]
+    texts = {1: " ".join(words), 2: " ".join(near), 3: " ".join(words[:40_000] + [f"v{k}" for k in range(60_000)]), 4: "short"}
+    assert len(texts[1]) > near_duplicates.SLICE_BYTES
+    found = as_dict(near_duplicates.groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 3, (85, 100)))
+    assert found == wanted(texts, 3, 85, 100)
+
+
 def test_unlike_members_of_a_bucket_all_meet(spark):
     """No cap: a bucket whose members resemble one another only in pairs loses no link."""
     from pyspark.sql import functions as F

@@ -9,14 +9,17 @@ are one class from here on, so copies never meet in pairs.
 In a bucket, candidates are stars (see stars.py): no link of a bucket is given up, though
 most pairs are never made. Two filters go along with a member. Parities: each shingle
 flips one of PARITIES bits, so sets differ in at least as many shingles as bits; this
-loses nothing, and tells small sets apart. Two bits of each bin, for large sets: a pair
-whose bits differ in more bins than SIGMAS deviations above what the similarity asks for
-is no candidate. Links are confirmed on the full sets.
+loses nothing, and tells small sets apart. Two bits of each bin, for large sets, if
+`sigmas` is given: a pair whose bits differ in more bins than so many deviations above
+what the similarity asks for is no candidate, which refuses some links (3 in 10^6 at
+4.5). Links are confirmed on the full sets.
 
 Defined results: lower-casing is that of A-Z; a document with fewer words than `width`
 has all of them as its one shingle; a null or wordless text has an empty set and is
 linked with nothing; rows that repeat an id are one node, linked by any of their texts;
-rows without an id are left out of links and are their own groups.
+rows without an id are left out of links and are their own groups. Ids may be of any
+type with an order, and keep it: the smallest string is the first in code points. Columns
+of docs other than doc_id and text are never looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,8 +38,8 @@ SIMILARITY = (80, 100)
 #: Bands and bins of a band. At a similarity of 0.8 a pair shares no bucket once in 10^4.
 BANDS = 24
 ROWS = 5
-#: Standard deviations of the number of unequal bins that a candidate may have beyond the expected (lost links: 3 in 10^6).
-SIGMAS = 4.5
+#: Standard deviations of the number of unequal bins that a candidate may have beyond the expected; None asks for no such filter, and no link is refused.
+SIGMAS: float | None = None
 #: Bits that shingles flip: a multiple of 64.
 PARITIES = 512
 #: Words whose hashes a worker keeps; the table starts anew beyond this.
@@ -139,7 +142,7 @@ def unequal_bins(x: str, y: str, longs: int) -> Column:
     return reduce(Column.__add__, (F.bit_count(v.bitwiseOR(F.shiftrightunsigned(v, 1)).bitwiseAND(low)) for v in each))
 
 
-def most_unequal(size: Column, bins: int, similarity: float, sigmas: float = SIGMAS) -> Column:
+def most_unequal(size: Column, bins: int, similarity: float, sigmas: float) -> Column:
     """How many bins may differ between sets as similar as that; the smaller one has `size` shingles.
 
     Bins of a small set that were borrowed tell nothing new, so only those that it fills count as draws.
@@ -184,10 +187,14 @@ def _sketcher(width: int, bands: int, rows: int):
     return run
 
 
+def id_type(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
 def sketches(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, set_id (a 128-bit digest of the set), bands (bucket keys), print (two bits of each bin), parity of docs (doc_id, text)."""
-    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows_in.mapInArrow(_sketcher(width, bands, rows), "doc_id long, n_shingles long, set_id binary, bands array<long>, print array<long>, parity array<long>")
+    rows_in = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    return rows_in.mapInArrow(_sketcher(width, bands, rows), f"doc_id {id_type(docs)}, n_shingles long, set_id binary, bands array<long>, print array<long>, parity array<long>")
 
 
 def _confirmer(width: int, similarity: tuple[int, int]):
@@ -221,37 +228,40 @@ def near(shared: Column, left: Column, right: Column, similarity: tuple[int, int
     return of * shared >= part * (left + right - shared)
 
 
-def links(docs: DataFrame, classes: DataFrame, width: int, similarity: tuple[int, int], bins: int = BANDS * ROWS) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, classes: DataFrame, width: int, similarity: tuple[int, int], bins: int = BANDS * ROWS, sigmas: float | None = SIGMAS) -> tuple[DataFrame, DataFrame]:
     """Confirmed links (a, b) between classes (rep, n_shingles, bands, print, parity), and their components."""
     longs, (part, of) = -(-bins // 32), similarity
     buckets = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"))
-    prints = [F.col(name)[k].alias(f"{name}_{k}") for name, n in (("print", longs), ("parity", PARITIES // 64)) for k in range(n)]
+    longs_of = {"parity": PARITIES // 64} | ({"print": longs} if sigmas is not None else {})
+    prints = [F.col(name)[k].alias(f"{name}_{k}") for name, n in longs_of.items() for k in range(n)]
     members = classes.select(F.col("rep").alias("id"), F.col("n_shingles").alias("size"), *prints)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
+    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
 
     def close(x: str, y: str) -> Column:
         a, b = F.col(f"{x}_size"), F.col(f"{y}_size")
         sizes = near(F.least(a, b), a, b, similarity)
         odd = (of + part) * unequal_parities(x, y) <= (of - part) * (a + b)
-        return sizes & odd & (unequal_bins(x, y, longs) <= most_unequal(F.least(a, b), bins, part / of))
+        if sigmas is None:
+            return sizes & odd
+        return sizes & odd & (unequal_bins(x, y, longs) <= most_unequal(F.least(a, b), bins, part / of, sigmas))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         other = F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a"))
         wanted = pairs.select("a", "b", "hub", other.alias("id"))
         wanted = wanted.join(texts.withColumnRenamed("text", "other_text"), "id").drop("id")
         wanted = wanted.join(texts.withColumnsRenamed({"id": "hub", "text": "hub_text"}), "hub")
-        return wanted.select("a", "b", "other_text", "hub_text").mapInArrow(_confirmer(width, similarity), "a long, b long").distinct()
+        return wanted.select("a", "b", "other_text", "hub_text").mapInArrow(_confirmer(width, similarity), f"a {id_type(docs)}, b {id_type(docs)}").distinct()
 
     return star_links(buckets, members, close, confirm)
 
 
-def groups(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def groups(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY, bands: int = BANDS, rows: int = ROWS, sigmas: float | None = SIGMAS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each document (doc_id, text)."""
     own = written(sketches(docs, width, bands, rows), "sketches")
     live = own.where(F.col("n_shingles") > 0).where(F.col("doc_id").isNotNull())
     classes = live.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("print").alias("print"), F.first("parity").alias("parity"))
     classes = written(classes, "classes")
-    _, named = links(docs, classes, width, similarity, bands * rows)
+    _, named = links(docs, classes, width, similarity, bands * rows, sigmas)
     named = named.withColumnRenamed("node", "rep").withColumnRenamed("component", "part")
     placed = classes.select("set_id", "rep").join(named, "rep", "left").select("set_id", F.coalesce("part", "rep").alias("part"))
     return (

@@ -48,7 +48,7 @@ def star_links(buckets: DataFrame, members: DataFrame, close: Callable[[str, str
     turn = F.struct((-F.col("n")).alias("n"), F.xxhash64("bucket", "id").alias("h"), F.col("id").alias("i"))
     live = written(met.drop("n").join(members.join(most_met, "id"), "id").select("bucket", turn.alias("turn"), F.col("id").alias("part"), *attributes), "members")
     discard(met)
-    compared, found, named, centres = [], [], None, 1
+    tried, compared, found, named, centres = [], [], [], None, 1
     while live.take(1):
         before = live
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("turn"))
@@ -60,6 +60,7 @@ def star_links(buckets: DataFrame, members: DataFrame, close: Callable[[str, str
         if compared:
             pairs = pairs.join(all_of(compared), ["a", "b"], "left_anti")
         pairs = written(pairs, f"pairs-{centres}")
+        tried.append(pairs)
         if pairs.take(1):
             compared.append(pairs.select("a", "b"))
             found.append(written(confirm(pairs).select("a", "b"), f"links-{centres}"))
@@ -75,6 +76,7 @@ def star_links(buckets: DataFrame, members: DataFrame, close: Callable[[str, str
         rest = written(live.join(several, "bucket"), f"live-{centres}")
         discard(before, first)
         live = rest
+    discard(live, *tried)
     if not found:
         kind = buckets.schema["id"].dataType.simpleString()
         none = buckets.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
