@@ -38,8 +38,8 @@ SIMILARITY = (80, 100)
 #: Bands and bins of a band. At a similarity of 0.8 a pair shares no bucket once in 10^4.
 BANDS = 24
 ROWS = 5
-#: Standard deviations of the number of unequal bins that a candidate may have beyond the expected; None asks for no such filter, and no link is refused.
-SIGMAS: float | None = None
+#: Standard deviations of the number of unequal bins that a candidate may have beyond the expected (links refused: 3 in 10^6); None asks for no such filter, and no link is refused.
+SIGMAS: float | None = 4.5
 #: Bits that shingles flip: a multiple of 64.
 PARITIES = 512
 #: Words whose hashes a worker keeps; the table starts anew beyond this.
