@@ -166,6 +166,24 @@ def test_ascii_round_trip(spark, tmp_path):
     assert matrix(found, "z") == DEM and (meta.width, meta.height) == (5, 5)
 
 
+@pytest.mark.parametrize("splits", ["128m", "64b"])
+def test_ascii_grid_of_several_files(spark, tmp_path, splits):
+    """Later parts are larger than the head's, so that Spark's order of files and splits is not that of their names."""
+    rows = [[float(r * 10 + c) for c in range(3 + r // 20)] + [0.0] * (4 - r // 20) for r in range(60)]
+    cuts = (0, 1, 3, 12, 60)
+    lines = [" ".join(f"{x:.{1 + r // 10}f}" for x in row) for r, row in enumerate(rows)]
+    (tmp_path / "grid.asc").mkdir()
+    head = "ncols 7\nnrows 60\nxllcorner 0\nyllcorner 0\ncellsize 1\nNODATA_value -9999\n"
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        (tmp_path / "grid.asc" / f"part-0000{k}.txt").write_text((head if not k else "") + "\n".join(lines[a:b]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", splits)
+    try:
+        found, meta = rasters.read_ascii(spark, str(tmp_path / "grid.asc"))
+        assert matrix(found, "z") == rows and (meta.width, meta.height) == (7, 60)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_pixel_types():
     assert rasters.spark_type("UInt32") == "long"
     with pytest.raises(KeyError):
