@@ -131,3 +131,32 @@ def test_no_cells(spark):
     cells = cells_of(spark, terrain(2, 2, 1)).limit(0)
     assert drainage(cells).cells().collect() == []
     assert KEY == ["tile_row", "tile_col"]
+
+
+@pytest.mark.parametrize("name", ["flat_edges", "flat_labels", "flat_mask"])
+def test_no_raster_is_broadcast(spark, sf_dir, monkeypatch, name):
+    """Small as a raster's files are, its joins are shuffled: decoded, 6 GB of cells would fill a task and the driver."""
+    from thalweg.operators import accumulation, flats
+    from thalweg.plans import drainage, queries
+
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    for module in (accumulation, drainage, flats, queries):
+        monkeypatch.setattr(module, "written", lambda df, n, real=module.written: real(noted(df), n))
+    noted(queries.queries()[name](spark, sf_dir))
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p]
+
+
+def test_tasks_that_find_neighbours_grow_in_number(spark, monkeypatch):
+    from thalweg.operators import grid
+
+    monkeypatch.setattr(grid, "STENCIL_CELLS", 50, raising=False)
+    cells = spark.range(30 * 40).selectExpr("id div 40 as row", "id % 40 as col", "id as z")
+    found = grid.neighbours(cells, size=8)
+    assert "hashpartitioning(tile_row#" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 24), REPARTITION_BY_NUM" in plan
+    assert found.count() == 1200

@@ -19,14 +19,14 @@ from pyspark.sql import Window
 
 from thalweg.functions.d8 import DISTANCES, NODATA, STEPS, UNDEFINED
 from thalweg.operators.components import components
-from thalweg.operators.grid import neighbours, tile_of
+from thalweg.operators.grid import neighbours, shuffled, tile_of
 from thalweg.operators.raster import FRAME, KEY, Raster, each, kept, layer, padded, shifted, to_cells, to_raster, with_strips
 from thalweg.operators.tiles import MISSING, TILE, by_tile, each_tile, place, rim
 from thalweg.session import discard, written
 
 
 def _cells(dem: DataFrame, fdr: DataFrame) -> DataFrame:
-    return dem.select("row", "col", "z").join(fdr.select("row", "col", "fdr"), ["row", "col"])
+    return dem.select("row", "col", "z").join(shuffled(fdr.select("row", "col", "fdr")), ["row", "col"])
 
 
 def _kinds(cells: DataFrame) -> DataFrame:
@@ -148,16 +148,16 @@ def _labels(tiles: DataFrame, size: int) -> DataFrame:
     """tile_row, tile_col, labels: those of the parts of tiles that belong to a flat with an outlet, from 1 by first low edge."""
     rims = tiles.select(F.inline("rims"))
     other = rims.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("z").alias("to_z"), F.col("part").alias("b"))
-    across = _beyond(rims, size, HALF).join(other, ["to_row", "to_col"]).where("z = to_z").select(F.col("part").alias("a"), "b")
+    across = _beyond(rims, size, HALF).join(shuffled(other), ["to_row", "to_col"]).where("z = to_z").select(F.col("part").alias("a"), "b")
     named = components(across).withColumnRenamed("node", "part")
-    parts = tiles.select("tile_row", "tile_col", F.inline("parts")).join(named, "part", "left").withColumn("component", F.coalesce("component", "part"))
+    parts = tiles.select("tile_row", "tile_col", F.inline("parts")).join(shuffled(named), "part", "left").withColumn("component", F.coalesce("component", "part"))
     parts = written(parts, "parts")
     firsts = parts.where("low is not null").groupBy("component").agg(F.min("low").alias("first"))
     # flats are numbered within rows of the raster, and rows by their numbers of flats: one for each row
     in_rows = firsts.groupBy(F.col("first.row").alias("row")).agg(F.count("*").alias("n"))
     before = in_rows.select("row", (F.sum("n").over(Window.orderBy("row")) - F.col("n")).alias("before"))
-    ranked = firsts.withColumn("row", F.col("first.row")).withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy("first.col"))).join(before, "row")
-    labelled = parts.join(ranked.select("component", (F.col("before") + F.col("rank")).alias("label")), "component")
+    ranked = firsts.withColumn("row", F.col("first.row")).withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy("first.col"))).join(shuffled(before), "row")
+    labelled = parts.join(shuffled(ranked.select("component", (F.col("before") + F.col("rank")).alias("label"))), "component")
     return labelled.groupBy("tile_row", "tile_col").agg(F.collect_list(F.struct("part", "label")).alias("labels"))
 
 
@@ -174,7 +174,7 @@ def _label_array(t: dict, size: int):
 
 def flat_labels(dem: DataFrame, edges: DataFrame, tile: int = TILE) -> DataFrame:
     """row, col, label: cells of equal elevation that a low edge belongs to; labels from 1 by first low edge, row by row."""
-    cells = dem.select("row", "col", "z").join(edges.select("row", "col", "kind"), ["row", "col"], "left").withColumn("fdr", F.lit(0).cast("short"))
+    cells = dem.select("row", "col", "z").join(shuffled(edges.select("row", "col", "kind")), ["row", "col"], "left").withColumn("fdr", F.lit(0).cast("short"))
     tiles = _level_tiles(cells, tile)
 
     def run(batches):
@@ -187,7 +187,7 @@ def flat_labels(dem: DataFrame, edges: DataFrame, tile: int = TILE) -> DataFrame
                 at = np.flatnonzero(label)
                 yield pa.RecordBatch.from_arrays([pa.array(at // t["width"] + t["tile_row"] * tile), pa.array(at % t["width"] + t["tile_col"] * tile), pa.array(label[at])], ["row", "col", "label"])
 
-    found = tiles.select("tile_row", "tile_col", "width", "part").join(_labels(tiles, tile), ["tile_row", "tile_col"])
+    found = tiles.select("tile_row", "tile_col", "width", "part").join(shuffled(_labels(tiles, tile)), ["tile_row", "tile_col"])
     return found.mapInArrow(run, "row long, col long, label long").withColumn("label", F.col("label").cast("int"))
 
 
@@ -275,7 +275,7 @@ def _newest(first: DataFrame, rounds: list[DataFrame]) -> DataFrame:
     """first with away, low and tops as they are after the rounds."""
     if not rounds:
         return first
-    found = first.join(_last(rounds), KEY, "left")
+    found = first.join(shuffled(_last(rounds)), KEY, "left")
     return found.withColumns({c: F.coalesce(f"new.{c}", c) for c in ("away", "low", "tops")}).drop("new")
 
 
@@ -283,7 +283,7 @@ def raster_flats(raster: Raster) -> Raster:
     """The layers there, fdr, label, away, low and mask of a raster (z, fdr), as flat_mask of its cells."""
     size = raster.size
     tiles = _raster_levels(raster)
-    begin = each(tiles.drop("rims", "parts").join(_labels(tiles, size), KEY, "left"), _stepper(size), _STATE)
+    begin = each(tiles.drop("rims", "parts").join(shuffled(_labels(tiles, size)), KEY, "left"), _stepper(size), _STATE)
     first = written(begin, "flats-0")
     discard(tiles)
     latest, rounds, k = first, [], 0
@@ -291,7 +291,7 @@ def raster_flats(raster: Raster) -> Raster:
     while True:
         k += 1
         offers = _beyond(latest.select(F.inline("changed")), size).select(F.col("to_row").alias("row"), F.col("to_col").alias("col"), "label", more("away"), more("low"))
-        offered = first.select(*KEY, "height", "width", "fdr", "label", "away", "low", "tops").join(by_tile(offers, size, "label", "away", "low"), KEY)
+        offered = first.select(*KEY, "height", "width", "fdr", "label", "away", "low", "tops").join(shuffled(by_tile(offers, size, "label", "away", "low")), KEY)
         latest = written(each(_newest(offered, rounds).drop("tops"), _stepper(size), _STEP), f"flats-{k}")
         if not latest.take(1):
             discard(latest)
@@ -304,7 +304,7 @@ def raster_flats(raster: Raster) -> Raster:
     state = _newest(first, rounds)
     tops = state.select(*KEY, F.inline("tops"))
     heights = tops.groupBy("label").agg(F.max("away").alias("height"))
-    given = tops.select(*KEY, "label").join(heights, "label").groupBy(*KEY).agg(F.collect_list(F.struct("label", "height")).alias("heights"))
+    given = tops.select(*KEY, "label").join(shuffled(heights), "label").groupBy(*KEY).agg(F.collect_list(F.struct("label", "height")).alias("heights"))
 
     def run(t: dict) -> dict:
         import numpy as np
@@ -318,7 +318,7 @@ def raster_flats(raster: Raster) -> Raster:
         return kept("fdr", "away", "low")(t) | {"there": there.tobytes(), "label": np.where(there, label, -1).tobytes(), "mask": mask.tobytes()}
 
     layers = ("there", "fdr", "label", "away", "low", "mask")
-    table = each(state.drop("changed", "tops").join(given, KEY, "left"), run, ", ".join([FRAME, *(f"{c} binary" for c in layers)]))
+    table = each(state.drop("changed", "tops").join(shuffled(given), KEY, "left"), run, ", ".join([FRAME, *(f"{c} binary" for c in layers)]))
     return Raster(table, size, raster.z, layers)
 
 
@@ -335,7 +335,7 @@ def flat_mask(dem: DataFrame, fdr: DataFrame, tile: int = TILE) -> DataFrame:
 
 def flat_report(mask: DataFrame, fdr: DataFrame) -> DataFrame:
     """drainable, undrainable: numbers of flats' cells with and without an outlet."""
-    flat = fdr.where(F.col("fdr") == UNDEFINED).join(mask, ["row", "col"])
+    flat = fdr.where(F.col("fdr") == UNDEFINED).join(shuffled(mask), ["row", "col"])
     return flat.agg(F.count(F.when(F.col("label") > 0, 1)).alias("drainable"), F.count(F.when(F.col("label") == 0, 1)).alias("undrainable"))
 
 
@@ -345,7 +345,7 @@ def flat_flow_direction(mask: DataFrame, fdr: DataFrame, strict: bool = True, ti
     strict: a cell without an outlet, or where no mask falls, keeps 8. Otherwise it takes
     the first neighbour with the least slope, upwards too, which may run in a cycle.
     """
-    cells = fdr.select("row", "col", "fdr").join(mask.select("row", "col", "label", F.col("flat_mask").alias("mask")), ["row", "col"])
+    cells = fdr.select("row", "col", "fdr").join(shuffled(mask.select("row", "col", "label", F.col("flat_mask").alias("mask"))), ["row", "col"])
     raster = to_raster(cells, tile, ("fdr", "label", "mask"))
     return to_cells(raster_drained(raster.with_table(written(raster.table, "raster")), strict), "fdr")
 

@@ -18,6 +18,19 @@ from thalweg.functions.d8 import STEPS
 STENCIL_TILE = 512
 
 
+#: Cells that a task holds on average while neighbours are found.
+STENCIL_CELLS = 1 << 17
+
+
+def shuffled(table: DataFrame) -> DataFrame:
+    """table, for a join that shuffles both of its sides.
+
+    Spark goes by the sizes of files, and a raster's files are so much smaller than its
+    rows that it would broadcast whole rasters.
+    """
+    return table.hint("merge")
+
+
 def normalise(cells: DataFrame, nodata: float | None = None, value: str = "z", kind: str = "float") -> DataFrame:
     """Nodata, taken in the value's own type, and NaN become null."""
     z = F.col(value).cast(kind)
@@ -101,8 +114,11 @@ def neighbours(cells: DataFrame, *values: str, size: int = STENCIL_TILE) -> Data
     height, width, n = (x or 0 for x in cells.agg(F.max("row") + 1, F.max("col") + 1, F.count("*")).first())
     sparse = n < height * width
     if sparse:
-        cells = grid(cells.sparkSession, 0, 0, height, width).join(cells.withColumn("_there", F.lit(True)), ["row", "col"], "left")
-    tiled = with_halo(cells, size, 1, (height, width)).repartition("tile_row", "tile_col")
+        cells = grid(cells.sparkSession, 0, 0, height, width).join(shuffled(cells.withColumn("_there", F.lit(True))), ["row", "col"], "left")
+    # the tasks are as many as the cells ask for: left to shuffled bytes, a task's sorts would grow with the raster
+    tiles = -(-height // size) * -(-width // size)
+    parts = max(1, -(-height * width // STENCIL_CELLS), min(tiles, cells.sparkSession.sparkContext.defaultParallelism))
+    tiled = with_halo(cells, size, 1, (height, width)).repartition(parts, "tile_row", "tile_col")
     along = Window.partitionBy("tile_row", "tile_col", "row").orderBy("col")
     down = Window.partitionBy("tile_row", "tile_col", "col").orderBy("row")
     own = F.struct("row", "col", *values)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thalweg.functions.d8 import STEPS
+from thalweg.operators.grid import shuffled
 from thalweg.operators.tiles import MISSING, TILE, arrow_schema, each_tile, place
 
 KEY = ["tile_row", "tile_col"]
@@ -129,7 +130,7 @@ def strips(raster: Raster, layers: tuple[str, ...], halo: int = 1) -> DataFrame:
 
 def with_strips(raster: Raster, layers: tuple[str, ...], halo: int = 1) -> DataFrame:
     """The table of a raster with near: what its neighbours have along the border."""
-    return raster.table.join(strips(raster, layers, halo), KEY, "left")
+    return raster.table.join(shuffled(strips(raster, layers, halo)), KEY, "left")
 
 
 def padded(t: dict, name: str, types: dict[str, str], size: int, halo: int = 1):
