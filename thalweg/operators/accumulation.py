@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thalweg.functions.d8 import ACCUMULATION_NODATA, EXTERNAL, NODATA, TERMINATES, step
+from thalweg.operators.grid import shuffled
 from thalweg.operators.raster import FRAME, KEY, Raster, each, kept, layer
 from thalweg.operators.tiles import MISSING, TILE, arrow_schema, by_tile, each_tile, loops, path_sums, place, pointers, rim
 from thalweg.session import discard, written
@@ -29,7 +30,7 @@ def edges(fdr: DataFrame) -> DataFrame:
     to_fdr is null outside the raster.
     """
     ends = fdr.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("fdr").alias("to_fdr"))
-    return downstream(fdr).join(ends, ["to_row", "to_col"], "left").select("row", "col", "fdr", "to_row", "to_col", "to_fdr")
+    return downstream(fdr).join(shuffled(ends), ["to_row", "to_col"], "left").select("row", "col", "fdr", "to_row", "to_col", "to_fdr")
 
 
 def inflow_count(fdr: DataFrame) -> DataFrame:
