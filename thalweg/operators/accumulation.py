@@ -36,7 +36,7 @@ def edges(fdr: DataFrame) -> DataFrame:
 def inflow_count(fdr: DataFrame) -> DataFrame:
     """row, col, inflow: how many neighbours drain into a cell; null for nodata cells."""
     into = downstream(fdr).where("to_row is not null and fdr <> 9").groupBy(F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg(F.count("*").alias("n"))
-    return fdr.join(into, ["row", "col"], "left").select("row", "col", F.when(F.col("fdr") != NODATA, F.coalesce("n", F.lit(0))).alias("inflow"))
+    return fdr.join(shuffled(into), ["row", "col"], "left").select("row", "col", F.when(F.col("fdr") != NODATA, F.coalesce("n", F.lit(0))).alias("inflow"))
 
 
 def perimeter(height: int, width: int, row: str = "row", col: str = "col") -> Column:
