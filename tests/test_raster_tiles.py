@@ -133,7 +133,7 @@ def test_no_cells(spark):
     assert KEY == ["tile_row", "tile_col"]
 
 
-@pytest.mark.parametrize("name", ["flat_edges", "flat_labels", "flat_mask", "downstream_edges", "inflow_count"])
+@pytest.mark.parametrize("name", ["flat_edges", "flat_labels", "flat_mask", "downstream_edges", "inflow_count", "flow_cycles"])
 def test_no_raster_is_broadcast(spark, sf_dir, monkeypatch, name):
     """Small as a raster's files are, its joins are shuffled: decoded, 6 GB of cells would fill a task and the driver."""
     from thalweg.operators import accumulation, flats

@@ -53,10 +53,10 @@ def _doubled(start: DataFrame, sums: bool) -> DataFrame:
             return state.drop("done")
         ahead = state.select(F.col("node").alias("root"), F.col("root").alias("_root"), F.col("done").alias("_done"))
         # only nodes still on their way are joined
-        new = moving.join(ahead, "root").select("node", F.col("_root").alias("root"), F.col("_done").alias("done"), "n").unionByName(state.where("done"))
+        new = moving.join(shuffled(ahead), "root").select("node", F.col("_root").alias("root"), F.col("_done").alias("done"), "n").unionByName(state.where("done"))
         if sums:
             gifts = moving.groupBy(F.col("root").alias("node")).agg(F.sum("n").alias("_n"))
-            new = new.join(gifts, "node", "left").select("node", "root", "done", (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
+            new = new.join(shuffled(gifts), "node", "left").select("node", "root", "done", (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
         before, state = state, written(new, f"pointers-{k}")
         discard(before)
     raise ValueError(f"flow directions run in a cycle through {tuple(state.where('not done').first()['root'])}; flow_cycles finds all")
@@ -115,7 +115,7 @@ def _graph(tiles: DataFrame) -> DataFrame:
     exits, rims = tiles.select(F.inline("exits")), tiles.select(F.inline("rims"))
     entries = rims.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("fdr").alias("to_fdr"), "exit_row", "exit_col")
     goes_on = F.col("to_fdr").isNotNull() & (F.col("to_fdr") != NODATA)
-    on = exits.join(entries, ["to_row", "to_col"], "left")
+    on = exits.join(shuffled(entries), ["to_row", "to_col"], "left")
     following = F.when(goes_on & F.col("exit_row").isNotNull(), F.struct(F.col("exit_row").alias("row"), F.col("exit_col").alias("col")))
     return on.select(F.struct("row", "col").alias("node"), following.alias("next"), "n", "to_row", "to_col", goes_on.alias("goes_on"), F.col("to_fdr").isNull().alias("leaves"))
 
@@ -126,7 +126,7 @@ def flow_accumulation(fdr: DataFrame, tile: int = TILE) -> DataFrame:
     Raises ValueError for directions that run in a cycle. The tile's size changes nothing.
     """
     tiles = _acyclic(_tiles(fdr, tile))
-    return _summed(tiles.join(_inflows(tiles, tile), ["tile_row", "tile_col"], "left"), tile)
+    return _summed(tiles.join(shuffled(_inflows(tiles, tile)), ["tile_row", "tile_col"], "left"), tile)
 
 
 def raster_accumulation(raster: Raster) -> Raster:
@@ -140,7 +140,7 @@ def raster_accumulation(raster: Raster) -> Raster:
         codes = layer(t, "codes", {"codes": "i1"})
         return kept()(t) | {"there": (codes != MISSING).tobytes(), "fdr": t["codes"], "fac": np.where(codes.ravel() == MISSING, 0, _sums(t, codes, size)).tobytes()}
 
-    summed = each(tiles.select(*KEY, "height", "width", "codes").join(_inflows(tiles, size), KEY, "left"), run, f"{FRAME}, there binary, fdr binary, fac binary")
+    summed = each(tiles.select(*KEY, "height", "width", "codes").join(shuffled(_inflows(tiles, size)), KEY, "left"), run, f"{FRAME}, there binary, fdr binary, fac binary")
     return Raster(summed, size, raster.z, ("there", "fdr", "fac"))
 
 
@@ -148,7 +148,7 @@ def _inflows(tiles: DataFrame, size: int) -> DataFrame:
     """tile_row, tile_col, given (row, col, n): what flows into the cells on a tile's border from other tiles."""
     graph = written(_graph(tiles), "exits")
     total = _doubled(graph, sums=True).select("node", F.col("n").alias("total"))
-    into = graph.where("goes_on").join(total, "node").groupBy(F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg(F.sum("total").alias("n"))
+    into = graph.where("goes_on").join(shuffled(total), "node").groupBy(F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg(F.sum("total").alias("n"))
     return by_tile(into, size, "n")
 
 
@@ -201,9 +201,9 @@ def flow_links(fdr: DataFrame, height: int, width: int, tile: int = TILE) -> Dat
     tiles = _acyclic(_tiles(fdr, tile))
     graph = written(_graph(tiles), "exits")
     ends = graph.select(F.col("node").alias("root"), F.col("leaves").alias("root_leaves"))
-    roots = _doubled(graph, sums=False).join(ends, "root").join(graph.select("node", "leaves"), "node")
+    roots = _doubled(graph, sums=False).join(shuffled(ends), "root").join(shuffled(graph.select("node", "leaves")), "node")
     border = tiles.select(F.inline("rims")).where(perimeter(height, width)).withColumn("node", F.when(F.col("exit_row").isNotNull(), F.struct(F.col("exit_row").alias("row"), F.col("exit_col").alias("col"))))
-    found = border.join(roots.drop("n"), "node", "left")
+    found = border.join(shuffled(roots.drop("n")), "node", "left")
     itself = F.col("leaves") & (F.col("node.row") == F.col("row")) & (F.col("node.col") == F.col("col"))
 
     def link(axis: int, name: str) -> Column:
@@ -226,10 +226,10 @@ def flow_cycles(fdr: DataFrame, tile: int = TILE) -> DataFrame:
     for k in range(state.count().bit_length() + 1):
         ahead = state.select(F.col("node").alias("root"), F.col("root").alias("_root"), F.col("least").alias("_least"))
         # nodes whose paths end have none ahead
-        before, state = state, written(state.join(ahead, "root").select("node", F.col("_root").alias("root"), F.least("least", "_least").alias("least")), f"circles-{k}")
+        before, state = state, written(state.join(shuffled(ahead), "root").select("node", F.col("_root").alias("root"), F.least("least", "_least").alias("least")), f"circles-{k}")
         discard(before)
-    ring = state.join(state.select(F.col("root").alias("node")).distinct(), "node").select("node", "least")
-    entries = graph.join(ring, "node").select(F.col("to_row").alias("row"), F.col("to_col").alias("col"), F.col("least.row").alias("name_row"), F.col("least.col").alias("name_col"))
+    ring = state.join(shuffled(state.select(F.col("root").alias("node")).distinct()), "node").select("node", "least")
+    entries = graph.join(shuffled(ring), "node").select(F.col("to_row").alias("row"), F.col("to_col").alias("col"), F.col("least.row").alias("name_row"), F.col("least.col").alias("name_col"))
     cell = arrow_schema(_CROSSED)
 
     def cross(batches):
@@ -250,10 +250,10 @@ def flow_cycles(fdr: DataFrame, tile: int = TILE) -> DataFrame:
                         at = to[at]
                 yield pa.RecordBatch.from_pylist(found, schema=cell)
 
-    crossed = tiles.select(*KEY, "height", "width", "codes").join(by_tile(entries, tile, "name_row", "name_col"), KEY).mapInArrow(cross, _CROSSED)
+    crossed = tiles.select(*KEY, "height", "width", "codes").join(shuffled(by_tile(entries, tile, "name_row", "name_col")), KEY).mapInArrow(cross, _CROSSED)
     every = written(inside.unionByName(crossed.select("row", "col", F.struct(F.col("name_row").alias("row"), F.col("name_col").alias("col")).alias("name"))), "cycles")
     named = every.groupBy("name").agg(F.min(F.struct("row", "col")).alias("cycle"), F.count("*").alias("length"))
-    return every.join(named, "name").select("row", "col", F.col("cycle.row").alias("cycle_row"), F.col("cycle.col").alias("cycle_col"), "length")
+    return every.join(shuffled(named), "name").select("row", "col", F.col("cycle.row").alias("cycle_row"), F.col("cycle.col").alias("cycle_col"), "length")
 
 
 _CROSSED = "row long, col long, name_row long, name_col long"
