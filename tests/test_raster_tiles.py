@@ -133,7 +133,7 @@ def test_no_cells(spark):
     assert KEY == ["tile_row", "tile_col"]
 
 
-@pytest.mark.parametrize("name", ["flat_edges", "flat_labels", "flat_mask", "downstream_edges", "inflow_count", "flow_cycles"])
+@pytest.mark.parametrize("name", ["downstream_edges", "inflow_count", "flat_edges", "flat_labels", "flat_mask", "flow_cycles", "drainage_tiles"])
 def test_no_raster_is_broadcast(spark, sf_dir, monkeypatch, name):
     """Small as a raster's files are, its joins are shuffled: decoded, 6 GB of cells would fill a task and the driver."""
     from thalweg.operators import accumulation, flats
@@ -146,12 +146,31 @@ def test_no_raster_is_broadcast(spark, sf_dir, monkeypatch, name):
         return df
 
     for module in (accumulation, drainage, flats, queries):
-        monkeypatch.setattr(module, "written", lambda df, n, real=module.written: real(noted(df), n))
+        for write in {"written", "written_tiles"} & vars(module).keys():
+            monkeypatch.setattr(module, write, lambda df, n, real=getattr(module, write): real(noted(df), n))
     noted(queries.queries()[name](spark, sf_dir))
     assert any("SortMergeJoin" in p for p in plans)
     assert not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p]
 
 
+def test_python_workers_get_few_tiles_at_once(spark, tmp_path, monkeypatch):
+    """drainage_breached: each tile of 8 MB is a batch of its own, where Spark's limit lets 8 pass at once."""
+    from thalweg.operators import pits
+    from thalweg.plans import drainage as plan
+
+    def noted(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows]})
+
+    tiles = spark.range(6, numPartitions=1).selectExpr("encode(repeat('x', 8000000), 'utf-8') as z")
+    for module in (pits, flats, plan):
+        made = module.written_tiles(tiles.mapInArrow(noted, "rows long"), "noted")
+        assert {r["rows"] for r in made.collect()} == {1}
+    assert {r["rows"] for r in tiles.mapInArrow(noted, "rows long").collect()} == {6}
+
+
 def test_tasks_that_find_neighbours_grow_in_number(spark, monkeypatch):
     from thalweg.operators import grid
 

@@ -22,7 +22,7 @@ from thalweg.operators.components import components
 from thalweg.operators.grid import neighbours, shuffled, tile_of
 from thalweg.operators.raster import FRAME, KEY, Raster, each, kept, layer, padded, shifted, to_cells, to_raster, with_strips
 from thalweg.operators.tiles import MISSING, TILE, by_tile, each_tile, place, rim
-from thalweg.session import discard, written
+from thalweg.session import discard, written, written_tiles
 
 
 def _cells(dem: DataFrame, fdr: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def _raster_levels(raster: Raster) -> DataFrame:
         kind = np.where((fdr < UNDEFINED) & low, _LOW, np.where((fdr == UNDEFINED) & high, _HIGH, 0)).astype("i1")
         return _level_tile(t["tile_row"], t["tile_col"], z, ~np.isnan(z), fdr, kind, size)
 
-    return written(each(with_strips(raster, ("z", "fdr")), run, _LEVELS), "level-tiles")
+    return written_tiles(each(with_strips(raster, ("z", "fdr")), run, _LEVELS), "level-tiles")
 
 
 def _beyond(rims: DataFrame, size: int, codes=range(len(STEPS))) -> DataFrame:
@@ -284,7 +284,7 @@ def raster_flats(raster: Raster) -> Raster:
     size = raster.size
     tiles = _raster_levels(raster)
     begin = each(tiles.drop("rims", "parts").join(shuffled(_labels(tiles, size)), KEY, "left"), _stepper(size), _STATE)
-    first = written(begin, "flats-0")
+    first = written_tiles(begin, "flats-0")
     discard(tiles)
     latest, rounds, k = first, [], 0
     more = lambda c: F.when(F.col(c) > 0, F.col(c) + 1).alias(c)
@@ -292,13 +292,13 @@ def raster_flats(raster: Raster) -> Raster:
         k += 1
         offers = _beyond(latest.select(F.inline("changed")), size).select(F.col("to_row").alias("row"), F.col("to_col").alias("col"), "label", more("away"), more("low"))
         offered = first.select(*KEY, "height", "width", "fdr", "label", "away", "low", "tops").join(shuffled(by_tile(offers, size, "label", "away", "low")), KEY)
-        latest = written(each(_newest(offered, rounds).drop("tops"), _stepper(size), _STEP), f"flats-{k}")
+        latest = written_tiles(each(_newest(offered, rounds).drop("tops"), _stepper(size), _STEP), f"flats-{k}")
         if not latest.take(1):
             discard(latest)
             break
         rounds.append(latest)
         if len(rounds) > ROUNDS_APART:
-            whole = written(_last(rounds).select(*KEY, "new.*"), f"flats-to-{k}")
+            whole = written_tiles(_last(rounds).select(*KEY, "new.*"), f"flats-to-{k}")
             discard(*rounds[:-1])
             rounds = [whole]
     state = _newest(first, rounds)

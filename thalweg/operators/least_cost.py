@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thalweg.functions.d8 import DEFAULT_MAX_PITS, DEFAULT_SEARCH_RADIUS, DISTANCES, EPSILON_GRADIENT, STEPS
+from thalweg.operators.grid import shuffled
 from thalweg.operators.pits import breached_pits
 from thalweg.operators.raster import FRAME, KEY, Raster, each, kept, layer, padded, to_cells, to_raster, with_strips
 from thalweg.operators.tiles import TILE, arrow_schema, by_tile
-from thalweg.session import written
+from thalweg.session import written_tiles
 
 #: Pits that a batch holds.
 BATCH = 1000
@@ -140,7 +141,7 @@ def raster_paths(raster: Raster, radius: int, batch: int = BATCH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(at // t["width"] + t["y"]), pa.array(at % t["width"] + t["x"]), pa.array([v for _, v in found], pa.float64())], schema=new)
 
     live = raster.table.where(F.expr("position(X'01', pit) > 0"))
-    around = with_strips(raster.with_table(raster.table.select(*KEY, "height", "width", "z")), ("z",), radius).join(live.select(*KEY, "pit"), KEY)
+    around = with_strips(raster.with_table(raster.table.select(*KEY, "height", "width", "z")), ("z",), radius).join(shuffled(live.select(*KEY, "pit")), KEY)
     # windows are dealt out anew, so that no task has all batches of a tile
     return around.mapInArrow(deal, _BATCH).repartition(F.xxhash64("y", "x", "pits")).mapInArrow(search, _NEW)
 
@@ -160,7 +161,7 @@ def raster_least_cost(raster: Raster, radius: int, batch: int = BATCH) -> Raster
             z[at] = np.where(np.isnan(z[at]), np.nan, np.fmin(z[at], new.astype(z.dtype)))
         return kept("there")(t) | {"z": z.tobytes()}
 
-    table = raster.table.select(*KEY, "height", "width", "there", "z").join(by_tile(lower, size, "new_z"), KEY, "left")
+    table = raster.table.select(*KEY, "height", "width", "there", "z").join(shuffled(by_tile(lower, size, "new_z")), KEY, "left")
     return Raster(each(table, run, f"{FRAME}, there binary, z binary"), size, raster.z, ("there", "z"))
 
 
@@ -185,4 +186,4 @@ def breached(cells: DataFrame, nodata: float, radius: int, chunk_size: int | Non
             first = to_raster(to_cells(first, "z", "pit"), size, ("z", "pit"))
     else:
         first = to_raster(cells.select("row", "col", F.col("z").cast("float").alias("z"), "pit"), size, ("z", "pit"))
-    return raster_least_cost(first.with_table(written(first.table, "single-cell")), radius)
+    return raster_least_cost(first.with_table(written_tiles(first.table, "single-cell")), radius)

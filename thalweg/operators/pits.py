@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thalweg.functions.d8 import EPSILON_GRADIENT, STEPS
-from thalweg.operators.grid import neighbours
+from thalweg.operators.grid import neighbours, shuffled
 from thalweg.operators.raster import FRAME, KEY, Raster, each, kept, layer, padded, to_cells, to_raster, with_strips
 from thalweg.operators.tiles import TILE
-from thalweg.session import discard, written
+from thalweg.session import discard, few_tiles, written, written_tiles
 
 # The ring of 16 cells two steps away, in the order of visits, each with
 # the cell one step away that is lowered for it.
@@ -129,7 +129,7 @@ def raster_pits(raster: Raster, nodata: float, epsilon: float | None = None, chu
     raster's tiles; None for the whole raster.
     """
     types, size = raster.types(), raster.size
-    base = written(with_strips(raster, ("z",), HALO), "pits-base")
+    base = written_tiles(with_strips(raster, ("z",), HALO), "pits-base")
 
     def breached(t: dict):
         z = padded(t, "z", types, size, HALO)
@@ -146,18 +146,20 @@ def raster_pits(raster: Raster, nodata: float, epsilon: float | None = None, chu
 
     told = f"tile_row long, tile_col long, digest long, edits array<{_EDIT}>"
     nothing = base.withColumns({"given": F.lit(None).cast(f"array<{_EDIT}>"), "digest": F.lit(0).cast("long")})
-    state, k = written(each(nothing, tell, told), "edits-0"), 0
+    with few_tiles(base.sparkSession):
+        state, k = written(each(nothing, tell, told), "edits-0"), 0
     while True:
         k += 1
         given = written(_incoming(state, size, chunk), f"given-{k}")
         # tiles that were told something else before, or nothing
         before = state.select(*KEY, F.col("digest").alias("_before"))
-        changed = before.join(given, KEY, "left").where(F.coalesce("digest", F.lit(0)) != F.col("_before")).drop("_before").withColumn("digest", F.coalesce("digest", F.lit(0)))
+        changed = before.join(shuffled(given), KEY, "left").where(F.coalesce("digest", F.lit(0)) != F.col("_before")).drop("_before").withColumn("digest", F.coalesce("digest", F.lit(0)))
         if not changed.take(1):
             discard(state)
             break
-        again = each(base.join(changed, KEY), tell, told)
-        new = written(again.unionByName(state.join(changed.select(*KEY), KEY, "left_anti")), f"edits-{k}")
+        again = each(base.join(changed.select(*KEY), KEY, "left_semi").join(shuffled(changed), KEY), tell, told)
+        with few_tiles(base.sparkSession):
+            new = written(again.unionByName(state.join(changed.select(*KEY), KEY, "left_anti")), f"edits-{k}")
         discard(state, given)
         state = new
 
@@ -170,7 +172,7 @@ def raster_pits(raster: Raster, nodata: float, epsilon: float | None = None, chu
         core = slice(HALO, HALO + t["height"]), slice(HALO, HALO + t["width"])
         return kept("there")(t) | {"z": np.ascontiguousarray(z[core]).tobytes(), "pit": (pit[core] & layer(t, "there", types)).tobytes()}
 
-    found = each(base.join(given, KEY, "left"), finish, f"{FRAME}, there binary, z binary, pit binary")
+    found = each(base.join(shuffled(given), KEY, "left"), finish, f"{FRAME}, there binary, z binary, pit binary")
     return Raster(found, size, raster.z, ("there", "z", "pit"))
 
 

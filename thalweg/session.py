@@ -61,16 +61,35 @@ def shared_dir(spark: SparkSession) -> str:
 #: Removes an execution's shuffle files at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Bytes that Spark hands to a Python worker at once, in rows of tables that hold arrays: of Spark's 64 MB a worker keeps two or three copies.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+TILES_AT_ONCE = "4m"
+
 
 @contextlib.contextmanager
-def shuffles_removed(spark: SparkSession):
-    """What is executed inside leaves no shuffle files: for plans that run once."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def _set(spark: SparkSession, key: str, value: str):
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def few_tiles(spark: SparkSession):
+    """What is executed inside hands Python workers few tiles at once."""
+    return _set(spark, ARROW_BYTES, TILES_AT_ONCE)
+
+
+def shuffles_removed(spark: SparkSession):
+    """What is executed inside leaves no shuffle files: for plans that run once."""
+    return _set(spark, CLEANUP, "true")
+
+
+def written_tiles(df: DataFrame, name: str) -> DataFrame:
+    """written(), for tables whose rows hold arrays of whole tiles: Python workers get few of them at once."""
+    with few_tiles(df.sparkSession):
+        return written(df, name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
