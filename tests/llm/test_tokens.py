@@ -139,3 +139,16 @@ def test_offsets_read_no_tokens(spark, docs):
 def test_empty_tables(spark, no_docs):
     assert token_counts.token_counts(no_docs, BYTES, public_tokenizers.PATTERN).count() == 0
     assert token_files.read_tokens(spark, _stored(spark, no_docs)).count() == 0
+
+
+def test_words_are_learnt_once(monkeypatch):
+    """What comes again stays in the worker's tables, however many words come once only."""
+    monkeypatch.setattr(token_files, "KEPT_LETTERS", 40)
+    words, learnt = token_files.WordIds(WORDS), []
+    runs = words.runs
+    monkeypatch.setattr(words, "runs", lambda cores, library: learnt.extend(cores) or runs(cores, library))
+    once = ["x" + "abcdefghij"[k // 10] + "abcdefghij"[k % 10] for k in range(100)]
+    texts = [f"River, stone {a} {b}! RIVER; don't éclair" for a, b in zip(once[::2], once[1::2], strict=True)]
+    assert [words.encode([t.encode()])[0] for t in texts] == [np.array(ids, "<u4").tobytes() for ids in library(WORDS, texts)]
+    assert sorted(learnt) == sorted([*(w.encode() for w in once), b"river", b"stone", "éclair".encode()])
+    assert len(words.letters.young) + len(words.letters.old) <= 50

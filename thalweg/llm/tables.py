@@ -36,11 +36,8 @@ def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.select(F.col("doc_id").alias(key)).distinct(), F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
 
 
-def text_runs(column, most: int):
-    """(place of the first, texts as bytes) for runs of an Arrow column of texts with so many bytes together, or a single longer one.
-
-    Only one run is held outside of Arrow's memory; null texts are empty.
-    """
+def runs_of_texts(column, most: int):
+    """(place of the first, number of texts) of runs of an Arrow column of texts with so many bytes together, or a single longer one."""
     import numpy as np
     import pyarrow.compute as pc
 
@@ -48,10 +45,19 @@ def text_runs(column, most: int):
     a = 0
     while a < len(column):
         b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
-        yield a, [t or b"" for t in column.slice(a, b - a).to_pylist()]
+        yield a, b - a
         a = b
 
 
+def text_runs(column, most: int):
+    """(place of the first, texts as bytes) of each of these runs.
+
+    Only one run is held outside of Arrow's memory; null texts are empty.
+    """
+    for at, n in runs_of_texts(column, most):
+        yield at, [t or b"" for t in column.slice(at, n).to_pylist()]
+
+
 def in_order(df: DataFrame, *columns: str, sums: dict[str, str] | None = None, keep: tuple[str, ...] | None = None) -> DataFrame:
     """Number the rows of df from 0 in the order of columns, in column `position`.
 

@@ -13,7 +13,6 @@ keep their own lists, ordered by a hash of the text; extra columns are left out
 from __future__ import annotations
 
 import functools
-import itertools
 import re
 import uuid
 
@@ -21,18 +20,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thalweg.session import shared_dir, shuffles_removed
-from thalweg.llm.token_counts import new_tokenizer, slices, tokenizer
+from thalweg.llm.tables import runs_of_texts
+from thalweg.llm.token_counts import new_tokenizer, tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-#: Distinct words and runs of letters whose ids a worker keeps; tables start anew beyond this.
+#: Runs of marks, or words of other forms, and runs of letters whose ids a worker keeps, besides those of a slice; of more, those asked for last stay.
 KEPT_WORDS = 200_000
 KEPT_LETTERS = 400_000
 #: Words that are encoded at once.
-RUN_WORDS = 20_000
+RUN_WORDS = 500
 #: What the vocabulary's last token of a word ends with (fixed value).
 WORD_END = "</w>"
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 4_000_000
 #: Bytes of text in a file.
 PART_BYTES = 32 << 20
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, tokens array<int>"
@@ -47,14 +47,27 @@ LAYOUT = {
 }
 
 _LETTERS = re.compile(rb"([a-zA-Z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
 
-class _Numbers(dict):
-    """A number for each word, in the order in which they come."""
+class _Recent:
+    """A bounded table by words: once half of it has come anew, what wasn't asked for since then goes."""
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+    def __init__(self, most: int):
+        self.half, self.young, self.old = most // 2, {}, {}
+
+    def missing(self, words) -> list[bytes]:
+        """Those of distinct words that are to be put into `young`, which holds the others then."""
+        if len(self.young) > self.half:
+            self.young, self.old = {}, self.young
+        young, old, found = self.young, self.old, []
+        for w in words:
+            if w not in young:
+                if w in old:
+                    young[w] = old.pop(w)
+                else:
+                    found.append(w)
+        return found
 
 
 class WordIds:
@@ -74,10 +87,7 @@ class WordIds:
         self.library, self.plain = tokenizer(path), new_tokenizer(path)
         # lower-case ASCII letters are what the library's normaliser and cutting leave as they are
         self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
-        self.numbers = _Numbers()
-        self.known: list[bytes] = []
-        self.letters: dict[bytes, bytes | None] = {}
-        self.rest: dict[bytes, bytes] = {b"": b""}
+        self.letters, self.rest = _Recent(KEPT_LETTERS), _Recent(KEPT_WORDS)
         self.alphabet: dict[str, bool] = {}
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -111,38 +121,80 @@ class WordIds:
         found = normalise(b" ".join(cores).decode()).split(" ")
         if len(found) != len(cores):  # white space among the cores
             found = [normalise(c.decode()) for c in cores]
-        return [bool(f) and all(map(self.is_letter, f)) for f in found]
-
-    def learn(self, words: list[bytes]) -> None:
-        cut = [(m[1].lower(), m[2]) if (m := _LETTERS.fullmatch(w)) else None for w in words]
-        for table in (self.letters, self.rest):
-            if len(table) > KEPT_LETTERS:
-                table.clear()
-                self.rest[b""] = b""
-        new = list({c[0] for c in cut if c}.difference(self.letters))
-        other = [c for c in new if not c.isascii()]
+        other = {c for c in set().union(*found) if not self.is_letter(c)}
+        return [bool(f) and other.isdisjoint(f) for f in found]
+
+    def learn(self, cores: list[bytes]) -> dict[bytes, bytes | None]:
+        """A table that holds the ids of distinct runs of letters, in lower case if of ASCII; none for those that normalising alters."""
+        letters, new = self.letters, self.letters.missing(cores)
+        plain, other = [c for c in new if c.isascii()], [c for c in new if not c.isascii()]
         pure = dict(zip(other, self.of_letters(other), strict=True)) if other else {}
-        self.letters.update((c, None) for c in other if not pure[c])
-        for cores, library in (([c for c in new if c.isascii()], self.plain), ([c for c in other if pure[c]], self.library)):
-            for k in range(0, len(cores), RUN_WORDS):
-                self.letters.update(zip(cores[k : k + RUN_WORDS], self.runs(cores[k : k + RUN_WORDS], library), strict=True))
-        letters, rest = self.letters, self.rest
-        parts = [(letters[c[0]], c[1]) if c and letters[c[0]] is not None else (b"", w) for w, c in zip(words, cut, strict=True)]
-        missing = list({tail for _, tail in parts}.difference(rest))
+        letters.young.update((c, None) for c in other if not pure[c])
+        for own, library in ((plain, self.plain), ([c for c in other if pure[c]], self.library)):
+            for k in range(0, len(own), RUN_WORDS):
+                letters.young.update(zip(own[k : k + RUN_WORDS], self.runs(own[k : k + RUN_WORDS], library), strict=True))
+        return letters.young
+
+    def distinct(self, words) -> list[bytes]:
+        """Ids of each of an Arrow column of distinct words."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        as_list = lambda column: column.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        cores = pc.ascii_rtrim(words, characters=_MARKS)
+        ascii_only = pc.ascii_is_alpha(cores)
+        coded = pc.ascii_lower(pc.if_else(ascii_only, cores, "")).dictionary_encode()
+        lower = as_list(coded.dictionary)
+        other = np.flatnonzero(~ascii_only.to_numpy(zero_copy_only=False))
+        more = list(zip(other.tolist(), as_list(words.take(pa.array(other))), strict=True))
+        more = [(k, w, (_LETTERS.fullmatch(w) or (None, b"", w))) for k, w in more]
+        more = [(k, w, m[1].lower(), m[2]) for k, w, m in more]
+        known = self.learn(list({*lower, *(core for _, _, core, _ in more)} - {b""}))
+        of_core = [known[core] if core else b"" for core in lower]
+        found = list(map(of_core.__getitem__, coded.indices.to_numpy().tolist()))
+        sizes = pc.binary_length(cores).to_numpy()
+        marked = np.flatnonzero((pc.binary_length(words).to_numpy() > sizes) & ascii_only.to_numpy(zero_copy_only=False))
+        tails = [(k, w[n:]) for k, w, n in zip(marked.tolist(), as_list(words.take(pa.array(marked))), sizes[marked].tolist(), strict=True)]
+        for k, w, core, tail in more:
+            if core and known[core] is not None:
+                found[k] = known[core]
+                tails.append((k, tail))
+            else:
+                tails.append((k, w))
+        missing = self.rest.missing({tail for _, tail in tails} - {b""})
         for k in range(0, len(missing), RUN_WORDS):
-            rest.update(zip(missing[k : k + RUN_WORDS], self.one_by_one(missing[k : k + RUN_WORDS]), strict=True))
-        self.known += [core + rest[tail] for core, tail in parts]
+            self.rest.young.update(zip(missing[k : k + RUN_WORDS], self.one_by_one(missing[k : k + RUN_WORDS]), strict=True))
+        for k, tail in tails:
+            if tail:
+                found[k] += self.rest.young[tail]
+        return found
+
+    def flat(self, texts):
+        """(ids of an Arrow column of texts one after the other, the places where each text begins and the last ends)."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        # Arrow cuts at the same characters as bytes.split(), but makes empty words before and after them
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, b"").view(pa.string()))
+        coded = words.flatten().dictionary_encode()
+        found = self.distinct(coded.dictionary)
+        ids, sizes = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), "i4", len(found)) // 4
+        at = coded.indices.to_numpy()
+        counts = sizes[at]
+        before = np.concatenate([[0], np.cumsum(counts)]).astype("i4")
+        # of each id, its place among those of distinct words
+        places = np.repeat((np.cumsum(sizes, dtype="i4") - sizes)[at] - before[:-1], counts)
+        places += np.arange(before[-1], dtype="i4")
+        ends = words.offsets.to_numpy()
+        return ids[places], before[ends - ends[0]]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.numbers) > KEPT_WORDS:
-            self.numbers, self.known = _Numbers(), []
-        number = self.numbers.__getitem__
-        words = [list(map(number, t.split())) for t in texts]
-        new = len(self.numbers) - len(self.known)
-        if new:
-            self.learn(list(itertools.islice(reversed(self.numbers), new))[::-1])
-        known = self.known.__getitem__
-        return [b"".join(map(known, w)) for w in words]
+        import pyarrow as pa
+
+        ids, ends = self.flat(pa.array(texts, pa.binary()))
+        return [ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 @functools.cache
@@ -152,8 +204,6 @@ def _word_ids(path: str) -> WordIds:
 
 def write_tokens(docs: DataFrame, vocabulary_path: str, folder: str, end_id: int = END_ID) -> None:
     """Encode docs (doc_id, text) and write their ids to folder in ascending doc_id order."""
-    end = int(end_id).to_bytes(4, "little")
-
     def encode(batches):
         import numpy as np
         import pyarrow as pa
@@ -161,15 +211,13 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, folder: str, end_id: int
 
         words, part, start = _word_ids(vocabulary_path), TaskContext.get().partitionId(), 0
         for b in batches:
-            ids, texts, at = b.column(0), b.column(1).to_pylist(), 0
-            for run in slices([t or b"" for t in texts], SLICE_BYTES):
-                lists = [x + end for x in words.encode(run)]
-                ends = np.cumsum([0, *(len(x) // 4 for x in lists)])
-                sizes = np.diff(ends)
-                tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(lists), "<i4"), pa.int32()))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(run)), pa.array(np.full(len(run), part, "i4")), pa.array(start + ends[:-1], pa.int64()), pa.array(sizes, pa.int64()), tokens], ["doc_id", "part", "part_start", "n_tokens", "tokens"])
+            for at, n in runs_of_texts(b.column(1), SLICE_BYTES):
+                found, ends = words.flat(b.column(1).slice(at, n))
+                flat = np.insert(found, ends[1:], end_id)
+                ends = ends + np.arange(n + 1)
+                tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view("<i4"), pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), pa.array(np.full(n, part, "i4")), pa.array(start + ends[:-1], pa.int64()), pa.array(np.diff(ends), pa.int64()), tokens], ["doc_id", "part", "part_start", "n_tokens", "tokens"])
                 start += int(ends[-1])
-                at += len(run)
 
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, min(docs.sparkSession.sparkContext.defaultParallelism, -(-size // (1 << 20))), -(-size // PART_BYTES))
